@@ -115,6 +115,18 @@ def _job(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _event_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs that last as many seconds as an event's value."""
+    events = _source(spark, sf, "events").withColumn("ts", F.expr(_ts("ts")))
+    return events.where("value > 0").selectExpr(
+        "concat('dag_', user_id % 3) AS dag_id",
+        "concat('task_', user_id % 12) AS task_id",
+        "'success' AS state",
+        "ts AS start_date",
+        "timestamp_micros(unix_micros(ts) + CAST(round(value * 1000000) AS BIGINT)) AS end_date",
+    )
+
+
 def _slot_pool(spark: SparkSession, sf: str) -> DataFrame:
     pool = F.expr("concat('pool_', s_suppkey % 6)").alias("pool")
     return (
@@ -356,6 +368,7 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "task_fail": _task_fail,
     "sla_miss": _sla_miss,
     "job": _job,
+    "event_runs": _event_runs,
     "slot_pool": _slot_pool,
     "log": _log,
     "xcom": _xcom,

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import q_runs  # noqa: F401
+from . import q_failures, q_runs  # noqa: F401
 from .register import REGISTER
 
 __all__ = ["REGISTER"]
