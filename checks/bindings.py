@@ -398,7 +398,10 @@ RBAC = ["ab_role", "ab_permission", "ab_view_menu", "ab_permission_view", "ab_pe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, or a given one by its own name."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if name not in _BUILDERS:
+        return _source(spark, sf_dir, name)
     return _BUILDERS[name](spark, sf_dir)
 
 
@@ -552,6 +555,8 @@ SQL: dict[str, str] = {
 
 def twin(names: list[str], body: str) -> str:
     """SQL that defines the named tables as CTEs and runs ``body``, which may go on with CTEs of its own."""
+    if not names:
+        return body
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
     joiner = ",\n" if body.lstrip()[:5].upper() == "WITH " else "\n"
     rest = body.lstrip()[5:] if joiner.startswith(",") else body
