@@ -141,8 +141,8 @@ def _(t: Get):
     return runs.scheduling_delay(t("dag_run"), **RUN)
 
 
-def _load_sql(table: str, counted: str, more: str) -> str:
-    start, end = within("start_date", ORDERS_AS_OF, LOAD_DAYS), within("end_date", ORDERS_AS_OF, LOAD_DAYS)
+def load_sql(table: str, counted: str, more: str, days: int = LOAD_DAYS) -> str:
+    start, end = within("start_date", ORDERS_AS_OF, days), within("end_date", ORDERS_AS_OF, days)
     return f"""WITH points AS (
   SELECT start_date AS t FROM {table} WHERE {start} UNION SELECT end_date FROM {table} WHERE {end}),
 spans AS (SELECT start_date AS s, end_date AS e FROM {table} WHERE {start} {counted}),
@@ -151,7 +151,7 @@ load AS (SELECT p.t, COUNT(x.s) AS n FROM points p LEFT JOIN spans x ON x.s <= p
 SELECT {more} FROM load WHERE n > 0"""
 
 
-@query("a09_run_concurrency", ["dag_run"], _load_sql("dag_run", "", f"""MAX(n) AS max_concurrent_dags,
+@query("a09_run_concurrency", ["dag_run"], load_sql("dag_run", "", f"""MAX(n) AS max_concurrent_dags,
   {rnd("AVG(n)")} AS avg_concurrent_dags, {rnd("QUANTILE_CONT(n, 0.95)")} AS p95_concurrent_dags,
   {rnd("QUANTILE_CONT(n, 0.99)")} AS p99_concurrent_dags"""))
 def _(t: Get):
@@ -159,7 +159,7 @@ def _(t: Get):
 
 
 @query("a10_task_concurrency", ["task_instance"],
-       _load_sql("task_instance", "AND state IN ('running', 'queued')", f"""MAX(n) AS max_concurrent_tasks,
+       load_sql("task_instance", "AND state IN ('running', 'queued')", f"""MAX(n) AS max_concurrent_tasks,
   {rnd("AVG(n)")} AS avg_concurrent_tasks, {rnd("QUANTILE_CONT(n, 0.95)")} AS p95_concurrent_tasks,
   {rnd("QUANTILE_CONT(n, 0.99)")} AS p99_concurrent_tasks, COUNT(*) AS sample_points"""))
 def _(t: Get):
@@ -177,8 +177,8 @@ def _(t: Get):
     return runs.catchup_backlog(t("dag_run"), as_of=ORDERS_AS_OF)
 
 
-_RUN_LOAD = _load_sql("dag_run", "", "MAX(n) AS peak, AVG(n) AS average, QUANTILE_CONT(n, 0.95) AS p95")
-_TASK_LOAD = _load_sql("task_instance", "AND state IN ('running', 'queued')",
+_RUN_LOAD = load_sql("dag_run", "", "MAX(n) AS peak, AVG(n) AS average, QUANTILE_CONT(n, 0.95) AS p95")
+_TASK_LOAD = load_sql("task_instance", "AND state IN ('running', 'queued')",
                        "MAX(n) AS peak, AVG(n) AS average, QUANTILE_CONT(n, 0.95) AS p95")
 
 

@@ -88,7 +88,7 @@ def _steps(s: Settings) -> dict[str, Step]:
         ),
         "serialization_instability": on("serialized_dag", documents.serialization_instability, **days),
         "storage_footprint": (("table_sizes",), snapshots.storage_footprint),
-        "index_usage": (("index_usage",), snapshots.index_usage),
+        "index_use": (("index_usage",), snapshots.index_usage),
         "lock_waits": on("activity", snapshots.lock_waits, "locks"),
         "connection_stats": on("activity", snapshots.connection_stats),
         "config_conflicts": (("settings",), config_audit.config_conflicts),

@@ -197,7 +197,7 @@ def _rules(s: Settings) -> dict[str, tuple[list | None, int | None, list[Rule]]]
             rule("database", WARNING, "log_rows", _only(rows_of("log"), 1_000_000), "log has %.0f rows"),
             rule("database", WARNING, "xcom_rows", _only(rows_of("xcom"), 1_000_000), "xcom has %.0f rows"),
         ]),
-        "index_usage": ([F.asc("index_scans"), F.desc("index_size_bytes"), F.asc("indexname")], top, [
+        "index_use": ([F.asc("index_scans"), F.desc("index_size_bytes"), F.asc("indexname")], top, [
             rule("database", INFO, "large_unused_indexes", _count(c("is_large_unused")), "%.0f large indexes are unused"),
         ]),
         "lock_waits": (None, None, [
