@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,8 +175,8 @@ def config_status_counts(settings: DataFrame) -> DataFrame:
     )
 
 
-def _value(section: str, setting: str) -> Column:
-    return F.max(F.when((F.col("section") == section) & (F.col("setting") == setting), F.col("value")))
+def _value(section: str, setting: str, alias: str) -> Column:
+    return F.expr(f"max(CASE WHEN section = '{section}' AND setting = '{setting}' THEN value END)").alias(alias)
 
 
 # fixed values: numeric settings the cross-setting rules read: name -> (section, setting, default)
@@ -202,58 +204,166 @@ RULE_INPUTS = {
 def rule_inputs(settings: DataFrame) -> DataFrame:
     """One row per snapshot: missing settings take their default, values that are no whole number become null."""
     wide = settings.groupBy(*SNAPSHOT).agg(
-        *[_value(section, setting).alias(name) for name, (section, setting, _) in RULE_INPUTS.items()],
-        _value("core", "executor").alias("executor"),
-        _value("core", "store_serialized_dags").alias("store_serialized"),
+        *[_value(section, setting, name) for name, (section, setting, _) in RULE_INPUTS.items()],
+        _value("core", "executor", "executor"),
+        _value("core", "store_serialized_dags", "store_serialized"),
     )
     numbers = [
-        F.when(F.col(name).isNull(), F.lit(default).cast("bigint")).otherwise(F.col(name).try_cast("bigint")).alias(name)
+        f"CASE WHEN {name} IS NULL THEN {default}L ELSE try_cast({name} AS BIGINT) END AS {name}"
         for name, (_, _, default) in RULE_INPUTS.items()
     ]
-    return wide.select(
-        *SNAPSHOT, *numbers, F.coalesce("executor", F.lit("SequentialExecutor")).alias("executor"), "store_serialized"
-    )
-
-
-def _connections() -> dict[str, Column]:
-    executor = F.col("executor")
-    executor_part = (
-        F.when(executor.contains("Celery"), 2)
-        .when(executor.contains("Local") | executor.contains("Kubernetes"), 1)
-        .otherwise(0)
+    return wide.selectExpr(
+        *SNAPSHOT, *numbers, "coalesce(executor, 'SequentialExecutor') AS executor", "store_serialized"
     )
-    per_process = F.col("pool_size") + F.col("max_overflow")
-    processes = F.col("parsers") + F.col("web_workers") + executor_part + 2
-    return {
-        "scheduler_connections": F.col("parsers") + 2,
-        "webserver_connections": F.col("web_workers"),
-        "executor_connections": executor_part,
-        "other_connections": F.lit(3),
-        "total_estimated": F.col("parsers") + 2 + F.col("web_workers") + executor_part + 3,
-        "pool_per_process": per_process,
-        "processes": processes,
-        "worst_case": processes * per_process,
-    }
 
 
+# connections each snapshot may open, over the columns of ``rule_inputs``
+EXECUTOR_CONNECTIONS = (
+    "CASE WHEN contains(executor, 'Celery') THEN 2 "
+    "WHEN contains(executor, 'Local') OR contains(executor, 'Kubernetes') THEN 1 ELSE 0 END"
+)
+PROCESSES = f"(parsers + web_workers + {EXECUTOR_CONNECTIONS} + 2)"
+WORST_CASE = f"{PROCESSES} * (pool_size + max_overflow)"
+CONNECTIONS = {
+    "scheduler_connections": "parsers + 2",
+    "webserver_connections": "web_workers",
+    "executor_connections": EXECUTOR_CONNECTIONS,
+    "other_connections": "3",
+    "total_estimated": f"parsers + 2 + web_workers + {EXECUTOR_CONNECTIONS} + 3",
+    "pool_per_process": "pool_size + max_overflow",
+    "processes": PROCESSES,
+    "worst_case": WORST_CASE,
+}
 BUDGET_INPUTS = ["pool_size", "max_overflow", "parallelism", "parsers", "web_workers", "worker_slots"]
 
 
 def connection_budget(settings: DataFrame) -> DataFrame:
     """Estimated and worst-case database connections per snapshot; snapshots with unreadable numbers are left out."""
-    readable = _all_set(BUDGET_INPUTS)
     return (
         rule_inputs(settings)
-        .where(readable)
-        .select(*SNAPSHOT, *[c.cast("bigint").alias(n) for n, c in _connections().items()])
+        .where(_all_set(BUDGET_INPUTS))
+        .selectExpr(*SNAPSHOT, *[f"CAST({value} AS BIGINT) AS {name}" for name, value in CONNECTIONS.items()])
     )
 
 
-def _all_set(names: list[str]) -> Column:
-    out = F.lit(True)
-    for name in names:
-        out = out & F.col(name).isNotNull()
-    return out
+def _all_set(names: list[str]) -> str:
+    return " AND ".join(f"{name} IS NOT NULL" for name in names) or "TRUE"
+
+
+@dataclass(frozen=True)
+class ConflictRule:
+    """``when`` and ``args`` are SQL over ``rule_inputs``; all of ``reads`` must be numbers for the rule to apply."""
+
+    severity: str
+    name: str
+    reads: list[str]
+    when: str
+    message: str
+    args: list[str]
+
+
+_TIMEOUTS = ["file_timeout", "import_timeout"]
+_INTERVALS = ["list_interval", "process_interval"]
+_TASK_LIMITS = ["parallelism", "dag_tasks", "dag_runs"]
+_WORKERS = ["worker_slots", "parallelism"]
+_SERIALIZATION = ["update_interval", "fetch_interval", "list_interval"]
+
+CONFLICT_RULES = [
+    ConflictRule(
+        "CRITICAL", "import_timeout_not_below_processor_timeout", _TIMEOUTS, "import_timeout >= file_timeout",
+        "dagbag_import_timeout %ds is not below dag_file_processor_timeout %ds", ["import_timeout", "file_timeout"],
+    ),
+    ConflictRule(
+        "WARNING", "import_timeout_close_to_processor_timeout", _TIMEOUTS,
+        "import_timeout < file_timeout AND import_timeout > file_timeout * 0.8D",
+        "dagbag_import_timeout %ds is within 20 percent of dag_file_processor_timeout %ds",
+        ["import_timeout", "file_timeout"],
+    ),
+    ConflictRule(
+        "CRITICAL", "process_interval_above_list_interval", _INTERVALS, "process_interval > list_interval",
+        "min_file_process_interval %ds is above dag_dir_list_interval %ds", ["process_interval", "list_interval"],
+    ),
+    ConflictRule(
+        "WARNING", "process_interval_equals_list_interval", _INTERVALS, "process_interval = list_interval",
+        "min_file_process_interval %ds equals dag_dir_list_interval %ds", ["process_interval", "list_interval"],
+    ),
+    ConflictRule(
+        "NOTICE", "serialized_dags_off", [], "coalesce(store_serialized NOT IN ('True', 'true', '1'), TRUE)",
+        "store_serialized_dags is not enabled", [],
+    ),
+    ConflictRule(
+        "NOTICE", "parallelism_below_dag_tasks", _TASK_LIMITS, "parallelism < dag_tasks",
+        "parallelism %d is below max_active_tasks_per_dag %d", ["parallelism", "dag_tasks"],
+    ),
+    ConflictRule(
+        "NOTICE", "parallelism_below_possible_tasks", _TASK_LIMITS, "parallelism < dag_tasks * dag_runs",
+        "parallelism %d is below max_active_tasks_per_dag %d x max_active_runs_per_dag %d", _TASK_LIMITS,
+    ),
+    ConflictRule(
+        "NOTICE", "worker_concurrency_above_parallelism", _WORKERS, "worker_slots > parallelism",
+        "worker_concurrency %d is above parallelism %d", _WORKERS,
+    ),
+    ConflictRule(
+        "NOTICE", "worker_concurrency_very_high", _WORKERS, "worker_slots > 32",
+        "worker_concurrency %d is very high", ["worker_slots"],
+    ),
+    ConflictRule(
+        "NOTICE", "pool_very_small", BUDGET_INPUTS, "pool_size < 5", "pool size %d is below 5", ["pool_size"],
+    ),
+    ConflictRule(
+        "NOTICE", "pool_small_for_parsers", BUDGET_INPUTS, "pool_size < greatest(5, parsers + 3)",
+        "pool size %d is small for %d parsing processes", ["pool_size", "parsers"],
+    ),
+    ConflictRule(
+        "NOTICE", "pool_capacity_small", BUDGET_INPUTS, "pool_size + max_overflow < 10",
+        "pool size %d plus overflow %d is below 10", ["pool_size", "max_overflow"],
+    ),
+    ConflictRule(
+        "NOTICE", "worst_case_connections_high", BUDGET_INPUTS, f"{WORST_CASE} > 100",
+        "up to %d database connections in the worst case", [WORST_CASE],
+    ),
+    ConflictRule(
+        "NOTICE", "pool_very_large", BUDGET_INPUTS, "pool_size > 50",
+        "pool size %d per process is very large, %d connections in the worst case", ["pool_size", WORST_CASE],
+    ),
+    ConflictRule(
+        "NOTICE", "pool_small_for_celery", BUDGET_INPUTS, "contains(executor, 'Celery') AND pool_size < 10",
+        "pool size %d is small for a Celery executor", ["pool_size"],
+    ),
+    ConflictRule("NOTICE", "few_parsers", ["parsers"], "parsers < 2", "%d parsing processes are few", ["parsers"]),
+    ConflictRule("NOTICE", "many_parsers", ["parsers"], "parsers > 8", "%d parsing processes are many", ["parsers"]),
+    ConflictRule(
+        "NOTICE", "list_interval_short", ["list_interval"], "list_interval < 30",
+        "dag_dir_list_interval %ds scans very often", ["list_interval"],
+    ),
+    ConflictRule(
+        "NOTICE", "list_interval_long", ["list_interval"], "list_interval > 600",
+        "dag_dir_list_interval %ds finds new files late", ["list_interval"],
+    ),
+    ConflictRule(
+        "NOTICE", "cleanup_time_short", ["cleanup_time"], "cleanup_time < 30",
+        "killed_task_cleanup_time %ds is very short", ["cleanup_time"],
+    ),
+    ConflictRule(
+        "NOTICE", "cleanup_time_long", ["cleanup_time"], "cleanup_time > 300",
+        "killed_task_cleanup_time %ds is long", ["cleanup_time"],
+    ),
+    ConflictRule(
+        "NOTICE", "update_interval_above_list_interval", _SERIALIZATION, "update_interval > list_interval",
+        "min_serialized_dag_update_interval %ds is above dag_dir_list_interval %ds", ["update_interval", "list_interval"],
+    ),
+    ConflictRule(
+        "NOTICE", "fetch_interval_not_below_update_interval", _SERIALIZATION, "fetch_interval >= update_interval",
+        "min_serialized_dag_fetch_interval %ds is not below min_serialized_dag_update_interval %ds",
+        ["fetch_interval", "update_interval"],
+    ),
+    ConflictRule(
+        "NOTICE", "creates_more_than_it_schedules", ["create_per_loop", "schedule_per_loop"],
+        "create_per_loop > schedule_per_loop",
+        "max_dagruns_to_create_per_loop %d is above max_dagruns_per_loop_to_schedule %d",
+        ["create_per_loop", "schedule_per_loop"],
+    ),
+]
 
 
 def config_conflicts(settings: DataFrame) -> DataFrame:
@@ -261,93 +371,20 @@ def config_conflicts(settings: DataFrame) -> DataFrame:
 
     A rule is skipped when any number its group reads is not one. Severity is CRITICAL, WARNING or NOTICE.
     """
-    c = {name: F.col(name) for name in RULE_INPUTS}
-    net = _connections()
-    celery = F.col("executor").contains("Celery")
-    pool_floor = F.greatest(F.lit(5), c["parsers"] + 3)
-    # (severity, rule, inputs that must be readable, condition, message, message arguments)
-    rules = [
-        ("CRITICAL", "import_timeout_not_below_processor_timeout", ["file_timeout", "import_timeout"],
-         c["import_timeout"] >= c["file_timeout"],
-         "dagbag_import_timeout %ds is not below dag_file_processor_timeout %ds", ["import_timeout", "file_timeout"]),
-        ("WARNING", "import_timeout_close_to_processor_timeout", ["file_timeout", "import_timeout"],
-         (c["import_timeout"] < c["file_timeout"]) & (c["import_timeout"] > c["file_timeout"] * 0.8),
-         "dagbag_import_timeout %ds is within 20 percent of dag_file_processor_timeout %ds",
-         ["import_timeout", "file_timeout"]),
-        ("CRITICAL", "process_interval_above_list_interval", ["list_interval", "process_interval"],
-         c["process_interval"] > c["list_interval"],
-         "min_file_process_interval %ds is above dag_dir_list_interval %ds", ["process_interval", "list_interval"]),
-        ("WARNING", "process_interval_equals_list_interval", ["list_interval", "process_interval"],
-         c["process_interval"] == c["list_interval"],
-         "min_file_process_interval %ds equals dag_dir_list_interval %ds", ["process_interval", "list_interval"]),
-        ("NOTICE", "serialized_dags_off", [],
-         ~F.coalesce(F.col("store_serialized").isin("True", "true", "1"), F.lit(False)),
-         "store_serialized_dags is not enabled", []),
-        ("NOTICE", "parallelism_below_dag_tasks", ["parallelism", "dag_tasks", "dag_runs"],
-         c["parallelism"] < c["dag_tasks"],
-         "parallelism %d is below max_active_tasks_per_dag %d", ["parallelism", "dag_tasks"]),
-        ("NOTICE", "parallelism_below_possible_tasks", ["parallelism", "dag_tasks", "dag_runs"],
-         c["parallelism"] < c["dag_tasks"] * c["dag_runs"],
-         "parallelism %d is below max_active_tasks_per_dag %d x max_active_runs_per_dag %d",
-         ["parallelism", "dag_tasks", "dag_runs"]),
-        ("NOTICE", "worker_concurrency_above_parallelism", ["worker_slots", "parallelism"],
-         c["worker_slots"] > c["parallelism"],
-         "worker_concurrency %d is above parallelism %d", ["worker_slots", "parallelism"]),
-        ("NOTICE", "worker_concurrency_very_high", ["worker_slots", "parallelism"],
-         c["worker_slots"] > 32, "worker_concurrency %d is very high", ["worker_slots"]),
-        ("NOTICE", "pool_very_small", BUDGET_INPUTS, c["pool_size"] < 5, "pool size %d is below 5", ["pool_size"]),
-        ("NOTICE", "pool_small_for_parsers", BUDGET_INPUTS, c["pool_size"] < pool_floor,
-         "pool size %d is small for %d parsing processes", ["pool_size", "parsers"]),
-        ("NOTICE", "pool_capacity_small", BUDGET_INPUTS, net["pool_per_process"] < 10,
-         "pool size %d plus overflow %d is below 10", ["pool_size", "max_overflow"]),
-        ("NOTICE", "worst_case_connections_high", BUDGET_INPUTS, net["worst_case"] > 100,
-         "up to %d database connections in the worst case", [net["worst_case"]]),
-        ("NOTICE", "pool_very_large", BUDGET_INPUTS, c["pool_size"] > 50,
-         "pool size %d per process is very large, %d connections in the worst case", ["pool_size", net["worst_case"]]),
-        ("NOTICE", "pool_small_for_celery", BUDGET_INPUTS, celery & (c["pool_size"] < 10),
-         "pool size %d is small for a Celery executor", ["pool_size"]),
-        ("NOTICE", "few_parsers", ["parsers"], c["parsers"] < 2, "%d parsing processes are few", ["parsers"]),
-        ("NOTICE", "many_parsers", ["parsers"], c["parsers"] > 8, "%d parsing processes are many", ["parsers"]),
-        ("NOTICE", "list_interval_short", ["list_interval"], c["list_interval"] < 30,
-         "dag_dir_list_interval %ds scans very often", ["list_interval"]),
-        ("NOTICE", "list_interval_long", ["list_interval"], c["list_interval"] > 600,
-         "dag_dir_list_interval %ds finds new files late", ["list_interval"]),
-        ("NOTICE", "cleanup_time_short", ["cleanup_time"], c["cleanup_time"] < 30,
-         "killed_task_cleanup_time %ds is very short", ["cleanup_time"]),
-        ("NOTICE", "cleanup_time_long", ["cleanup_time"], c["cleanup_time"] > 300,
-         "killed_task_cleanup_time %ds is long", ["cleanup_time"]),
-        ("NOTICE", "update_interval_above_list_interval", ["update_interval", "fetch_interval", "list_interval"],
-         c["update_interval"] > c["list_interval"],
-         "min_serialized_dag_update_interval %ds is above dag_dir_list_interval %ds",
-         ["update_interval", "list_interval"]),
-        ("NOTICE", "fetch_interval_not_below_update_interval", ["update_interval", "fetch_interval", "list_interval"],
-         c["fetch_interval"] >= c["update_interval"],
-         "min_serialized_dag_fetch_interval %ds is not below min_serialized_dag_update_interval %ds",
-         ["fetch_interval", "update_interval"]),
-        ("NOTICE", "creates_more_than_it_schedules", ["create_per_loop", "schedule_per_loop"],
-         c["create_per_loop"] > c["schedule_per_loop"],
-         "max_dagruns_to_create_per_loop %d is above max_dagruns_per_loop_to_schedule %d",
-         ["create_per_loop", "schedule_per_loop"]),
-    ]
     broken = []
-    for number, (severity, rule, inputs, condition, message, args) in enumerate(rules, start=1):
-        text = F.format_string(message, *args) if args else F.lit(message)
-        row = F.struct(
-            F.lit(number).alias("rule_no"),
-            F.lit(severity).alias("severity"),
-            F.lit(rule).alias("rule"),
-            text.alias("message"),
-        )
-        broken.append(F.when(_all_set(inputs) & condition, row))
-    return rule_inputs(settings).select(*SNAPSHOT, F.inline(F.array_compact(F.array(*broken))))
+    for number, rule in enumerate(CONFLICT_RULES, start=1):
+        message = f"format_string({', '.join([repr(rule.message), *rule.args])})"
+        row = f"'rule_no', {number}, 'severity', '{rule.severity}', 'rule', '{rule.name}', 'message', {message}"
+        broken.append(f"CASE WHEN {_all_set(rule.reads)} AND {rule.when} THEN named_struct({row}) END")
+    return rule_inputs(settings).selectExpr(*SNAPSHOT, f"inline(array_compact(array({', '.join(broken)})))")
 
 
 def config_fingerprint(settings: DataFrame) -> DataFrame:
     """md5 per snapshot over the audited settings, sensitive ones masked, in name order (unset ones as NOT_SET)."""
     names = sorted((section, setting) for section, items in AUDITED.items() for setting in items)
     masked = mask_settings(settings)
-    wide = masked.groupBy(*SNAPSHOT).agg(*[_value(s, n).alias(f"{s}__{n}") for s, n in names])
-    lines = [F.concat(F.lit(f"{s}.{n}="), F.coalesce(f"{s}__{n}", F.lit(NOT_SET))) for s, n in names]
+    wide = masked.groupBy(*SNAPSHOT).agg(*[_value(s, n, f"{s}__{n}") for s, n in names])
+    lines = [F.expr(f"concat('{s}.{n}=', coalesce({s}__{n}, '{NOT_SET}'))") for s, n in names]
     return wide.select(*SNAPSHOT, F.md5(F.concat_ws("\n", *lines)).alias("config_hash"))
 
 
