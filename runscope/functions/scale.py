@@ -14,15 +14,20 @@ def salted_join(
     """Equi-join whose hot keys are spread over ``salts`` tasks.
 
     Rows of ``big`` get a salt from ``salt_by`` (columns that vary within a key, so a re-run task makes the same
-    choice), rows of ``small`` are repeated once per salt. No broadcast is forced: Spark still broadcasts ``small``
-    when its size is below the session threshold. ``how`` may be inner, left, left_semi or left_anti.
+    choice), rows of ``small`` are repeated once per salt (a power of two). No broadcast is forced: Spark still
+    broadcasts ``small`` when its size is below the session threshold. ``how`` may be inner, left, left_semi or
+    left_anti.
     """
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("_salt", _one_of(salts, salt_by))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def _one_of(parts: int, columns: Sequence[str]) -> Column:
+    """0 .. parts - 1 by hash; never null, so that joins on it add no filter below (``parts``: a power of two)."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(parts - 1))
+
+
 def top_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
     """Ordered head of ``df`` (all of it when ``n`` is None)."""
     ordered = df.orderBy(*order)
@@ -31,7 +36,14 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame
 
 def _magnitude(value: Column) -> Column:
     """Monotonic log-scale slot of a number: 0.2 % wide, at most some 700 000 of them for any double."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(500.0))
+    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(500.0)), F.lit(0))
+
+
+def _has_keys(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(key).isNotNull()
+    return out
 
 
 def exact_percentiles(
@@ -43,12 +55,13 @@ def exact_percentiles(
     2. Counts are totalled per log-scale slot; a running total over the slots (bounded in number) shows which slots
        hold the wanted ranks.
     3. Only the values of those slots are ranked.
-    ``wanted`` maps output column to fraction. ``weight`` names a column of repeat counts.
+    ``wanted`` maps output column to fraction. ``weight`` names a column of repeat counts. Keys must not be null: the
+    explicit filter and the never-null slot keep both uses of the counts alike, so they are shuffled once and reused.
     """
     keys = list(keys)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & _has_keys(keys))
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(n.alias("_n"))
         .withColumn("_slot", _magnitude(F.col("_v").cast("double")))
@@ -84,7 +97,8 @@ def exact_percentiles(
     aggs = [F.max("_total").alias("_total")]
     for i, p in enumerate(wanted.values()):
         for side, up in (("lo", False), ("hi", True)):
-            aggs.append(F.max(F.when(holds(F.col("_first"), F.col("_n"), rank(p, up)), F.col("_v"))).alias(f"_{side}{i}"))
+            is_there = holds(F.col("_first"), F.col("_n"), rank(p, up))
+            aggs.append(F.max(F.when(is_there, F.col("_v"))).alias(f"_{side}{i}"))
     out = ranked.groupBy(*keys).agg(*aggs)
     cols = []
     for i, (name, p) in enumerate(wanted.items()):
@@ -95,20 +109,30 @@ def exact_percentiles(
 
 
 def top_with_percentiles(
-    source: DataFrame, top: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], limit: int | None
+    stats: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: dict[str, float],
+    order: Sequence[Column],
+    limit: int | None,
 ) -> DataFrame:
-    """Add percentiles of ``source.value`` to the rows of ``top``.
+    """The first ``limit`` rows of ``stats`` (one row per key) with percentiles of ``source.value`` added, in order.
 
-    With a limit, ``top`` has at most that many rows, so its keys can be broadcast and every other key's rows are
-    dropped before anything is shuffled.
+    With a limit, the keys that stay are few enough to be broadcast, and the rows of all others are dropped before
+    anything is shuffled: one pass for the statistics, one for the percentiles. All columns of ``stats`` take part in
+    the order (after the keys they no longer matter), so both uses of the top rows need the same statistics and Spark
+    computes them once.
     """
     keys = list(keys)
-    if limit is not None:
-        source = source.join(F.broadcast(top.select(*keys)), keys, "left_semi")
-    marks = exact_percentiles(source, keys, value, wanted)
     if limit is None:
-        return top.join(marks, keys, "left")
-    return marks.join(F.broadcast(top), keys, "inner")
+        marks = exact_percentiles(source, keys, value, wanted)
+        return stats.join(marks, keys, "left").orderBy(*order)
+    rest = [F.asc(c) for c in stats.columns if c not in keys]
+    top = stats.where(_has_keys(keys)).orderBy(*order, *rest).limit(limit)
+    kept = source.join(F.broadcast(top.select(*keys)), keys, "left_semi")
+    marks = exact_percentiles(kept, keys, value, wanted)
+    return marks.join(F.broadcast(top), keys, "inner").orderBy(*order)
 
 
 def sliced_gaps(df: DataFrame, key: str, ts: str, slice_seconds: int = 3600) -> DataFrame:
@@ -133,33 +157,34 @@ def sliced_gaps(df: DataFrame, key: str, ts: str, slice_seconds: int = 3600) ->
     )
 
 
-def interval_load(
-    points: DataFrame, intervals: DataFrame, window_start: Column, window_end: Column, window_days: int
-) -> DataFrame:
-    """How many closed intervals cover each time point (an open end lasts for ever).
+def interval_load(spans: DataFrame, window_start: Column, window_end: Column, window_days: int) -> DataFrame:
+    """How many closed intervals cover each of their starts and ends inside the window.
 
-    ``points`` has column t; ``intervals`` has columns start and end. Instead of joining points with intervals, all
-    starts and ends become +1/-1 events. The window is cut into at most 100 000 slices; what is open at the start of
-    each slice is a running total over the slices (one small row each), the rest a running total inside the slice.
+    ``spans`` has columns start, end (null: still open) and counted. Starts and ends of all rows are time points;
+    only rows that are counted, and start inside the window, add to the load. Instead of joining points with
+    intervals, each row gives one event at its start and one at its end. The window is cut into at most 100 000
+    slices; what is open at the start of each slice is a running total over the slices (one small row each), the rest
+    a running total inside the slice.
     """
     slice_seconds = max(60, -(-window_days * 86_400 // 100_000))
-    inside = lambda c: (F.col(c) >= window_start) & (F.col(c) < window_end)
-    valid = intervals.where(F.col("end").isNull() | (F.col("end") >= F.col("start"))).where(inside("start"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    inside = lambda c: F.coalesce((F.col(c) >= window_start) & (F.col(c) < window_end), F.lit(False))
+    flag = lambda c: c.cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    adds = (
+        F.col("counted") & inside("start") & (F.col("end").isNull() | (F.col("end") >= F.col("start")))
+    )
+    at_start = F.struct(F.col("start").alias("t"), flag(adds).alias("opened"), zero.alias("closed"))
+    at_end = F.struct(F.col("end").alias("t"), zero.alias("opened"), flag(adds).alias("closed"))
     events = (
-        points.where(inside("t"))
-        .select("t", one.alias("wanted"), zero.alias("opened"), zero.alias("closed"))
-        .unionByName(valid.select(F.col("start").alias("t"), zero.alias("wanted"), one.alias("opened"), zero.alias("closed")))
-        .unionByName(
-            valid.where(inside("end")).select(
-                F.col("end").alias("t"), zero.alias("wanted"), zero.alias("opened"), one.alias("closed")
-            )
+        spans.select(
+            F.inline(F.array(F.when(inside("start"), at_start), F.when(inside("end"), at_end)))
         )
+        .where(F.col("t").isNotNull())
     )
     moments = (
         events.groupBy("t")
-        .agg(F.max("wanted").alias("wanted"), F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
-        .withColumn("slice", F.floor(F.unix_seconds("t") / F.lit(slice_seconds)))
+        .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+        .withColumn("slice", F.coalesce(F.floor(F.unix_seconds("t") / F.lit(slice_seconds)), F.lit(0)))
     )
     by_slice = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -171,9 +196,7 @@ def interval_load(
     load = F.col("carried") + F.sum("opened").over(so_far) - F.sum("closed").over(so_far) + F.col("closed")
     return (
         moments.join(F.broadcast(carried), "slice")
-        .select("t", "wanted", load.alias("load"))
-        .where(F.col("wanted") == 1)
-        .select("t", "load")
+        .select("t", load.alias("load"))
     )
 
 
@@ -195,7 +218,7 @@ def with_previous(df: DataFrame, key: str, ts: str, value: str, into: str, slice
 
 def with_row_numbers(df: DataFrame, by: Sequence[str], into: str, buckets: int = 1024) -> DataFrame:
     """Adds dense numbers 1..n without a global sort; ``by`` identifies a row, so a re-run gives the same numbers."""
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    bucketed = df.withColumn("_bucket", _one_of(buckets, by))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))

@@ -90,6 +90,7 @@ def error_correlation(
             F.concat_ws(".", "dag_id", "task_id").alias("task"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("hour").isNotNull())
     )
     floor = _score_floor(per_hour, min_count, limit, seeds)
 
@@ -126,7 +127,7 @@ def _score_floor(per_hour: DataFrame, min_count: int, limit: int | None, seeds:
     if limit is None:
         return per_hour.sparkSession.range(1).select(lowest.alias("floor"))
     busiest = per_hour.groupBy("task").agg(F.sum(F.col("n") * F.col("n")).alias("own")).orderBy(F.desc("own"), "task").limit(seeds)
-    rows = per_hour.join(F.broadcast(busiest.select("task")), "task", "left_semi")
+    rows = per_hour.join(F.broadcast(busiest.select("task")), "task")
     # at most seeds x hours rows, so an hour holds at most ``seeds`` of them
     left = rows.select("hour", F.col("task").alias("task1"), F.col("n").alias("n1"))
     right = rows.select("hour", F.col("task").alias("task2"), F.col("n").alias("n2"))

@@ -214,9 +214,9 @@ def schedule_drift(
         )
         .where(F.col("mean") > min_avg_seconds)
     )
-    top = top_rows(stats, [F.desc("mean"), F.asc("dag_id")], limit)
+    order = [F.desc("mean"), F.asc("dag_id")]
     return (
-        top_with_percentiles(lags, top, ["dag_id"], "lag", {"p95": 0.95}, limit)
+        top_with_percentiles(stats, lags, ["dag_id"], "lag", {"p95": 0.95}, order, limit)
         .select(
             "dag_id",
             "run_count",
@@ -228,7 +228,6 @@ def schedule_drift(
             "runs_delayed_5min",
             "runs_delayed_1hour",
         )
-        .orderBy(F.desc("avg_drift_seconds"), "dag_id")
     )
 
 
@@ -248,9 +247,9 @@ def scheduling_delay(
         )
         .where(F.col("mean") > min_avg_seconds)
     )
-    top = top_rows(stats, [F.desc("mean"), F.asc("dag_id")], limit)
+    order = [F.desc("mean"), F.asc("dag_id")]
     return (
-        top_with_percentiles(lags, top, ["dag_id"], "lag", {"p50": 0.5, "p95": 0.95}, limit)
+        top_with_percentiles(stats, lags, ["dag_id"], "lag", {"p50": 0.5, "p95": 0.95}, order, limit)
         .select(
             "dag_id",
             "total_runs",
@@ -262,29 +261,28 @@ def scheduling_delay(
             "runs_with_1hour_lag",
             percent("runs_with_5min_lag", "total_runs").alias("pct_delayed_5min"),
         )
-        .orderBy(F.desc("avg_lag_seconds"), "dag_id")
     )
 
 
-def _load_summary(points: DataFrame, intervals: DataFrame, as_of: AsOf, analysis_days: int) -> DataFrame:
-    load = interval_load(points, intervals, days_before(as_of, analysis_days), timestamp_lit(as_of), analysis_days + 1)
+def _load_summary(spans: DataFrame, as_of: AsOf, analysis_days: int) -> DataFrame:
+    load = interval_load(spans, days_before(as_of, analysis_days), timestamp_lit(as_of), analysis_days + 1)
     spread = load.where(F.col("load") > 0).groupBy("load").agg(F.count(F.lit(1)).alias("n"))
     totals = spread.agg(
         F.max("load").alias("peak"),
         (F.sum(F.col("load") * F.col("n")) / F.sum("n")).alias("mean"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("sample_points"),
-    ).withColumn("_all", F.lit(0))
+    )
     marks = exact_percentiles(spread.withColumn("_all", F.lit(0)), ["_all"], "load", {"p95": 0.95, "p99": 0.99}, weight="n")
-    return totals.join(marks, "_all", "left")
+    rows = totals.unionByName(marks.drop("_all"), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("peak", "mean", "sample_points", "p95", "p99")])
 
 
 def run_concurrency(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
     """Peak, mean, p95 and p99 of runs open at the starts and ends inside the window (one row)."""
-    points = dag_run.select(F.col("start_date").alias("t")).unionByName(dag_run.select(F.col("end_date").alias("t")))
-    intervals = dag_run.where(F.col("dag_id").isNotNull()).select(
-        F.col("start_date").alias("start"), F.col("end_date").alias("end")
+    spans = dag_run.select(
+        F.col("start_date").alias("start"), F.col("end_date").alias("end"), F.col("dag_id").isNotNull().alias("counted")
     )
-    return _load_summary(points, intervals, as_of, analysis_days).select(
+    return _load_summary(spans, as_of, analysis_days).select(
         F.col("peak").alias("max_concurrent_dags"),
         F.col("mean").alias("avg_concurrent_dags"),
         F.col("p95").alias("p95_concurrent_dags"),
@@ -294,13 +292,11 @@ def run_concurrency(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7)
 
 def task_concurrency(task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
     """The same for tasks: time points of all states, load of running and queued ones only."""
-    points = task_instance.select(F.col("start_date").alias("t")).unionByName(
-        task_instance.select(F.col("end_date").alias("t"))
-    )
-    intervals = task_instance.where(F.col("state").isin("running", "queued") & F.col("task_id").isNotNull()).select(
-        F.col("start_date").alias("start"), F.col("end_date").alias("end")
+    is_open = F.coalesce(F.col("state").isin("running", "queued"), F.lit(False)) & F.col("task_id").isNotNull()
+    spans = task_instance.select(
+        F.col("start_date").alias("start"), F.col("end_date").alias("end"), is_open.alias("counted")
     )
-    return _load_summary(points, intervals, as_of, analysis_days).select(
+    return _load_summary(spans, as_of, analysis_days).select(
         F.col("peak").alias("max_concurrent_tasks"),
         F.col("mean").alias("avg_concurrent_tasks"),
         F.col("p95").alias("p95_concurrent_tasks"),

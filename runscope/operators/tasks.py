@@ -46,10 +46,9 @@ def task_duration_trends(
         .where((F.col("execution_count") >= min_count) & F.col("recent").isNotNull() & F.col("old").isNotNull())
         .withColumn("change", ratio(F.col("recent") - F.col("old"), "old"))
     )
-    top = top_rows(stats, _by_task(F.abs("change").desc()), limit)
+    order = _by_task(F.abs("change").desc())
     return (
-        top_with_percentiles(durations, top, TASK, "seconds", {"p50": 0.5, "p95": 0.95}, limit)
-        .orderBy(*_by_task(F.abs("change").desc()))
+        top_with_percentiles(stats, durations, TASK, "seconds", {"p50": 0.5, "p95": 0.95}, order, limit)
         .select(
             *TASK,
             "execution_count",
@@ -145,10 +144,9 @@ def executor_queue_lag(
         )
         .where(F.col("task_count") >= min_count)
     )
-    top = top_rows(stats, _by_task(F.desc("mean")), limit)
+    order = _by_task(F.desc("mean"))
     return (
-        top_with_percentiles(lags, top, TASK, "lag", {"p95": 0.95}, limit)
-        .orderBy(*_by_task(F.desc("mean")))
+        top_with_percentiles(stats, lags, TASK, "lag", {"p95": 0.95}, order, limit)
         .select(
             *TASK,
             "task_count",
@@ -180,10 +178,9 @@ def queued_duration(
         )
         .where(F.col("mean") > min_avg_seconds)
     )
-    top = top_rows(stats, _by_task(F.desc("mean")), limit)
+    order = _by_task(F.desc("mean"))
     return (
-        top_with_percentiles(waits, top, TASK, "wait", {"p50": 0.5, "p95": 0.95}, limit)
-        .orderBy(*_by_task(F.desc("mean")))
+        top_with_percentiles(stats, waits, TASK, "wait", {"p50": 0.5, "p95": 0.95}, order, limit)
         .select(
             *TASK,
             "task_count",
