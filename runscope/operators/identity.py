@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scale import salted_join
 from ..functions.timeexpr import AsOf, timestamp_lit
 
 # fixed values: characters replaced by the wide rule
@@ -183,7 +184,7 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
 
     asked = p.select("request_id", F.explode("_roles").alias("name"))
     unknown = (
-        asked.join(roles.select("name"), "name", "left_anti")
+        salted_join(asked, roles.select("name"), ["name"], ["request_id"], "left_anti")
         .groupBy("request_id")
         .agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("unknown_roles"))
     )
@@ -210,12 +211,9 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
     changed = users.join(news, "id")
     for f in plain:
         changed = changed.withColumn(f, F.coalesce(f"_new_{f}", f))
-    links = (
-        accepted.select("user_id", F.explode("_roles").alias("name"))
-        .join(roles.select("name", F.col("id").alias("role_id")), "name")
-        .select("user_id", "role_id")
-        .distinct()
-    )
+    granted = accepted.select("user_id", F.explode("_roles").alias("name"))
+    known_roles = roles.select("name", F.col("id").alias("role_id"))
+    links = salted_join(granted, known_roles, ["name"], ["user_id"]).select("user_id", "role_id").distinct()
     rejected = judged.where(F.col("_refusal").isNotNull()).select(
         "request_id", "username", F.col("_refusal.code").alias("code"), F.col("_refusal.detail").alias("detail")
     )

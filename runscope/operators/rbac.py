@@ -97,25 +97,26 @@ def derive_roles(tables: Tables, requests: DataFrame, *, menu_mode: str = "alway
     roles = tables["ab_role"]
     known = roles.select(F.col("name").alias("role_name"))
     sources = known.withColumnRenamed("role_name", "source_role")
-    wanted = (
-        requests.dropDuplicates(["role_name"])
-        .join(known, "role_name", "left_anti")
-        .join(sources, "source_role", "left_semi")
-    )
+    fresh = requests.dropDuplicates(["role_name"]).join(known, "role_name", "left_anti")
+    wanted = salted_join(fresh, sources, ["source_role"], ["role_name"], "left_semi")
     last_id = F.coalesce(roles.agg(F.max("id")).scalar(), F.lit(0))
     named = with_row_numbers(wanted, ["role_name"], "_no").withColumn("role_id", (last_id + F.col("_no")).cast("int"))
 
     base = _base_permissions(tables, wanted.select(F.col("source_role").alias("role_name")))
-    from_source = named.select("role_id", "source_role").join(
-        base.withColumnRenamed("role_name", "source_role"), "source_role"
+    # most new roles may share one source or one workflow, so these joins are split by role
+    from_source = salted_join(
+        named.select("role_id", "source_role"),
+        base.withColumnRenamed("role_name", "source_role"),
+        ["source_role"],
+        ["role_id"],
+    )
+    per_dag = named.select("role_id", F.explode("specific_dags").alias("dag_id")).select(
+        "role_id", F.concat(F.lit("DAG:"), "dag_id").alias("view_name")
     )
-    per_dag = named.select(
-        "role_id", F.explode("specific_dags").alias("dag_id")
-    ).select("role_id", F.concat(F.lit("DAG:"), "dag_id").alias("view_name"))
     views = tables["ab_view_menu"].select(F.col("id").alias("view_menu_id"), F.col("name").alias("view_name"))
-    menus = per_dag.join(views, "view_name").select("role_id", "view_menu_id").distinct()
+    menus = salted_join(per_dag, views, ["view_name"], ["role_id"]).select("role_id", "view_menu_id").distinct()
     pv = tables["ab_permission_view"].select(F.col("id").alias("permission_view_id"), "view_menu_id")
-    from_dags = pv.join(menus, "view_menu_id")
+    from_dags = salted_join(menus, pv, ["view_menu_id"], ["role_id"])
     has_menu = F.lit(True) if menu_mode == "always" else F.coalesce(F.size("specific_dags") > 0, F.lit(False))
     menu_id = menu_permission(tables, menu_mode=menu_mode).agg(F.min("permission_view_id")).scalar()
     from_menu = named.where(has_menu).select(menu_id.alias("permission_view_id"), "role_id")

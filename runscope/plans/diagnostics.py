@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.timeexpr import AsOf
+from ..functions.timeexpr import AsOf, in_window
 from ..operators import config_audit, documents, failures, forecast, inventory, runs, scheduler, snapshots, tasks
+from ..sources.schemas import schema_of
 from .settle import settled
 
 
@@ -97,30 +100,60 @@ def _steps(s: Settings) -> dict[str, Step]:
     }
 
 
+def recent_tasks(task_instance: DataFrame, s: Settings) -> DataFrame:
+    """The attempts any operator looks at: started, ended or queued in the window, or still running."""
+    at, days = s.at("task_instance"), s.analysis_days
+    return task_instance.where(
+        in_window("start_date", at, days)
+        | in_window("end_date", at, days)
+        | in_window("queued_dttm", at, days)
+        | (F.col("state") == "running")
+    ).select(*[f for f in schema_of("task_instance").names if f in task_instance.columns])
+
+
+def recent_runs(dag_run: DataFrame, s: Settings) -> DataFrame:
+    """The runs any operator looks at: scheduled, started or ended in the window, or still queued."""
+    at, days = s.at("dag_run"), s.analysis_days
+    return dag_run.where(
+        in_window("execution_date", at, days)
+        | in_window("start_date", at, days)
+        | in_window("end_date", at, days)
+        | (F.col("state") == "queued")
+    ).select(*[f for f in schema_of("dag_run").names if f in dag_run.columns])
+
+
 def run_diagnostics(
     tables: Mapping[str, DataFrame], settings: Settings, *, settle: bool = False, only: set[str] | None = None
 ) -> dict[str, DataFrame]:
     """Result name -> DataFrame for every operator whose tables are given.
 
     Results stay lazy. With ``settle`` each one is computed once and kept in the checkpoint folder, so that findings,
-    recommendations and the report all read a few small tables instead of starting from the raw ones again.
+    recommendations and the report all read a few small tables instead of starting from the raw ones again. The window
+    of the two big tables is read once and kept (in memory, else on disk) while the results are computed.
     """
+    shared: dict[str, DataFrame] = {}
+    if settle:
+        for name, recent in (("task_instance", recent_tasks), ("dag_run", recent_runs)):
+            if name in tables:
+                shared[name] = recent(tables[name], settings).persist(StorageLevel.MEMORY_AND_DISK)
+    keep = settled if settle else lambda df: df
     results: dict[str, DataFrame] = {}
     for name, (needs, compute) in _steps(settings).items():
         if only is not None and name not in only:
             continue
-        inputs = [results[n] if n in results else tables.get(n) for n in needs]
+        inputs = [results.get(n, shared.get(n, tables.get(n))) for n in needs]
         if any(i is None for i in inputs):
             continue
-        result = compute(*inputs)
-        results[name] = settled(result) if settle else result
+        results[name] = keep(compute(*inputs))
     counted = {n: tables[n] for n in ("task_instance", "dag_run", "log", "job", "xcom") if n in tables}
     for name, compute in (
         ("table_row_counts", lambda: forecast.table_row_counts(counted)),
         ("table_growth", lambda: _growth(counted, settings)),
     ):
         if counted and (only is None or name in only):
-            results[name] = settled(compute()) if settle else compute()
+            results[name] = keep(compute())
+    for df in shared.values():
+        df.unpersist()
     return results
 
 

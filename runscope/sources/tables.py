@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import salted_join
 from .schemas import SCHEMAS, schema_of
 
 # fixed values: schemas tried in this order when a table name has none
@@ -149,10 +150,13 @@ def requested_ids(spark: SparkSession, id_list: str) -> DataFrame:
 
 
 def select_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Size and version of the documents asked for, and the ids without one."""
+    """Size and version of the documents asked for, and the ids without one.
+
+    Texts are measured before the join, so they are not shuffled.
+    """
     wanted = ids.select("dag_id").distinct()
     size = F.length("data")
-    found = documents.join(wanted, "dag_id", "left_semi").select(
+    measured = documents.select(
         "dag_id",
         "fileloc",
         size.alias("size_bytes"),
@@ -160,8 +164,8 @@ def select_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, Data
         "last_updated",
         "dag_hash",
     )
-    known = documents.select("dag_id").join(wanted, "dag_id", "left_semi").distinct()
-    return found, wanted.join(known, "dag_id", "left_anti")
+    found = salted_join(measured, wanted, ["dag_id"], ["dag_hash", "last_updated"], "left_semi")
+    return found, wanted.join(documents.select("dag_id").distinct(), "dag_id", "left_anti")
 
 
 def require_found(found: DataFrame) -> DataFrame:
