@@ -143,7 +143,7 @@ def peak_and_quiet_hours(hourly: DataFrame, *, quiet_share: float = 0.1, mode: s
         "total_runs",
         ((F.col("_rank") == 1) & (runs > 0)).alias("is_peak"),
         ((runs > 0) & (runs < F.col("peak_so_far") * quiet_share)).alias("is_quiet"),
-    )
+    ).orderBy("hour_of_day")
 
 
 def dag_frequency(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
