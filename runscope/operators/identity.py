@@ -176,7 +176,7 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
         is_later = F.coalesce(F.col("request_id") > F.col("_first"), F.lit(False))
         p = _lookup(p, first, key).withColumn(flag, is_later).drop("_first")
 
-    mask = F.transform(F.split(F.nullif("update_mask", F.lit("")), ","), F.btrim)
+    mask = F.transform(F.split(F.nullif("update_mask", F.lit("")), ","), lambda f: F.btrim(f, F.lit(" \t\r\n")))
     was_sent = F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(f)) for f, c in sent.items()]))
     p = p.withColumn("_mask", mask).withColumn("_unsent", F.array_except("_mask", was_sent))
     allowed = {f: F.col("_mask").isNull() | F.array_contains("_mask", f) for f in PATCH_FIELDS}
