@@ -132,7 +132,7 @@ def top_with_percentiles(
     top = stats.where(_has_keys(keys)).orderBy(*order, *rest).limit(limit)
     kept = source.join(F.broadcast(top.select(*keys)), keys, "left_semi")
     marks = exact_percentiles(kept, keys, value, wanted)
-    return marks.join(F.broadcast(top), keys, "inner").orderBy(*order)
+    return marks.join(F.broadcast(top), keys, "inner").orderBy(*order).limit(limit)
 
 
 def sliced_gaps(df: DataFrame, key: str, ts: str, slice_seconds: int = 3600) -> DataFrame:

@@ -78,24 +78,25 @@ def json_outline(text: str | Column) -> Column:
     return F.regexp_replace(no_strings, r"\s+", "")
 
 
-def json_is_valid(text: str | Column) -> Column:
+def json_is_valid(text: str | Column, outline: Column | None = None) -> Column:
     """True if the whole text is one JSON value.
 
     The text is read as the first of two array elements; the second one, a hash of the text, is found only if the
-    first is complete JSON with nothing after it. The outline rejects the single quotes and raw control characters
-    that the JSON reader tolerates.
+    first is complete JSON with nothing after it. The outline (pass it if it is at hand) rejects the single quotes and
+    raw control characters that the JSON reader tolerates.
     """
     t = _col(text)
+    outline = json_outline(t) if outline is None else outline
     mark = F.xxhash64(t).cast("string")
     wrapped = F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]'))
     complete = F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False))
-    outline = json_outline(t)
-    return complete & ~outline.contains('"') & ~outline.contains("'")
+    return complete & ~F.regexp_like(outline, F.lit("[\"']"))
 
 
-def json_depth(text: str | Column) -> Column:
+def json_depth(text: str | Column, outline: Column | None = None) -> Column:
     """Deepest nesting of objects and lists in valid JSON; empty ones add no level."""
-    no_empty = F.regexp_replace(json_outline(text), r"\{\}|\[\]", "0")
+    outline = json_outline(text) if outline is None else outline
+    no_empty = F.regexp_replace(outline, r"\{\}|\[\]", "0")
     brackets = F.translate(F.regexp_replace(no_empty, r"[^\[\]{}]", ""), "[]", "{}")
     level = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label, kilobytes, labels_that_hold, megabytes
 from ..functions.scale import top_rows
-from ..functions.text import first_contained, json_depth, json_is_valid, occurrences
+from ..functions.text import first_contained, json_depth, json_is_valid, json_outline, occurrences
 from ..functions.timeexpr import AsOf, in_window, seconds_between, timestamp_lit
 from .runs import counts_per_bucket
 
@@ -291,7 +291,11 @@ def suspicious_summary(counts: DataFrame) -> DataFrame:
 
 def json_validity(documents: DataFrame, *, text: str = "data") -> DataFrame:
     """Adds ``json_valid``."""
-    return documents.withColumn("json_valid", json_is_valid(text))
+    return (
+        documents.withColumn("_outline", json_outline(text))
+        .withColumn("json_valid", json_is_valid(text, F.col("_outline")))
+        .drop("_outline")
+    )
 
 
 def content_checks(
@@ -305,19 +309,18 @@ def content_checks(
     max_repeats: int = 5,
 ) -> DataFrame:
     """Content checks of valid JSON documents: measures plus the issues they raise (null where JSON is invalid)."""
-    t = F.col(text)
+    t, outline = F.col(text), F.col("_outline")
     valid = F.col("json_valid")
     measures = {
-        "json_depth": json_depth(t),
+        "json_depth": json_depth(t, outline),
         "dag_references": occurrences(t, '"_dag"'),
         "task_references": occurrences(t, '"task_id"'),
         "has_pickle": t.contains('"pickle"') | t.contains('"__reduce__"'),
         "large_strings": large_string_count(t, large_string_chars),
         "prefix_repeats": prefix_repeats(t),
     }
-    out = json_validity(documents, text=text)
-    for name, value in measures.items():
-        out = out.withColumn(name, F.when(valid, value))
+    out = documents.withColumn("_outline", json_outline(t)).withColumn("json_valid", json_is_valid(t, outline))
+    out = out.withColumns({name: F.when(valid, value) for name, value in measures.items()}).drop("_outline")
     return out.withColumn(
         "issues",
         F.when(
