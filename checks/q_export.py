@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from datetime import datetime
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from runscope.operators import failures, runs
+from runscope.plans import diagnostics, findings, recommendations, report
+from runscope.plans.settle import ensure_checkpoint_dir
 from runscope.sources import export, tables
 
-from .bindings import RBAC
+from .bindings import AS_OF, RBAC
 from .q_people import BASE, PERMISSION_TABLES
-from .register import EVENTS_AS_OF, ORDERS_AS_OF, Get, big, query, rnd
+from .q_runs import EVENT, PERFORMANCE, RUN
+from .register import EVENTS_AS_OF, ORDERS_AS_OF, ORDERS_DAYS, Get, big, query, rnd
 
 ORDERS_NOW = datetime.fromisoformat(ORDERS_AS_OF)
 EVENTS_NOW = datetime.fromisoformat(EVENTS_AS_OF)
@@ -154,3 +161,60 @@ def _(t: Get):
 SELECT status, COUNT(*) AS dags, {big("COALESCE(SUM(file_size_bytes), 0)")} AS total_bytes FROM report GROUP BY status""")
 def _(t: Get):
     return export.export_report_summary(_report(t))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the storage that checkpoints use."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query("s04_sample_probe")
+def _(t: Get):
+    return tables.sample_probe(t("serialized_dag"), ["dag_id", "data", "data_compressed"])
+
+
+@query("s08_file_inventory")
+def _(t: Get):
+    given = t("lineitem")
+    files = tables.file_inventory(given.sparkSession, os.path.dirname(given.inputFiles()[0]))
+    return files.where(F.col("path").endswith(".parquet"))
+
+
+@query("k02_csv_round_trip", ["task_fail"], """
+SELECT dag_id, task_id, strftime(start_date, '%Y-%m-%d %H:%M:%S.%f') AS start_date,
+       strftime(end_date, '%Y-%m-%d %H:%M:%S.%f') AS end_date FROM task_fail""")
+def _(t: Get):
+    spark = t("task_fail").sparkSession
+    path = _folder(spark, "csv")
+    export.write_csv_gz(t("task_fail"), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query("k05_written_documents", ["serialized_dag"], f"""WITH {LATEST}
+SELECT dag_id, '{{"dag_id":"' || dag_id || '","serialized_data":' || {DATA} || '}}' AS content FROM latest""")
+def _(t: Get):
+    spark = t("serialized_dag").sparkSession
+    path = _folder(spark, "documents")
+    latest = export.latest_versions(t("serialized_dag"))
+    export.write_documents(export.export_documents(latest, as_of=EVENTS_AS_OF, include_metadata=False), path)
+    return spark.read.text(path).select("dag_id", F.col("value").alias("content"))
+
+
+@query("k07_written_report", ["dag_run"], f"""WITH {PERFORMANCE},
+top AS (SELECT * FROM perf ORDER BY total_runs DESC, dag_id LIMIT 20)
+SELECT printf('%-35s %8d runs %6.2f %% %10s', dag_id, total_runs, success_rate_percent,
+              CASE WHEN avg_rt < 3600 THEN printf('%.1fm', avg_rt / 60) ELSE printf('%.1fh', avg_rt / 3600) END) AS line
+FROM top""")
+def _(t: Get):
+    settings = diagnostics.Settings(as_of=ORDERS_AS_OF, analysis_days=ORDERS_DAYS, history_as_of=AS_OF)
+    results = {
+        "run_performance": runs.run_performance(t("dag_run"), **RUN),
+        "task_failures": failures.task_failures(t("task_fail"), **EVENT),
+        "catchup_backlog": runs.catchup_backlog(t("dag_run"), as_of=ORDERS_AS_OF),
+    }
+    found = findings.findings(results, settings)
+    advice = recommendations.recommendations(recommendations.headline_numbers(results, found), settings)
+    spark = t("dag_run").sparkSession
+    path = report.report_path(_folder(spark, "report"), "prod", "diagnostics", ORDERS_NOW)
+    report.write_report(report.report_lines(results, found, advice), path)
+    return spark.read.text(path).where(F.col("value").rlike("^dag_.* runs ")).select(F.col("value").alias("line"))

@@ -34,9 +34,8 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame
     return ordered if n is None else ordered.limit(n)
 
 
-def _magnitude(value: Column) -> Column:
-    """Monotonic log-scale slot of a number: 0.2 % wide, at most some 700 000 of them for any double."""
-    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(500.0)), F.lit(0))
+# monotonic log-scale slot of the number _v: 0.2 % wide, at most some 700 000 of them for any double, never null
+_MAGNITUDE = "coalesce(floor(signum(CAST(_v AS DOUBLE)) * log1p(abs(CAST(_v AS DOUBLE))) * 500D), 0L)"
 
 
 def _has_keys(keys: Sequence[str]) -> Column:
@@ -58,54 +57,43 @@ def exact_percentiles(
     ``wanted`` maps output column to fraction. ``weight`` names a column of repeat counts. Keys must not be null: the
     explicit filter and the never-null slot keep both uses of the counts alike, so they are shuffled once and reused.
     """
-    keys = list(keys)
-    n = F.sum(weight) if weight else F.count(F.lit(1))
+    group = ", ".join(f"`{key}`" for key in keys)
+    n = f"sum({weight})" if weight else "count(1)"
     counts = (
-        df.where(F.col(value).isNotNull() & _has_keys(keys))
+        df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, value]))
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(n.alias("_n"))
-        .withColumn("_slot", _magnitude(F.col("_v").cast("double")))
+        .agg(F.expr(f"{n} AS _n"))
+        .selectExpr(*keys, "_v", "_n", f"{_MAGNITUDE} AS _slot")
     )
-    by_slot = Window.partitionBy(*keys).orderBy("_slot")
+    ranks = {f"{up}({p}D * (_total - 1))" for p in wanted.values() for up in ("floor", "ceil")}
+    by_slot = f"PARTITION BY {group} ORDER BY _slot ROWS UNBOUNDED PRECEDING"
     slots = (
         counts.groupBy(*keys, "_slot")
-        .agg(F.sum("_n").alias("_slot_n"))
-        .withColumn("_upto", F.sum("_slot_n").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_slot_n").over(Window.partitionBy(*keys)))
-        .withColumn("_before", F.col("_upto") - F.col("_slot_n"))
+        .agg(F.expr("sum(_n) AS _slot_n"))
+        .selectExpr(
+            *keys,
+            "_slot",
+            "_slot_n",
+            f"sum(_slot_n) OVER ({by_slot}) - _slot_n AS _before",
+            f"sum(_slot_n) OVER (PARTITION BY {group}) AS _total",
+        )
+        .where(" OR ".join(f"({r} >= _before AND {r} < _before + _slot_n)" for r in sorted(ranks)))
+        .drop("_slot_n")
+    )
+    in_slot = f"PARTITION BY {group}, _slot ORDER BY _v ROWS UNBOUNDED PRECEDING"
+    ranked = counts.join(slots, [*keys, "_slot"]).selectExpr(
+        *keys, "_v", "_n", "_total", f"_before + sum(_n) OVER ({in_slot}) - _n AS _first"
     )
 
-    def rank(p: float, up: bool) -> Column:
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        return F.ceil(position) if up else F.floor(position)
-
-    def holds(first: Column, count: Column, r: Column) -> Column:
-        return (r >= first) & (r < first + count)
-
-    hit = F.lit(False)
-    for p in wanted.values():
-        for up in (False, True):
-            hit = hit | holds(F.col("_before"), F.col("_slot_n"), rank(p, up))
-    slots = slots.where(hit).select(*keys, "_slot", "_before", "_total")
+    def value_at(rank: str) -> str:
+        return f"CAST(max(CASE WHEN {rank} >= _first AND {rank} < _first + _n THEN _v END) AS DOUBLE)"
 
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy("_v")
-    ranked = (
-        counts.join(slots, [*keys, "_slot"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(in_slot.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_first", F.col("_end") - F.col("_n"))
-    )
-    aggs = [F.max("_total").alias("_total")]
-    for i, p in enumerate(wanted.values()):
-        for side, up in (("lo", False), ("hi", True)):
-            is_there = holds(F.col("_first"), F.col("_n"), rank(p, up))
-            aggs.append(F.max(F.when(is_there, F.col("_v"))).alias(f"_{side}{i}"))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    cols = []
-    for i, (name, p) in enumerate(wanted.items()):
-        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        cols.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
-    return out.select(*keys, *cols)
+    marks = []
+    for name, p in wanted.items():
+        position = f"{p}D * (max(_total) - 1)"
+        low, high = (value_at(f"{up}({p}D * (_total - 1))") for up in ("floor", "ceil"))
+        marks.append(F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position})) AS `{name}`"))
+    return ranked.groupBy(*keys).agg(*marks)
 
 
 def top_with_percentiles(
@@ -167,36 +155,31 @@ def interval_load(spans: DataFrame, window_start: Column, window_end: Column, wi
     a running total inside the slice.
     """
     slice_seconds = max(60, -(-window_days * 86_400 // 100_000))
-    inside = lambda c: F.coalesce((F.col(c) >= window_start) & (F.col(c) < window_end), F.lit(False))
-    flag = lambda c: c.cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    adds = (
-        F.col("counted") & inside("start") & (F.col("end").isNull() | (F.col("end") >= F.col("start")))
-    )
-    at_start = F.struct(F.col("start").alias("t"), flag(adds).alias("opened"), zero.alias("closed"))
-    at_end = F.struct(F.col("end").alias("t"), zero.alias("opened"), flag(adds).alias("closed"))
+    inside = {c: F.coalesce((F.col(c) >= window_start) & (F.col(c) < window_end), F.lit(False)) for c in ("start", "end")}
+    adds = "CAST(counted AND starts_inside AND (`end` IS NULL OR `end` >= start) AS BIGINT)"
     events = (
-        spans.select(
-            F.inline(F.array(F.when(inside("start"), at_start), F.when(inside("end"), at_end)))
+        spans.withColumns({"starts_inside": inside["start"], "ends_inside": inside["end"]})
+        .selectExpr(
+            f"""inline(array(
+                CASE WHEN starts_inside THEN named_struct('t', start, 'opened', {adds}, 'closed', 0L) END,
+                CASE WHEN ends_inside THEN named_struct('t', `end`, 'opened', 0L, 'closed', {adds}) END))"""
         )
-        .where(F.col("t").isNotNull())
+        .where("t IS NOT NULL")
     )
     moments = (
         events.groupBy("t")
         .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
-        .withColumn("slice", F.coalesce(F.floor(F.unix_seconds("t") / F.lit(slice_seconds)), F.lit(0)))
+        .withColumn("slice", F.expr(f"coalesce(floor(unix_seconds(t) / {slice_seconds}), 0L)"))
     )
-    by_slice = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = "ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     carried = (
         moments.groupBy("slice")
-        .agg(F.sum(F.col("opened") - F.col("closed")).alias("net"))
-        .select("slice", F.coalesce(F.sum("net").over(by_slice), zero).alias("carried"))
+        .agg(F.expr("sum(opened - closed) AS net"))
+        .selectExpr("slice", f"coalesce(sum(net) OVER ({before}), 0L) AS carried")
     )
-    so_far = Window.partitionBy("slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    load = F.col("carried") + F.sum("opened").over(so_far) - F.sum("closed").over(so_far) + F.col("closed")
-    return (
-        moments.join(F.broadcast(carried), "slice")
-        .select("t", load.alias("load"))
+    so_far = "PARTITION BY slice ORDER BY t ROWS UNBOUNDED PRECEDING"
+    return moments.join(F.broadcast(carried), "slice").selectExpr(
+        "t", f"carried + sum(opened) OVER ({so_far}) - sum(closed) OVER ({so_far}) + closed AS load"
     )
 
 

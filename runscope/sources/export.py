@@ -207,8 +207,12 @@ def latest_versions(documents: DataFrame) -> DataFrame:
 def export_documents(
     documents: DataFrame, *, as_of: AsOf, environment: str = "", version: str = "Unknown", include_metadata: bool = True
 ) -> DataFrame:
-    """dag_id and the JSON text to store for it; valid documents are embedded as JSON, others as a string."""
-    data = F.when(json_is_valid("data"), F.col("data")).otherwise(_json_text(F.col("data")))
+    """dag_id and the JSON text to store for it, on one line; valid documents are embedded as JSON, others as a string.
+
+    Line breaks in valid JSON can only stand between its parts, so a space means the same.
+    """
+    one_line = F.translate("data", "\r\n", "  ")
+    data = F.when(json_is_valid("data"), one_line).otherwise(_json_text(F.col("data")))
     data = F.coalesce(data, F.lit("null"))
     if not include_metadata:
         content = F.concat(F.lit('{"dag_id":'), _json_text(F.col("dag_id")), F.lit(',"serialized_data":'), data, F.lit("}"))

@@ -26,5 +26,13 @@ def test_entry(spark):
     assert entry(spark).count() == 20
 
 
-def test_only_the_report_has_no_twin():
-    assert set(queries()) - set(TWINS) == {"i04_report_lines"}
+WITHOUT = ["i04_report_lines", "s04_sample_probe", "s08_file_inventory"]
+
+
+@pytest.mark.parametrize("name", WITHOUT)
+def test_without_twin(spark, name):
+    assert queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_all_others_have_twins():
+    assert sorted(set(queries()) - set(TWINS)) == WITHOUT
