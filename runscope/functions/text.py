@@ -78,19 +78,26 @@ def json_outline(text: str | Column) -> Column:
     return F.regexp_replace(no_strings, r"\s+", "")
 
 
-def json_is_valid(text: str | Column, outline: Column | None = None) -> Column:
-    """True if the whole text is one JSON value.
+def json_reads_through(text: str | Column) -> Column:
+    """True if the (lenient) JSON reader takes the whole text as one value.
 
     The text is read as the first of two array elements; the second one, a hash of the text, is found only if the
-    first is complete JSON with nothing after it. The outline (pass it if it is at hand) rejects the single quotes and
-    raw control characters that the JSON reader tolerates.
+    first is complete and nothing follows it. Texts that are not JSON fail at their first characters.
     """
     t = _col(text)
-    outline = json_outline(t) if outline is None else outline
     mark = F.xxhash64(t).cast("string")
     wrapped = F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]'))
-    complete = F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False))
-    return complete & ~F.regexp_like(outline, F.lit("[\"']"))
+    return F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False))
+
+
+def outline_is_strict(outline: Column) -> Column:
+    """False for the single quotes and raw control characters in strings that the reader tolerates."""
+    return ~F.regexp_like(outline, F.lit("[\"']"))
+
+
+def json_is_valid(text: str | Column) -> Column:
+    """True if the whole text is one JSON value."""
+    return json_reads_through(text) & outline_is_strict(json_outline(text))
 
 
 def json_depth(text: str | Column, outline: Column | None = None) -> Column:

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label, kilobytes, labels_that_hold, megabytes
 from ..functions.scale import top_rows
-from ..functions.text import first_contained, json_depth, json_is_valid, json_outline, occurrences
+from ..functions.text import (
+    first_contained,
+    json_depth,
+    json_outline,
+    json_reads_through,
+    occurrences,
+    outline_is_strict,
+)
 from ..functions.timeexpr import AsOf, in_window, seconds_between, timestamp_lit
 from .runs import counts_per_bucket
 
@@ -291,11 +298,13 @@ def suspicious_summary(counts: DataFrame) -> DataFrame:
 
 def json_validity(documents: DataFrame, *, text: str = "data") -> DataFrame:
     """Adds ``json_valid``."""
-    return (
-        documents.withColumn("_outline", json_outline(text))
-        .withColumn("json_valid", json_is_valid(text, F.col("_outline")))
-        .drop("_outline")
-    )
+    return _with_outline(documents, text).drop("_outline")
+
+
+def _with_outline(documents: DataFrame, text: str) -> DataFrame:
+    """Adds ``json_valid`` and ``_outline``, the latter for texts that read as JSON only."""
+    outlined = documents.withColumn("_outline", F.when(json_reads_through(text), json_outline(text)))
+    return outlined.withColumn("json_valid", F.coalesce(outline_is_strict(F.col("_outline")), F.lit(False)))
 
 
 def content_checks(
@@ -319,7 +328,7 @@ def content_checks(
         "large_strings": large_string_count(t, large_string_chars),
         "prefix_repeats": prefix_repeats(t),
     }
-    out = documents.withColumn("_outline", json_outline(t)).withColumn("json_valid", json_is_valid(t, outline))
+    out = _with_outline(documents, text)
     out = out.withColumns({name: F.when(valid, value) for name, value in measures.items()}).drop("_outline")
     return out.withColumn(
         "issues",

@@ -160,72 +160,71 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
     (400), unknown role (400). Of several requests for one user, or for one new name or address, the smallest
     request_id goes first and the others are refused with 409.
     """
-    sent = {f: F.col(f"new_{f}") for f in PATCH_FIELDS}
-    current = users.select(F.col("username"), F.col("id").alias("user_id"), F.col("email").alias("old_email"))
-    p = patches.join(current, "username", "left")
-
-    wants_name = F.when(sent["username"] != F.col("username"), F.nullif(sent["username"], F.lit("")))
-    wants_email = F.when(
-        F.col("old_email").isNull() | (sent["email"] != F.col("old_email")), F.nullif(sent["email"], F.lit(""))
+    current = users.selectExpr("username", "id AS user_id", "email AS old_email")
+    p = patches.join(current, "username", "left").selectExpr(
+        "*",
+        "CASE WHEN new_username <> username THEN nullif(new_username, '') END AS wants_name",
+        "CASE WHEN old_email IS NULL OR new_email <> old_email THEN nullif(new_email, '') END AS wants_email",
+    )
+    p = _lookup(p, users.selectExpr("username AS _key", "TRUE AS name_taken").distinct(), "wants_name")
+    p = _lookup(p, users.selectExpr("email AS _key", "TRUE AS email_taken").distinct(), "wants_email")
+    for key in ("username", "wants_name", "wants_email"):
+        first = p.groupBy(F.col(key).alias("_key")).agg(F.min("request_id").alias(f"first_{key}"))
+        p = _lookup(p, first, key)
+
+    mask = r"transform(split(nullif(update_mask, ''), ','), f -> btrim(f, ' \t\r\n'))"
+    sent = ", ".join(f"CASE WHEN new_{f} IS NOT NULL THEN '{f}' END" for f in PATCH_FIELDS)
+    p = p.selectExpr("*", f"{mask} AS mask", f"array_compact(array({sent})) AS sent").selectExpr(
+        "*",
+        "array_except(mask, sent) AS unsent",
+        f"CASE WHEN {_is_masked_in('roles')} THEN new_roles END AS granted",
     )
-    p = p.withColumn("wants_name", wants_name).withColumn("wants_email", wants_email)
-    p = _flag(p, "name_taken", users.select(F.col("username").alias("wants_name")), "wants_name")
-    p = _flag(p, "email_taken", users.select(F.col("email").alias("wants_email")), "wants_email")
-    for key, flag in (("username", "user_again"), ("wants_name", "name_again"), ("wants_email", "email_again")):
-        first = p.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("request_id").alias("_first"))
-        is_later = F.coalesce(F.col("request_id") > F.col("_first"), F.lit(False))
-        p = _lookup(p, first, key).withColumn(flag, is_later).drop("_first")
-
-    mask = F.transform(F.split(F.nullif("update_mask", F.lit("")), ","), lambda f: F.btrim(f, F.lit(" \t\r\n")))
-    was_sent = F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(f)) for f, c in sent.items()]))
-    p = p.withColumn("_mask", mask).withColumn("_unsent", F.array_except("_mask", was_sent))
-    allowed = {f: F.col("_mask").isNull() | F.array_contains("_mask", f) for f in PATCH_FIELDS}
-    p = p.withColumn("_roles", F.when(allowed["roles"], sent["roles"]))
-
-    asked = p.select("request_id", F.explode("_roles").alias("name"))
+
     unknown = (
-        salted_join(asked, roles.select("name"), ["name"], ["request_id"], "left_anti")
+        salted_join(
+            p.selectExpr("request_id", "explode(granted) AS name"), roles.select("name"), ["name"], ["request_id"], "left_anti"
+        )
         .groupBy("request_id")
-        .agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("unknown_roles"))
+        .agg(F.expr("array_join(array_sort(collect_set(name)), ', ') AS unknown_roles"))
     )
-    p = p.join(unknown, "request_id", "left")
-
-    def problem(code: int, detail: Column) -> Column:
-        return F.struct(F.lit(code).alias("code"), detail.alias("detail"))
-
-    refusal = (
-        F.when(F.col("user_id").isNull(), problem(404, F.concat(F.lit("no user "), "username")))
-        .when(F.col("name_taken") | F.col("name_again"), problem(409, F.concat(F.lit("username taken: "), "wants_name")))
-        .when(F.col("email_taken") | F.col("email_again"), problem(409, F.concat(F.lit("email taken: "), "wants_email")))
-        .when(F.col("user_again"), problem(409, F.concat(F.lit("already patched: "), "username")))
-        .when(F.size("_unsent") > 0, problem(400, F.concat(F.lit("not sent: "), F.array_join("_unsent", ", "))))
-        .when(F.col("unknown_roles").isNotNull(), problem(400, F.concat(F.lit("unknown roles: "), "unknown_roles")))
+    judged = p.join(unknown, "request_id", "left").selectExpr(
+        "*",
+        """CASE
+        WHEN user_id IS NULL THEN named_struct('code', 404, 'detail', concat('no user ', username))
+        WHEN name_taken OR request_id > first_wants_name
+            THEN named_struct('code', 409, 'detail', concat('username taken: ', wants_name))
+        WHEN email_taken OR request_id > first_wants_email
+            THEN named_struct('code', 409, 'detail', concat('email taken: ', wants_email))
+        WHEN request_id > first_username THEN named_struct('code', 409, 'detail', concat('already patched: ', username))
+        WHEN size(unsent) > 0 THEN named_struct('code', 400, 'detail', concat('not sent: ', array_join(unsent, ', ')))
+        WHEN unknown_roles IS NOT NULL
+            THEN named_struct('code', 400, 'detail', concat('unknown roles: ', unknown_roles)) END AS refusal""",
     )
-    judged = p.withColumn("_refusal", refusal)
-    accepted = judged.where(F.col("_refusal").isNull())
+    accepted = judged.where("refusal IS NULL")
 
     plain = [f for f in PATCH_FIELDS if f != "roles"]
-    news = accepted.select(
-        F.col("user_id").alias("id"), *[F.when(allowed[f], sent[f]).alias(f"_new_{f}") for f in plain]
+    news = accepted.selectExpr(
+        "user_id AS id", *[f"CASE WHEN {_is_masked_in(f)} THEN new_{f} END AS _new_{f}" for f in plain]
     )
-    changed = users.join(news, "id")
-    for f in plain:
-        changed = changed.withColumn(f, F.coalesce(f"_new_{f}", f))
-    granted = accepted.select("user_id", F.explode("_roles").alias("name"))
-    known_roles = roles.select("name", F.col("id").alias("role_id"))
-    links = salted_join(granted, known_roles, ["name"], ["user_id"]).select("user_id", "role_id").distinct()
-    rejected = judged.where(F.col("_refusal").isNotNull()).select(
-        "request_id", "username", F.col("_refusal.code").alias("code"), F.col("_refusal.detail").alias("detail")
+    kept = [f"coalesce(_new_{c}, {c}) AS {c}" if c in plain else c for c in users.columns]
+    links = salted_join(
+        accepted.selectExpr("user_id", "explode(granted) AS name"), roles.selectExpr("name", "id AS role_id"), ["name"], ["user_id"]
+    )
+    return Patched(
+        users.join(news, "id").selectExpr(*kept),
+        links.select("user_id", "role_id").distinct(),
+        judged.where("refusal IS NOT NULL").selectExpr("request_id", "username", "refusal.code", "refusal.detail"),
     )
-    return Patched(changed.select(*users.columns), links, rejected)
 
 
-def _flag(p: DataFrame, name: str, taken: DataFrame, key: str) -> DataFrame:
-    known = taken.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().withColumn("_hit", F.lit(True))
-    return _lookup(p, known, key).withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
+def _is_masked_in(name: str) -> str:
+    return f"(mask IS NULL OR array_contains(mask, '{name}'))"
 
 
 def _lookup(p: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key``; requests without a value get a key of their own, so they do not pile up in one task."""
-    own = F.concat(F.lit("\u0000"), F.col("request_id").cast("string"))
-    return p.withColumn("_key", F.coalesce(F.col(key), own)).join(known, "_key", "left").drop("_key")
+    """Left join of ``known`` (one row per _key) on ``key``.
+
+    Requests without a value get a key of their own, so they do not pile up in one task.
+    """
+    keyed = p.withColumn("_key", F.expr(f"coalesce({key}, concat('\u0000', request_id))"))
+    return keyed.join(known.where("_key IS NOT NULL"), "_key", "left").drop("_key")
