@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from runscope.operators import config_audit, inventory, snapshots
 
-from .q_documents import _UNITS
+from .q_documents import UNITS
 from .register import ORDERS_AS_OF, Get, big, query, rnd, sec
 
 NOW = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
 
 def _pretty(column: str) -> str:
-    return f"(SELECT {_UNITS} FROM (SELECT {column} AS s))"
+    return f"(SELECT {UNITS} FROM (SELECT {column} AS s))"
 
 
 FOOTPRINT = """f AS (SELECT *, total_size_bytes - table_size_bytes AS indexes_size_bytes FROM table_sizes

@@ -261,13 +261,13 @@ def _(t: Get):
     return checked.groupBy(issue.alias("issue")).agg(F.count(F.lit(1)).alias("dags"))
 
 
-_UNITS = "CASE " + " ".join(
+UNITS = "CASE " + " ".join(
     f"WHEN s >= {f} THEN CAST(CAST(floor((floor(s / {h}) + 1) / 2) AS BIGINT) AS VARCHAR) || ' {u}'"
     for f, h, u in [(20479 * 512 * 1024, 512 * 1024**2, "GB"), (20479 * 512, 512 * 1024, "MB"), (10240, 512, "kB")]
 ) + " ELSE CAST(s AS VARCHAR) || ' bytes' END"
 
 
-@query("f11_pretty_size", [], f"""SELECT o_orderkey, {_UNITS} AS pretty
+@query("f11_pretty_size", [], f"""SELECT o_orderkey, {UNITS} AS pretty
 FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 97 AS s FROM orders)""")
 def _(t: Get):
     size = F.col("o_orderkey") * F.col("o_orderkey") * 97

@@ -11,7 +11,7 @@ from runscope.plans.settle import settled
 from .bindings import AS_OF
 from .q_audit import BROKEN, FOOTPRINT, HASHES, INPUTS, WAITS
 from .q_failures import (
-    _ANOMALIES,
+    ANOMALIES,
     CAPACITY,
     COUNTS,
     FAIL_ROWS,
@@ -36,7 +36,7 @@ _WAITS = f"""waits_in AS (SELECT dag_id, task_id, {WAIT} AS w FROM task_instance
 
 def _needs(names: set[str]) -> list[str]:
     """Tables the named results read."""
-    steps = diagnostics._steps(SETTINGS)
+    steps = diagnostics.steps(SETTINGS)
     tables = {n for name in names if name in steps for n in steps[name][0] if n not in steps}
     if names & {"table_row_counts", "table_growth"}:
         tables |= {"task_instance", "dag_run", "log", "job", "xcom"}
@@ -116,7 +116,7 @@ w AS (SELECT dag_id, task_id, DATE_TRUNC('week', start_date) AS week, AVG(s) AS
 tr AS (SELECT dag_id, task_id, REGR_SLOPE(y, epoch(week) / 604800.0) AS slope, REGR_R2(y, epoch(week) / 604800.0) AS fit
        FROM w GROUP BY 1, 2 HAVING COUNT(*) >= 3),
 slower AS (SELECT * FROM tr WHERE slope > 0 AND fit > 0.3 ORDER BY slope DESC, dag_id, task_id LIMIT 15),
-odd AS (SELECT * FROM (SELECT 1 AS one FROM ({"WITH " + _ANOMALIES} FROM z WHERE z > 3 GROUP BY 1, 2 LIMIT 30))),
+odd AS (SELECT * FROM (SELECT 1 AS one FROM ({"WITH " + ANOMALIES} FROM z WHERE z > 3 GROUP BY 1, 2 LIMIT 30))),
 cells AS (SELECT EXTRACT(DOW FROM start_date) AS d, EXTRACT(HOUR FROM start_date) AS h, COUNT(*) AS n FROM task_instance
   WHERE {TASK_ROWS} AND end_date IS NOT NULL AND state = 'success' GROUP BY 1, 2),
 seasons AS (SELECT d, {rnd("STDDEV_SAMP(n) / AVG(n) * 100", 2)} AS cv FROM cells GROUP BY d)

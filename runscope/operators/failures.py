@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import first_label, percent, ratio
 from ..functions.scale import salted_join, top_rows
 from ..functions.timeexpr import AsOf, day_of_week, hour_of_day, in_window, seconds_between
-from .tasks import TASK, _by_task
+from .tasks import TASK, by_task
 
 
 def task_failures(
@@ -26,13 +26,13 @@ def task_failures(
             F.avg(seconds_between("end_date", "start_date")).alias("avg_failure_duration_seconds"),
         )
     )
-    return top_rows(stats, _by_task(F.desc("failure_count")), limit)
+    return top_rows(stats, by_task(F.desc("failure_count")), limit)
 
 
 def failures_by_dag(failures: DataFrame, *, top_n: int | None = 20) -> DataFrame:
     """Failures per workflow over the ``top_n`` worst tasks of ``task_failures``."""
     return (
-        top_rows(failures, _by_task(F.desc("failure_count")), top_n)
+        top_rows(failures, by_task(F.desc("failure_count")), top_n)
         .groupBy("dag_id")
         .agg(F.sum("failure_count").alias("total_failures"))
         .orderBy(F.desc("total_failures"), "dag_id")
@@ -59,7 +59,7 @@ def error_clusters(
             first_label((n > 50, "Very High"), (n > 20, "High"), (n > 10, "Medium"), otherwise="Low"),
         )
     )
-    return top_rows(stats, _by_task(F.desc("occurrence_count")), limit)
+    return top_rows(stats, by_task(F.desc("occurrence_count")), limit)
 
 
 def error_correlation(
@@ -160,7 +160,7 @@ def transient_vs_persistent(
         .where(F.col("retry_runs") >= min_count)
     )
     share = ratio("successful_after_retry", "retry_runs")
-    return top_rows(stats, _by_task(F.desc("retry_runs")), limit).select(
+    return top_rows(stats, by_task(F.desc("retry_runs")), limit).select(
         *TASK,
         "retry_runs",
         "successful_after_retry",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import first_label, percent, ratio
 from ..functions.scale import salted_join, top_rows
 from ..functions.timeexpr import AsOf, day_name, day_of_week, days_before, hour_of_day, in_window, seconds_between
-from .tasks import TASK, _by_task, successful_durations
+from .tasks import TASK, by_task, successful_durations
 
 
 def failure_prediction(
@@ -32,7 +32,7 @@ def failure_prediction(
         .where(F.col("failure_count") > 0)
         .withColumn("failure_rate", percent("failure_count", "total_runs"))
     )
-    order = _by_task(F.when(recent > old, 1).otherwise(2), F.desc("failure_rate"))
+    order = by_task(F.when(recent > old, 1).otherwise(2), F.desc("failure_rate"))
     return top_rows(stats, order, limit).select(
         *TASK,
         "total_runs",
@@ -132,7 +132,7 @@ def performance_degradation(
         )
         .where((F.col("weeks") >= min_weeks) & (slope > 0) & (fit > 0.3))
     )
-    return top_rows(trends, _by_task(F.desc("slope")), limit).select(
+    return top_rows(trends, by_task(F.desc("slope")), limit).select(
         *TASK,
         F.round("mean", 2).alias("avg_duration_seconds"),
         F.round("slope", 4).alias("duration_increase_per_week"),
@@ -190,7 +190,7 @@ def anomaly_detection(
         F.round(F.sum(seconds * times) / F.sum(times), 2).alias("avg_anomaly_duration"),
         F.round(F.max("mean"), 2).alias("normal_duration"),
     )
-    return top_rows(stats, _by_task(F.desc("anomaly_count")), limit)
+    return top_rows(stats, by_task(F.desc("anomaly_count")), limit)
 
 
 def seasonal_patterns(task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.timeexpr import AsOf, days_before, hours_between, in_window, se
 TASK = ["dag_id", "task_id"]
 
 
-def _by_task(*order) -> list:
+def by_task(*order) -> list:
     return [*order, F.asc("dag_id"), F.asc("task_id")]
 
 
@@ -46,7 +46,7 @@ def task_duration_trends(
         .where((F.col("execution_count") >= min_count) & F.col("recent").isNotNull() & F.col("old").isNotNull())
         .withColumn("change", ratio(F.col("recent") - F.col("old"), "old"))
     )
-    order = _by_task(F.abs("change").desc())
+    order = by_task(F.abs("change").desc())
     return (
         top_with_percentiles(stats, durations, TASK, "seconds", {"p50": 0.5, "p95": 0.95}, order, limit)
         .select(
@@ -98,7 +98,7 @@ def task_retry_patterns(
         .withColumn("retry_rate_percent", percent("retry_attempts", "total_attempts"))
         .withColumn("failure_rate_percent", percent("failed_count", "unique_runs"))
     )
-    return top_rows(stats, _by_task(F.desc("retry_attempts")), limit)
+    return top_rows(stats, by_task(F.desc("retry_attempts")), limit)
 
 
 def queue_depth(task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
@@ -144,7 +144,7 @@ def executor_queue_lag(
         )
         .where(F.col("task_count") >= min_count)
     )
-    order = _by_task(F.desc("mean"))
+    order = by_task(F.desc("mean"))
     return (
         top_with_percentiles(stats, lags, TASK, "lag", {"p95": 0.95}, order, limit)
         .select(
@@ -178,7 +178,7 @@ def queued_duration(
         )
         .where(F.col("mean") > min_avg_seconds)
     )
-    order = _by_task(F.desc("mean"))
+    order = by_task(F.desc("mean"))
     return (
         top_with_percentiles(stats, waits, TASK, "wait", {"p50": 0.5, "p95": 0.95}, order, limit)
         .select(
@@ -277,7 +277,7 @@ def execution_variance(
         )
         .where((F.col("execution_count") >= min_count) & F.col("sd").isNotNull())
     )
-    return top_rows(stats, _by_task(ratio("sd", "mean").desc()), limit).select(
+    return top_rows(stats, by_task(ratio("sd", "mean").desc()), limit).select(
         *TASK,
         "execution_count",
         F.round("mean", 2).alias("avg_duration_seconds"),
@@ -304,4 +304,4 @@ def sla_miss_patterns(
             F.avg(seconds_between("timestamp", "execution_date")).alias("avg_delay_seconds"),
         )
     )
-    return top_rows(stats, _by_task(F.desc("sla_miss_count")), limit)
+    return top_rows(stats, by_task(F.desc("sla_miss_count")), limit)

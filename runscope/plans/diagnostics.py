@@ -28,7 +28,6 @@ class Settings:
     large_document_mb: float = 5.0
     critical_document_mb: float = 10.0
     min_success_rate: float = 95.0
-    max_nesting_depth: int = 20
     top_n: int = 15
     history_as_of: dict[str, AsOf] = field(default_factory=dict)
 
@@ -40,7 +39,7 @@ class Settings:
 Step = tuple[tuple[str, ...], Callable[..., DataFrame]]
 
 
-def _steps(s: Settings) -> dict[str, Step]:
+def steps(s: Settings) -> dict[str, Step]:
     """Result name -> (tables or earlier results it needs, how to compute it)."""
     days = {"analysis_days": s.analysis_days}
 
@@ -136,9 +135,22 @@ def run_diagnostics(
         for name, recent in (("task_instance", recent_tasks), ("dag_run", recent_runs)):
             if name in tables:
                 shared[name] = recent(tables[name], settings).persist(StorageLevel.MEMORY_AND_DISK)
-    keep = settled if settle else lambda df: df
+    try:
+        return _computed(tables, shared, settings, settled if settle else lambda df: df, only)
+    finally:
+        for df in shared.values():
+            df.unpersist()
+
+
+def _computed(
+    tables: Mapping[str, DataFrame],
+    shared: Mapping[str, DataFrame],
+    settings: Settings,
+    keep: Callable[[DataFrame], DataFrame],
+    only: set[str] | None,
+) -> dict[str, DataFrame]:
     results: dict[str, DataFrame] = {}
-    for name, (needs, compute) in _steps(settings).items():
+    for name, (needs, compute) in steps(settings).items():
         if only is not None and name not in only:
             continue
         inputs = [results.get(n, shared.get(n, tables.get(n))) for n in needs]
@@ -152,8 +164,6 @@ def run_diagnostics(
     ):
         if counted and (only is None or name in only):
             results[name] = keep(compute())
-    for df in shared.values():
-        df.unpersist()
     return results
 
 

@@ -88,7 +88,9 @@ def export_window(
         return df
     if not newest_first:
         return df
-    return df.orderBy(col.desc(), F.xxhash64(*df.columns))
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+    return df.orderBy(col.desc(), F.xxhash64(*plain))
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

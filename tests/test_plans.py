@@ -50,7 +50,7 @@ def tables(make):
 
 def test_whole_run(spark, tables, tmp_path):
     results = diagnostics.run_diagnostics(tables, SETTINGS, settle=True)
-    assert len(results) == len(diagnostics._steps(SETTINGS)) + 2
+    assert len(results) == len(diagnostics.steps(SETTINGS)) + 2
     found = settle.settled(findings.findings(results, SETTINGS))
     codes = {(r["domain"], r["severity"], r["code"]): r["message"] for r in found.collect()}
     assert codes[("errors", "critical", "frequent_errors")] == "1 tasks fail with high frequency"
@@ -84,11 +84,18 @@ def test_whole_run(spark, tables, tmp_path):
     report.write_report(text, path)
     (file,) = glob.glob(f"{path}/part-*.txt")
     written = open(file).read().splitlines()
-    assert written[0] == "RUN PERFORMANCE" and "RECOMMENDATIONS" in written
+    assert written[0] == "RUN PERFORMANCE" and all(title in written for title, *_ in report.SECTIONS)
+    assert written[1] == f"{'d':<35} {11:8d} runs {81.82:6.2f} % {'5.0m':>10}"
     assert written.index("FINDINGS") < written.index("RECOMMENDATIONS")
     assert written[-1] == f"{len(lines)}. {lines[max(lines)]}"
 
 
+def test_every_result_has_a_section():
+    shown = [name for _, name, *_ in report.SECTIONS]
+    known = set(diagnostics.steps(SETTINGS)) | {"table_row_counts", "table_growth"}
+    assert len(shown) == len(set(shown)) and set(shown) == known - {"peak_and_quiet_hours"}
+
+
 def test_missing_tables_are_skipped(tables):
     results = diagnostics.run_diagnostics({"job": tables["job"]}, SETTINGS)
     assert set(results) == {"heartbeat_gaps", "loop_duration", "table_row_counts"} | ({"table_growth"} & set(results))
