@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_secrets, line_rules, pii_offsets
+from . import entropy_secrets, line_rules, merge_automaton, pii_offsets, token_count_cache, vector_packing
+from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL by query, where SQL can express it.
@@ -56,6 +57,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_merge_automaton")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_automaton.encode_texts(
+        read(spark, sf_dir, "documents"),
+        tokenizer_file("word_bpe_49k.json"),
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
+@query("op7_token_count_cache")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache, so that every distinct text is encoded."""
+    return token_count_cache.token_counts(
+        read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), shared_folder(spark)
+    )
+
+
+@query("op8_vector_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = vector_packing.pack_texts(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 @query("op10_line_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents"), with_text=False)
