@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_secrets, line_rules, merge_automaton, pii_offsets, token_count_cache, vector_packing
+from . import entropy_secrets, golay_simhash, line_rules, merge_automaton, pii_offsets, token_count_cache, vector_packing
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_golay_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
