@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_secrets, golay_simhash, line_rules, merge_automaton, pii_offsets, token_count_cache, vector_packing
-from .common import shared_folder
+from . import (
+    entropy_secrets,
+    golay_simhash,
+    language_crf,
+    line_rules,
+    merge_automaton,
+    pii_offsets,
+    quality_fm,
+    token_count_cache,
+    vector_packing,
+)
+from .common import held_out, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL by query, where SQL can express it.
@@ -27,6 +37,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def language_model(docs: DataFrame) -> language_crf.Model:
+    """Learned from text and language of the two thirds of the documents that are not held out."""
+    usable = docs.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
+    return language_crf.train(*language_crf.sample(usable, "text", "lang"))
+
+
+@query("op1_language_crf")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_letter_words")
+
+
 @query("op2_pii_offsets")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the digest are those of the base spans; ``spans`` has the deobfuscated ones too."""
@@ -91,6 +114,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+@query("op9_quality_fm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns labels of the two thirds of the documents that are not held out; scores all."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    usable = F.coalesce(~held_out(F.col("doc_id")), F.lit(False))
+    model = quality_fm.train(*quality_fm.sample(docs, labels, usable, "text", "doc_id", "quality"))
+    scored = quality_fm.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op10_line_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents"), with_text=False)
