@@ -257,12 +257,27 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return now.selectExpr("a AS node", "b AS root")
 
 
+def classes(rows: DataFrame, bits: int, folder: str) -> DataFrame:
+    """(fingerprint, root, component_id) for each distinct fingerprint of ``rows`` (doc_id, fingerprint).
+
+    ``root`` names the component also where all of its ids are null.
+    """
+    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), f"{folder}/prints")
+    found = components(links(prints, bits), f"{folder}/links")
+    rooted = prints.join(found, prints["fingerprint"] == found["node"], "left").select(
+        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return written(rooted.join(smallest, "root").select("fingerprint", "root", "component_id"), f"{folder}/classes")
+
+
+def _stored_prints(docs: DataFrame, text: str, doc_id: str, folder: str) -> DataFrame:
+    made = fingerprints(docs, text, [doc_id]).select(F.col(f"`{doc_id}`").alias("doc_id"), "fingerprint")
+    return written(made, f"{folder}/rows")
+
+
 def near_duplicates(
-    docs: DataFrame,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    bits: int = 4,
-    folder: str | None = None,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4, folder: str | None = None
 ) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
@@ -270,20 +285,35 @@ def near_duplicates(
     the row's own included. Copies have one fingerprint and are put together before anything is compared, so a group
     of copies costs one row. A null text counts like an empty one: fingerprint 0, linked like any other. Null ids are
     passed over for ``component_id``, which is null if there is no other; repeated ids give repeated rows; an empty
-    table gives an empty one. Intermediate tables are stored in ``folder`` (by default below
-    ``spark.checkpoint.dir``).
+    table gives an empty one. Other columns are not read. Intermediate tables are stored in ``folder`` (by default
+    below ``spark.checkpoint.dir``).
     """
     folder = folder or shared_folder(docs.sparkSession)
-    rows = written(
-        fingerprints(docs, text, [doc_id]).select(F.col(f"`{doc_id}`").alias("doc_id"), "fingerprint"), f"{folder}/rows"
-    )
-    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), f"{folder}/prints")
-    found = components(links(prints, bits), f"{folder}/links")
-    rooted = prints.join(found, prints["fingerprint"] == found["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = written(rooted.join(smallest, "root").select("fingerprint", "component_id"), f"{folder}/classes")
+    rows = _stored_prints(docs, text, doc_id, folder)
+    of_print = classes(rows, bits, folder).drop("root")
     return rows.join(of_print, "fingerprint").select(
         F.col("doc_id").alias(doc_id), hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4, folder: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that stay when of each group of near duplicates one does: that with the smallest doc_id
+    (of equal ids, that with the smallest fingerprint; null ids only where there are no others).
+
+    Who stays is worked out on ids and fingerprints. Texts are shuffled once, by id and fingerprint together, so that
+    copies of one text do not meet in one task.
+    """
+    folder = folder or shared_folder(docs.sparkSession)
+    rows = _stored_prints(docs, text, doc_id, folder)
+    heads = rows.join(classes(rows, bits, folder), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("root").agg(F.min_by("doc_id", "fingerprint").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
+    key = F.xxhash64("doc_id", "fingerprint")
+    heads = heads.select(key.alias("head"), F.col("doc_id").alias("head_id"), F.col("fingerprint").alias("head_print"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.select(row, F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    made = fingerprints(held, "text", ["row", "doc_id"]).withColumn("head", key)
+    same = (made["fingerprint"] == heads["head_print"]) & made["doc_id"].eqNullSafe(heads["head_id"])
+    left = made.join(heads, (made["head"] == heads["head"]) & same, "left_semi").dropDuplicates(["head", "fingerprint"])
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])

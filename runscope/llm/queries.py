@@ -14,6 +14,7 @@ from . import (
     line_rules,
     merge_automaton,
     pii_offsets,
+    posting_lists,
     quality_fm,
     token_count_cache,
     vector_packing,
@@ -69,6 +70,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_posting_lists")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op4_entropy_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = entropy_secrets.find_secrets(read(spark, sf_dir, "documents"))
