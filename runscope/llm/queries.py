@@ -20,10 +20,11 @@ from . import (
     vector_packing,
 )
 from .common import held_out, shared_folder
+from .oracles import OP4, OP10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_entropy_secrets": OP4, "op10_line_rules": OP10}
 
 
 def query(name: str):
