@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, written
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
 
@@ -90,6 +90,8 @@ def token_counts(
 ) -> DataFrame:
     """``keep`` columns, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` of every text, by way of the cache.
 
+    The counts of this tokenizer are stored once more without repeats, so that the join reads a table on both sides.
+
     ``cache`` is a folder that all executors share; it grows by what was missing before the result is returned.
     A null text counts like an empty one. Repeated rows give repeated results, an empty table an empty one. The join
     is left to Spark, which splits the partition of a text that fills much of the table. Kept columns named like a
@@ -98,13 +100,8 @@ def token_counts(
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in keep if c not in made]
     add_misses(docs, path, cache, text)
-    stored = (
-        docs.sparkSession.read.schema(CACHE)
-        .parquet(cache)
-        .where(F.col("tokenizer") == tokenizer_digest(path))
-        .groupBy("digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
+    counts = docs.sparkSession.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer_digest(path))
+    stored = written(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     kept = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("kept")
     content = F.col(f"`{text}`")
     rows = docs.select(kept, F.octet_length(normalised(content)).cast("bigint").alias("n_bytes"), content_digest(content).alias("digest"))
