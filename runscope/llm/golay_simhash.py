@@ -230,17 +230,18 @@ def links(prints: DataFrame, bits: int = 4, rows_at_once: int = 400_000) -> Data
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root the smallest node of its component.
 
-    Large-star and small-star steps in turn, until a round changes nothing; every step is an aggregate and a join and
-    is stored in ``folder``. Nothing is gathered but two numbers a round.
+    Large-star and small-star steps in turn, until a round changes nothing; every step is an aggregate and a join.
+    Both are stored in ``folder``, so that the join reads tables and the partition of a node with many links can be
+    split. Nothing is gathered but two numbers a round.
     """
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         return written(df, f"{folder}/{name}")
 
-    def to_smallest(both: DataFrame) -> DataFrame:
+    def to_smallest(both: DataFrame, name: str) -> DataFrame:
         """(u, v, m): m the smallest of u and its neighbours."""
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u")
+        return both.join(stored(least, name), "u")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -249,9 +250,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while (after := state(now)) != before:
         before, number = after, number + 1
         both = now.selectExpr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))")
-        large = to_smallest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = to_smallest(both, f"{number}-large-least").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stored(large.distinct(), f"{number}-large")
-        down = to_smallest(large.selectExpr("a AS u", "b AS v"))
+        down = to_smallest(large.selectExpr("a AS u", "b AS v"), f"{number}-small-least")
         small = down.selectExpr("inline(array(struct(u AS a, m AS b), struct(v AS a, m AS b)))").where("a <> b")
         now = stored(small.distinct(), f"{number}-small")
     return now.selectExpr("a AS node", "b AS root")
