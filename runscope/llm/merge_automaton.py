@@ -13,9 +13,9 @@ that the merges before it have left:
 The state after a token depends on that token alone and is named by it. It is stored as a difference: it has the arcs
 that the state after the token's second part had just before the merge that made the token, less those it lost since.
 
-Any text has exactly one path. To encode a word, the state and the last token of the path over each prefix are worked
-out from left to right: a token that ends the prefix fits if the state before it has its arc. Decoding emits the
-labels of the arcs.
+Any text has exactly one path. To encode a word, a second table, the trie of the tokens, gives the longest token at a
+place; it is taken if the state has its arc, else the next shorter one is tried. A place from which nothing goes on is
+left for good, as the path to it is the only one. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 _NEVER = 1 << 40
+#: The symbol after the last byte of a word.
+_END = 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -57,9 +60,28 @@ class TokenAutomaton:
         for number, (a, b) in enumerate(merges):
             self._gadget(number, vocabulary[a], vocabulary[b], vocabulary[a + b])
         self._known: dict[int, bool] = {}
-        self._inner = {x: i for x, i in vocabulary.items() if not x.endswith(end)}
-        self._last = {x[: -len(end)]: i for x, i in vocabulary.items() if x.endswith(end)}
-        self.longest = max(map(len, [*self._inner, *self._last]))
+        self._trie = self._trie_of(vocabulary, end)
+
+    def _trie_of(self, vocabulary: dict[str, int], end: str) -> dict[int, list]:
+        """Transitions of the root; a transition is a list of the token that it completes (or -1) and the transitions
+        that follow (or None). Also notes each token's length and the longest token that begins it. The end of a word
+        is a symbol of its own."""
+        number = {s: b for b, s in byte_symbols().items()}
+        root: dict[int, list] = {}
+        self.length, self.shorter = [0] * self.size, [-1] * self.size
+        for label, token in sorted(vocabulary.items(), key=lambda x: len(x[0])):
+            symbols = [number[c] for c in label.removesuffix(end)] + [_END] * label.endswith(end)
+            self.length[token] = len(symbols)
+            step, follow = [-1, root], root
+            for symbol in symbols:
+                if follow is None:
+                    follow = step[1] = {}
+                if step[0] >= 0:
+                    self.shorter[token] = step[0]
+                step = follow.setdefault(symbol, [-1, None])
+                follow = step[1]
+            step[0] = token
+        return root
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
         if not self.has_arc(a, b, number):
@@ -94,35 +116,50 @@ class TokenAutomaton:
         known = self._known[key] = self.has_arc(*divmod(key, self.size))
         return known
 
-    def encode(self, symbols: str) -> list[int]:
-        """The path over a word; the last token is one of those that end words."""
+    def encode(self, word: bytes) -> list[int]:
+        """The path over the bytes of a word."""
+        symbols = (*word, _END)
         n, size, known, arc = len(symbols), self.size, self._known, self._arc
-        tokens, starts = [self.start] + [-1] * n, [0] * (n + 1)
-        ids = self._inner
-        for stop in range(1, n + 1):
-            if stop == n:
-                ids = self._last
-            for start in range(max(0, stop - self.longest), stop):
-                token = ids.get(symbols[start:stop])
-                if token is not None:
-                    key = tokens[start] * size + token
-                    fits = known.get(key)
-                    if arc(key) if fits is None else fits:
-                        tokens[stop], starts[stop] = token, start
-                        break
-            else:
-                raise ValueError("a symbol is not in the vocabulary")
-        out, at = [], n
-        while at:
-            out.append(tokens[at])
-            at = starts[at]
-        return out[::-1]
+        length, shorter, root = self.length, self.shorter, self._trie
+        left: set[int] = set()
+        out, at, last = [], 0, self.start
+        while at < n:
+            token, follow = -1, root
+            for symbol in symbols[at:]:
+                step = follow.get(symbol)
+                if step is None:
+                    break
+                ends, follow = step
+                if ends >= 0:
+                    token = ends
+                if follow is None:
+                    break
+            while True:
+                while token >= 0:
+                    stop = at + length[token]
+                    if stop not in left:
+                        key = last * size + token
+                        fits = known.get(key)
+                        if arc(key) if fits is None else fits:
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    out.append(token)
+                    at, last = stop, token
+                    break
+                if not out:
+                    raise ValueError("a symbol is not in the vocabulary")
+                left.add(at)
+                token = out.pop()
+                at -= length[token]
+                last = out[-1] if out else self.start
+        return out
 
 
 class WordTokenizer:
     """A tokenizer file with lower-cased words, word ends and byte symbols, read into an automaton."""
 
-    CACHED = 150_000
+    CACHED = 250_000  # chunks and words remembered; of chunks, the last full table is kept beside the new one
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -148,31 +185,38 @@ class WordTokenizer:
         self._pieces = regex.compile(split["pattern"]["Regex"])
         self._chunks = regex.compile(r"\S+")
         self._odd = re.compile("[\x1c-\x1f\x85]")
-        self._symbols = byte_symbols()
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
         self._cache: dict[str, tuple[bytes, str]] = {}
+        self._cache_before: dict[str, tuple[bytes, str]] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         found = self._words.get(word)
         if found is None:
-            found = self.automaton.encode("".join(map(self._symbols.__getitem__, word.encode())))
+            ids = self.automaton.encode(word.encode())
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= 32:
                 if len(self._words) >= self.CACHED:
                     self._words.clear()
                 self._words[word] = found
         return found
 
-    def ids_of_chunk(self, chunk: str) -> list[int]:
+    def ids_of_chunk(self, chunk: str) -> bytes:
         """Normalises and splits text without white space, which no piece contains, and encodes the pieces."""
-        chunk = unicodedata.normalize("NFC", chunk).replace(chr(0x3A3), chr(0x3C3)).lower()  # sigma by itself
-        return [i for piece in self._pieces.findall(chunk) for i in self._word(piece)]
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk).replace(chr(0x3A3), chr(0x3C3))  # sigma is lowered by itself
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self._word(chunk)
+        return b"".join(map(self._word, self._pieces.findall(chunk)))
 
     def _encoded(self, chunk: str) -> tuple[bytes, str]:
-        ids = self.ids_of_chunk(chunk)
-        out = b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+        out = self._cache_before.get(chunk)
+        if out is None:
+            ids = self.ids_of_chunk(chunk)
+            out = ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids))
         if len(chunk) <= 32:
             if len(self._cache) >= self.CACHED:
-                self._cache.clear()
+                self._cache_before, self._cache = self._cache, {}
             self._cache[chunk] = out
         return out
 
@@ -189,8 +233,7 @@ class WordTokenizer:
                 got.append((self.special[part].to_bytes(4, "little"), part))
                 continue
             chunks = self._chunks.findall(part) if self._odd.search(part) else part.split()
-            cache, encoded = self._cache.get, self._encoded
-            got += [cache(c) or encoded(c) for c in chunks]
+            got += [self._cache.get(c) or self._encoded(c) for c in chunks]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
 

@@ -80,7 +80,7 @@ def test_automaton_of_random_merges(seed):
     automaton = m.TokenAutomaton(vocabulary, merges, "$")
     for _ in range(400):
         word = "".join(r.choice(letters) for _ in range(r.randrange(1, 30)))
-        got = [automaton.labels[i] for i in automaton.encode(word)]
+        got = [automaton.labels[i] for i in automaton.encode(word.encode())]
         assert got == plain_bpe([*word[:-1], word[-1] + "$"], merges)
 
 
