@@ -169,6 +169,32 @@ def _json_documents(spark: SparkSession, sf: str) -> DataFrame:
     return props.unionByName(texts).unionByName(talks)
 
 
+def _json_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Events deep inside lists and beside long numbers."""
+    return _source(spark, sf, "events").selectExpr(
+        "event_id",
+        """concat(repeat('[', cast(event_id % 1700 AS int)), '{"p":', props, ',"n":', repeat('7', 1 + cast(event_id % 1300 AS int)),
+            '}', repeat(']', cast(event_id % 1700 AS int))) AS data""",
+    )
+
+
+def _json_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with references, markers, long strings, nesting and repeated beginnings, each in some of them."""
+    return _source(spark, sf, "events").selectExpr(
+        "concat('dag_', event_id) AS dag_id",
+        f"""CASE WHEN event_id % 11 = 0 THEN concat({_REPEATED.format(int="int")}) ELSE concat({_MARKED.format(int="int")}) END AS data""",
+    )
+
+
+# plain text functions that both engines have
+_REPEATED = """repeat(concat('{{"k":"', repeat('v', 140), '","c":'), cast(event_id % 13 AS {int})), event_id,
+    repeat('}}', cast(event_id % 13 AS {int}))"""
+_MARKED = """'{{"a":[', repeat('{{"_dag":1}},', cast(event_id % 4 AS {int})), repeat('{{"task_id":2}},', cast(event_id % 5 AS {int})),
+    CASE event_id % 3 WHEN 0 THEN '"pickle",' WHEN 1 THEN '"__reduce__",' ELSE '' END,
+    '"', repeat('x', cast(event_id % 50 AS {int})), '",', repeat('[', cast(event_id % 6 AS {int})), event_id,
+    repeat(']', cast(event_id % 6 AS {int})), ']}}'"""
+
+
 # fixed values: settings of the derived snapshots: section, setting, value expression over supplier
 _SETTINGS = [
     ("core", "parallelism", "s_suppkey * 13 % 140 + CASE WHEN snap = 2 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END"),
@@ -375,6 +401,8 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "serialized_dag": _serialized_dag,
     "page_documents": _page_documents,
     "json_documents": _json_documents,
+    "json_nested": _json_nested,
+    "json_marked": _json_marked,
     "settings": _settings,
     "ab_role": _ab_role,
     "ab_permission": _ab_permission,
@@ -480,6 +508,13 @@ SQL: dict[str, str] = {
         SELECT 'event_' || event_id AS dag_id, props AS data FROM events
         UNION ALL SELECT 'doc_' || doc_id, "text" FROM documents
         UNION ALL SELECT 'talk_' || conv_id || '_' || turn, {_JSON_TALK} FROM conversations""",
+    "json_nested": """
+        SELECT event_id, repeat('[', event_id % 1700) || '{"p":' || props || ',"n":' || repeat('7', 1 + event_id % 1300)
+            || '}' || repeat(']', event_id % 1700) AS data FROM events""",
+    "json_marked": f"""
+        SELECT 'dag_' || event_id AS dag_id,
+            CASE WHEN event_id % 11 = 0 THEN concat({_REPEATED.format(int="bigint")})
+                ELSE concat({_MARKED.format(int="bigint")}) END AS data FROM events""",
     "settings": _SETTING_ROWS,
     "ab_role": """
         SELECT r_regionkey + 1 AS id, ['Admin', 'Op', 'User', 'Viewer', 'Public'][r_regionkey + 1] AS name FROM region""",

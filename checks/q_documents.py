@@ -218,21 +218,47 @@ def _(t: Get):
     return checked.where("json_valid").select("dag_id", "json_depth")
 
 
-@query("d32_repeated_references", ["json_documents"], f"""
-SELECT dag_id, {_occurrences("data", '"text"')} AS references, {_occurrences("data", '"text"')} > 0 AS is_flagged
-FROM json_documents WHERE json_valid(data)""")
+@query("d31_json_depth_nested", ["json_nested"], f"""WITH b AS (SELECT event_id, {BRACKETS.replace("data", "props")} AS b FROM events),
+p AS (SELECT event_id, b, UNNEST(range(0, length(b) + 1)) AS i FROM b),
+inner_depth AS (SELECT event_id, MAX(2 * length(replace(substr(b, 1, i), '}}', '')) - i) AS d FROM p GROUP BY event_id)
+SELECT event_id, json_valid(data) AS json_valid, {big("event_id % 1700 + 1 + d")} AS json_depth,
+       event_id % 1700 + 1 + d > 1000 AS is_deep FROM json_nested JOIN inner_depth USING (event_id)""")
+def _(t: Get):
+    checked = documents.content_checks(t("json_nested"), max_depth=1000)
+    return checked.select("event_id", "json_valid", "json_depth", F.array_contains("issues", "DEEP_NESTING").alias("is_deep"))
+
+
+MARKED = dict(max_references=2, max_tasks=3, max_depth=4, large_string_chars=40, max_repeats=5)
+MEASURES = f"""v AS (SELECT dag_id, data, least(1000, length(data) // 10) AS n FROM json_marked),
+b AS (SELECT dag_id, {BRACKETS} AS b FROM v),
+p AS (SELECT dag_id, b, UNNEST(range(0, length(b) + 1)) AS i FROM b),
+deep AS (SELECT dag_id, MAX(2 * length(replace(substr(b, 1, i), '}}', '')) - i) AS json_depth FROM p GROUP BY dag_id),
+m AS (SELECT dag_id, {_occurrences("data", '"_dag"')} AS dag_references, {_occurrences("data", '"task_id"')} AS task_references,
+    contains(data, '"pickle"') OR contains(data, '"__reduce__"') AS has_pickle, json_depth,
+    len(regexp_extract_all(data, '"[^"]{{40,}}"')) AS large_strings,
+    CASE WHEN n >= 100 THEN (length(data) - length(replace(data, substr(data, 1, n), ''))) / n END AS prefix_repeats
+    FROM v JOIN deep USING (dag_id))"""
+
+
+@query("d32_repeated_references", ["json_marked"], f"""WITH {MEASURES}
+SELECT dag_id, {big("dag_references")} AS dag_references, {big("task_references")} AS task_references,
+       dag_references > 2 AS is_circular, task_references > 3 AS is_excessive FROM m""")
 def _(t: Get):
-    found = documents.occurrences("data", '"text"')
-    return documents.json_validity(t("json_documents")).where("json_valid").select(
-        "dag_id", found.alias("references"), (found > 0).alias("is_flagged")
+    checked = documents.content_checks(t("json_marked"), **MARKED)
+    return checked.select(
+        "dag_id",
+        "dag_references",
+        "task_references",
+        F.array_contains("issues", "POTENTIAL_CIRCULAR_REFS").alias("is_circular"),
+        F.array_contains("issues", "EXCESSIVE_TASKS").alias("is_excessive"),
     )
 
 
-@query("d33_pickle_markers", ["json_documents"], """
-SELECT dag_id, contains(data, '"pickle"') OR contains(data, '"__reduce__"') AS has_pickle
-FROM json_documents WHERE json_valid(data)""")
+@query("d33_pickle_markers", ["json_marked"], f"""WITH {MEASURES}
+SELECT dag_id, has_pickle, has_pickle AS is_flagged FROM m""")
 def _(t: Get):
-    return documents.content_checks(t("json_documents")).where("json_valid").select("dag_id", "has_pickle")
+    checked = documents.content_checks(t("json_marked"), **MARKED)
+    return checked.select("dag_id", "has_pickle", F.array_contains("issues", "PICKLE_DETECTED").alias("is_flagged"))
 
 
 @query("d34_large_strings", ["json_documents"], f"""
@@ -251,14 +277,14 @@ def _(t: Get):
     return t("serialized_dag").select("fileloc", documents.prefix_repeats("data").alias("prefix_repeats"))
 
 
-@query("d36_content_issues", ["json_documents"], f"""WITH v AS (SELECT dag_id, data, length(data) AS len FROM json_documents
-  WHERE json_valid(data)),
-m AS (SELECT *, len(regexp_extract_all(data, '"[^"]{{300,}}"')) AS large, least(1000, len // 10) AS n FROM v)
-SELECT CASE WHEN large > 0 THEN 'LARGE_STRINGS' ELSE 'NONE' END AS issue, COUNT(*) AS dags FROM m GROUP BY 1""")
+@query("d36_content_issues", ["json_marked"], f"""WITH {MEASURES},
+named AS (SELECT dag_id, UNNEST([CASE WHEN dag_references > 2 THEN 'POTENTIAL_CIRCULAR_REFS' END,
+    CASE WHEN has_pickle THEN 'PICKLE_DETECTED' END, CASE WHEN task_references > 3 THEN 'EXCESSIVE_TASKS' END,
+    CASE WHEN json_depth > 4 THEN 'DEEP_NESTING' END, CASE WHEN large_strings > 0 THEN 'LARGE_STRINGS' END,
+    CASE WHEN prefix_repeats > 5 THEN 'REPETITIVE_PATTERNS' END]) AS issue FROM m)
+SELECT issue, COUNT(*) AS dags FROM named WHERE issue IS NOT NULL GROUP BY issue ORDER BY issue""")
 def _(t: Get):
-    checked = documents.content_checks(t("json_documents"), large_string_chars=300).where("json_valid")
-    issue = F.when(F.array_contains("issues", "LARGE_STRINGS"), "LARGE_STRINGS").otherwise("NONE")
-    return checked.groupBy(issue.alias("issue")).agg(F.count(F.lit(1)).alias("dags"))
+    return documents.issue_breakdown(documents.content_checks(t("json_marked"), **MARKED))
 
 
 UNITS = "CASE " + " ".join(

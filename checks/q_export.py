@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from runscope.operators import failures, runs
+from runscope.operators import failures, inventory, runs
 from runscope.plans import diagnostics, findings, recommendations, report
 from runscope.plans.settle import ensure_checkpoint_dir
 from runscope.sources import export, tables
@@ -31,17 +31,18 @@ def _(t: Get):
     return tables.read_table(spark, "checked_dag_run").groupBy("state").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("s05_register_views", PERMISSION_TABLES,
-       f"WITH {BASE} SELECT role_name, COUNT(*) AS permissions FROM base GROUP BY role_name")
+@query("s05_register_views", PERMISSION_TABLES, """
+SELECT kind, COUNT(*) AS views, COUNT(DISTINCT permission_id) AS permissions FROM (
+    SELECT permission_id, CASE WHEN view_menu_id IN (SELECT id FROM ab_view_menu WHERE regexp_matches(name, '^DAG(s|:)'))
+        THEN 'workflow' ELSE 'other' END AS kind FROM ab_permission_view) GROUP BY kind""")
 def _(t: Get):
+    """Permission views on workflows and on other pages, by SQL over the registered views."""
     tables.register_views({n: t(n) for n in RBAC})
-    return t("ab_role").sparkSession.sql(
-        "select r.name as role_name, count(distinct pv.id) as permissions from ab_role r "
-        "join ab_permission_view_role pvr on r.id = pvr.role_id "
-        "join ab_permission_view pv on pvr.permission_view_id = pv.id "
-        "join ab_view_menu vm on pv.view_menu_id = vm.id join ab_permission p on pv.permission_id = p.id "
-        "where vm.name not like 'DAG:%' and vm.name not like 'DAGs%' group by r.name"
-    )
+    return t("ab_role").sparkSession.sql("""
+        with pages as (select id as page, if(startswith(name, 'DAG:') or startswith(name, 'DAGs'), 'workflow', 'other') as kind
+                       from ab_view_menu)
+        select coalesce(kind, 'other') as kind, count(*) as views, count(distinct permission_id) as permissions
+        from ab_permission_view left join pages on page = view_menu_id group by all""")
 
 
 IDS = """ids AS (SELECT DISTINCT source AS dag_id FROM documents WHERE doc_id % 7 = 0
@@ -132,11 +133,9 @@ def _(t: Get):
 
 
 @query("k05_export_documents_bare", ["json_documents"], f"""
-SELECT dag_id, '{{"dag_id":"' || dag_id || '","serialized_data":' || {DATA} || '}}' AS content FROM json_documents
-WHERE dag_id NOT LIKE 'talk%'""")
+SELECT dag_id, '{{"dag_id":"' || dag_id || '","serialized_data":' || {DATA} || '}}' AS content FROM json_documents""")
 def _(t: Get):
-    documents = t("json_documents").where("dag_id not like 'talk%'")
-    return export.export_documents(documents, as_of=EVENTS_AS_OF, include_metadata=False)
+    return export.export_documents(t("json_documents"), as_of=EVENTS_AS_OF, include_metadata=False)
 
 
 REPORT = f"""{IDS}, done AS (
@@ -168,16 +167,44 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
-@query("s04_sample_probe")
+@query("s02_list_tables", [], """
+SELECT DISTINCT '' AS table_schema, table_name FROM duckdb_columns()
+WHERE table_name IN ('lineitem', 'orders', 'documents', 'events')""")
 def _(t: Get):
-    return tables.sample_probe(t("serialized_dag"), ["dag_id", "data", "data_compressed"])
+    names = ["lineitem", "orders", "documents", "events"]
+    tables.register_views({name: t(name) for name in names}, names)
+    return tables.list_tables(t("orders").sparkSession).where(F.col("table_name").isin(*names) & (F.col("table_schema") == ""))
 
 
-@query("s08_file_inventory")
+@query("s03_describe_table", [], """
+SELECT row_number() OVER (ORDER BY column_index) AS ordinal_position, column_name,
+       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE data_type END AS data_type,
+       CASE WHEN is_nullable THEN 'YES' ELSE 'NO' END AS is_nullable
+FROM duckdb_columns() WHERE table_name = 'documents'""")
 def _(t: Get):
+    return tables.describe_table(t("documents"))
+
+
+@query("s04_sample_probe", ["serialized_dag"], f"""
+SELECT dag_id, {big("length(data)")} AS data_length, 'string' AS data_type, {big("octet_length(encode(dag_hash))")} AS dag_hash_length,
+       'string' AS dag_hash_type FROM serialized_dag ORDER BY dag_id, last_updated, dag_hash LIMIT 5""")
+def _(t: Get):
+    order = ["dag_id", "last_updated", "dag_hash"]
+    return tables.sample_probe(t("serialized_dag"), ["dag_id", "data", "dag_hash"], rows=5, order=order)
+
+
+@query("s08_file_inventory", [], """
+SELECT 'lineitem.parquet' AS path, true AS has_content, COUNT(*) AS rows FROM lineitem
+UNION ALL SELECT 'orders.parquet', true, COUNT(*) FROM orders""")
+def _(t: Get):
+    """Files of two tables with the rows that Spark reads from each; the file names are those of one file a table."""
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    read = t("lineitem").select(file.alias("path")).unionByName(t("orders").select(file.alias("path")))
+    rows = read.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
     given = t("lineitem")
-    files = tables.file_inventory(given.sparkSession, os.path.dirname(given.inputFiles()[0]))
-    return files.where(F.col("path").endswith(".parquet"))
+    listed = tables.file_inventory(given.sparkSession, os.path.dirname(given.inputFiles()[0]))
+    listed = listed.select(F.element_at(F.split("path", "/"), -1).alias("path"), (F.col("size_bytes") > 0).alias("has_content"))
+    return inventory.visible_files(listed).join(rows, "path")
 
 
 @query("k02_csv_round_trip", ["task_fail"], """

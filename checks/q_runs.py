@@ -171,7 +171,7 @@ SELECT dag_id, COUNT(*) AS queued_runs, MIN(execution_date) AS oldest_execution_
        MAX(execution_date) AS newest_execution_date,
        {rnd(sec("MAX(execution_date)", "MIN(execution_date)") + " / 3600")} AS backlog_span_hours,
        {rnd(sec(f"TIMESTAMP '{ORDERS_AS_OF}'", "MIN(execution_date)") + " / 3600")} AS oldest_run_age_hours
-FROM dag_run WHERE state = 'queued' AND execution_date < TIMESTAMP '{ORDERS_AS_OF}'
+FROM dag_run WHERE state = 'queued'
 GROUP BY dag_id ORDER BY queued_runs DESC, dag_id LIMIT 30""")
 def _(t: Get):
     return runs.catchup_backlog(t("dag_run"), as_of=ORDERS_AS_OF)

@@ -38,13 +38,6 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame
 _MAGNITUDE = "coalesce(floor(signum(CAST(_v AS DOUBLE)) * log1p(abs(CAST(_v AS DOUBLE))) * 500D), 0L)"
 
 
-def _has_keys(keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for key in keys:
-        out = out & F.col(key).isNotNull()
-    return out
-
-
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None
 ) -> DataFrame:
@@ -54,24 +47,25 @@ def exact_percentiles(
     2. Counts are totalled per log-scale slot; a running total over the slots (bounded in number) shows which slots
        hold the wanted ranks.
     3. Only the values of those slots are ranked.
-    ``wanted`` maps output column to fraction. ``weight`` names a column of repeat counts. Keys must not be null: the
-    explicit filter and the never-null slot keep both uses of the counts alike, so they are shuffled once and reused.
+    ``wanted`` maps output column to fraction. ``weight`` names a column of repeat counts. Null keys are keys like
+    others. Inside, a key is one struct: never null, like the slot, so both uses of the counts stay alike, and they are
+    shuffled once and reused.
     """
-    group = ", ".join(f"`{key}`" for key in keys)
+    group = "_key"
     n = f"sum({weight})" if weight else "count(1)"
     counts = (
-        df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, value]))
-        .groupBy(*keys, F.col(value).alias("_v"))
+        df.where(F.col(value).isNotNull())
+        .groupBy(F.struct(*keys).alias("_key"), F.col(value).alias("_v"))
         .agg(F.expr(f"{n} AS _n"))
-        .selectExpr(*keys, "_v", "_n", f"{_MAGNITUDE} AS _slot")
+        .selectExpr("_key", "_v", "_n", f"{_MAGNITUDE} AS _slot")
     )
     ranks = {f"{up}({p}D * (_total - 1))" for p in wanted.values() for up in ("floor", "ceil")}
     by_slot = f"PARTITION BY {group} ORDER BY _slot ROWS UNBOUNDED PRECEDING"
     slots = (
-        counts.groupBy(*keys, "_slot")
+        counts.groupBy("_key", "_slot")
         .agg(F.expr("sum(_n) AS _slot_n"))
         .selectExpr(
-            *keys,
+            "_key",
             "_slot",
             "_slot_n",
             f"sum(_slot_n) OVER ({by_slot}) - _slot_n AS _before",
@@ -81,8 +75,8 @@ def exact_percentiles(
         .drop("_slot_n")
     )
     in_slot = f"PARTITION BY {group}, _slot ORDER BY _v ROWS UNBOUNDED PRECEDING"
-    ranked = counts.join(slots, [*keys, "_slot"]).selectExpr(
-        *keys, "_v", "_n", "_total", f"_before + sum(_n) OVER ({in_slot}) - _n AS _first"
+    ranked = counts.join(slots, ["_key", "_slot"]).selectExpr(
+        "_key", "_v", "_n", "_total", f"_before + sum(_n) OVER ({in_slot}) - _n AS _first"
     )
 
     def value_at(rank: str) -> str:
@@ -93,7 +87,16 @@ def exact_percentiles(
         position = f"{p}D * (max(_total) - 1)"
         low, high = (value_at(f"{up}({p}D * (_total - 1))") for up in ("floor", "ceil"))
         marks.append(F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position})) AS `{name}`"))
-    return ranked.groupBy(*keys).agg(*marks)
+    return ranked.groupBy("_key").agg(*marks).select(*[F.col(f"_key.`{key}`") for key in keys], *wanted)
+
+
+def with_percentiles(
+    stats: DataFrame, source: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]
+) -> DataFrame:
+    """``stats`` (one row per key, which may be null) with percentiles of ``source.value``, null where it has none."""
+    key = F.struct(*keys).alias("_top")
+    marks = exact_percentiles(source, keys, value, wanted).select(key, *wanted)
+    return stats.select("*", key).join(marks, "_top", "left").drop("_top")
 
 
 def top_with_percentiles(
@@ -107,20 +110,20 @@ def top_with_percentiles(
 ) -> DataFrame:
     """The first ``limit`` rows of ``stats`` (one row per key) with percentiles of ``source.value`` added, in order.
 
-    With a limit, the keys that stay are few enough to be broadcast, and the rows of all others are dropped before
-    anything is shuffled: one pass for the statistics, one for the percentiles. All columns of ``stats`` take part in
-    the order (after the keys they no longer matter), so both uses of the top rows need the same statistics and Spark
-    computes them once.
+    The rows are those of the uncut result, cut: null keys count as keys, and a key without values has null
+    percentiles. With a limit, rows of other keys are dropped before anything is shuffled for the percentiles: one pass
+    for the statistics, one for the percentiles. How the top rows are joined is left to Spark. All columns of
+    ``stats`` take part in the order (after the keys they no longer matter), so both uses of the top rows need the same
+    statistics and Spark computes them once.
     """
     keys = list(keys)
     if limit is None:
-        marks = exact_percentiles(source, keys, value, wanted)
-        return stats.join(marks, keys, "left").orderBy(*order)
+        return with_percentiles(stats, source, keys, value, wanted).orderBy(*order)
     rest = [F.asc(c) for c in stats.columns if c not in keys]
-    top = stats.where(_has_keys(keys)).orderBy(*order, *rest).limit(limit)
-    kept = source.join(F.broadcast(top.select(*keys)), keys, "left_semi")
-    marks = exact_percentiles(kept, keys, value, wanted)
-    return marks.join(F.broadcast(top), keys, "inner").orderBy(*order).limit(limit)
+    top = stats.orderBy(*order, *rest).limit(limit)
+    key = F.struct(*keys).alias("_top")
+    kept = source.select("*", key).join(top.select(key), "_top", "left_semi")
+    return with_percentiles(top, kept, keys, value, wanted).orderBy(*order)
 
 
 def sliced_gaps(df: DataFrame, key: str, ts: str, slice_seconds: int = 3600) -> DataFrame:

@@ -70,34 +70,37 @@ def connection_parts(url: str | Column, *, default_port: int = 5432, default_dat
 def json_outline(text: str | Column) -> Column:
     """JSON text with every string literal replaced by ``s`` and white space dropped.
 
-    Escaped characters go first, so a quote left over afterwards always opens or closes a literal. Literals with raw
-    control characters (not allowed in JSON) keep their quotes.
+    Escaped characters go first, so a quote left over afterwards always opens or closes a literal.
     """
     no_escapes = F.regexp_replace(_col(text), r"(?s)\\.", "")
     no_strings = F.regexp_replace(no_escapes, "\"[^\"\\x00-\\x1f]*\"", "s")
     return F.regexp_replace(no_strings, r"\s+", "")
 
 
-def json_reads_through(text: str | Column) -> Column:
-    """True if the (lenient) JSON reader takes the whole text as one value.
+_STRICT = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "maxNestingDepth": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "maxStringLen": str(2**31 - 1),
+}
 
-    The text is read as the first of two array elements; the second one, a hash of the text, is found only if the
-    first is complete and nothing follows it. Texts that are not JSON fail at their first characters.
+
+def json_is_valid(text: str | Column) -> Column:
+    """True if the whole text is one JSON value, however deep and with numbers however long.
+
+    The text is put into an object, once as the value of a field and once between brackets, and a last field with its
+    hash must be found each time. Of what the first form lets through, one value or a value and further fields, the
+    second one takes only the single value. The reader steps over the text itself, so its depth does not matter.
     """
     t = _col(text)
     mark = F.xxhash64(t).cast("string")
-    wrapped = F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]'))
-    return F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False))
 
+    def reads(before: str, after: str) -> Column:
+        wrapped = F.concat(F.lit('{"text":' + before), t, F.lit(after + ',"mark":"'), mark, F.lit('"}'))
+        return F.from_json(wrapped, "mark string", _STRICT)["mark"] == mark
 
-def outline_is_strict(outline: Column) -> Column:
-    """False for the single quotes and raw control characters in strings that the reader tolerates."""
-    return ~F.regexp_like(outline, F.lit("[\"']"))
-
-
-def json_is_valid(text: str | Column) -> Column:
-    """True if the whole text is one JSON value."""
-    return json_reads_through(text) & outline_is_strict(json_outline(text))
+    return F.coalesce(reads("", "") & reads("[", "]"), F.lit(False))
 
 
 def json_depth(text: str | Column, outline: Column | None = None) -> Column:

@@ -16,9 +16,8 @@ from ..functions.text import (
     first_contained,
     json_depth,
     json_outline,
-    json_reads_through,
+    json_is_valid,
     occurrences,
-    outline_is_strict,
 )
 from ..functions.timeexpr import AsOf, in_window, seconds_between, timestamp_lit
 from .runs import counts_per_bucket
@@ -302,9 +301,9 @@ def json_validity(documents: DataFrame, *, text: str = "data") -> DataFrame:
 
 
 def _with_outline(documents: DataFrame, text: str) -> DataFrame:
-    """Adds ``json_valid`` and ``_outline``, the latter for texts that read as JSON only."""
-    outlined = documents.withColumn("_outline", F.when(json_reads_through(text), json_outline(text)))
-    return outlined.withColumn("json_valid", F.coalesce(outline_is_strict(F.col("_outline")), F.lit(False)))
+    """Adds ``json_valid`` and ``_outline``, the latter for valid texts only."""
+    judged = documents.withColumn("json_valid", json_is_valid(text))
+    return judged.withColumn("_outline", F.when(F.col("json_valid"), json_outline(text)))
 
 
 def content_checks(

@@ -306,10 +306,10 @@ def task_concurrency(task_instance: DataFrame, *, as_of: AsOf, analysis_days: in
 
 
 def catchup_backlog(dag_run: DataFrame, *, as_of: AsOf, limit: int | None = 30) -> DataFrame:
-    """Queued runs per workflow whatever their age."""
+    """Queued runs per workflow whatever their age; runs scheduled ahead, or without a date, count too."""
     now = timestamp_lit(as_of)
     stats = (
-        dag_run.where((F.col("state") == "queued") & (F.col("execution_date") < now))
+        dag_run.where(F.col("state") == "queued")
         .groupBy("dag_id")
         .agg(
             F.count(F.lit(1)).alias("queued_runs"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label
-from ..functions.scale import exact_percentiles, sliced_gaps
+from ..functions.scale import with_percentiles, sliced_gaps
 from ..functions.timeexpr import AsOf, in_window
 
 
@@ -28,8 +28,7 @@ def heartbeat_gaps(job: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> Da
         F.count_if(gap > 60).alias("gaps_over_1min"),
         F.count_if(gap > 300).alias("gaps_over_5min"),
     )
-    marks = exact_percentiles(gaps, ["hostname"], "gap_seconds", {"p95_gap_seconds": 0.95})
-    return stats.join(marks, "hostname").select(
+    return with_percentiles(stats, gaps, ["hostname"], "gap_seconds", {"p95_gap_seconds": 0.95}).select(
         "hostname",
         "heartbeat_count",
         "avg_gap_seconds",
@@ -62,8 +61,7 @@ def loop_duration(job: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> Dat
         F.round(F.max(gap), 2).alias("max_loop_duration"),
         F.count_if(gap > 10).alias("loops_over_10s"),
     )
-    marks = exact_percentiles(loops, ["hostname"], "gap_seconds", {"p50": 0.5, "p95": 0.95})
-    return stats.join(marks, "hostname").select(
+    return with_percentiles(stats, loops, ["hostname"], "gap_seconds", {"p50": 0.5, "p95": 0.95}).select(
         "hostname",
         "loop_count",
         "avg_loop_duration_seconds",

@@ -87,8 +87,11 @@ def read_jdbc_table(
 def _jdbc_name(
     spark: SparkSession, url: str, name: str, properties: Mapping[str, str], schemas: Sequence[str]
 ) -> str | None:
-    known = jdbc_tables(spark, url, properties).where(F.lower("table_name") == name.lower())
-    places = {row["table_schema"] for row in known.select("table_schema").distinct().take(1000)}
+    wanted = sorted({"public", *schemas} - {""})
+    known = jdbc_tables(spark, url, properties).where(
+        (F.lower("table_name") == name.lower()) & F.col("table_schema").isin(*wanted)
+    )
+    places = {row["table_schema"] for row in known.select("table_schema").distinct().collect()}
     for schema in schemas:
         if schema in places or (schema == "" and "public" in places):
             return f"{schema}.{name}" if schema else name
@@ -122,14 +125,17 @@ def describe_table(df: DataFrame) -> DataFrame:
     ).orderBy("ordinal_position")
 
 
-def sample_probe(df: DataFrame, columns: Sequence[str], *, rows: int = 3) -> DataFrame:
-    """A few rows: the first column, then text length and type of the others."""
+def sample_probe(df: DataFrame, columns: Sequence[str], *, rows: int = 3, order: Sequence[str] = ()) -> DataFrame:
+    """A few rows: the first column, then text length and type of the others.
+
+    Any rows, or the first ones by the columns of ``order``.
+    """
     first, *others = columns
     probes = []
     for c in others:
         probes.append(F.length(F.col(c).cast("string")).alias(f"{c}_length"))
         probes.append(F.typeof(c).alias(f"{c}_type"))
-    return df.select(first, *probes).limit(rows)
+    return (df.orderBy(*order) if order else df).select(first, *probes).limit(rows)
 
 
 def register_views(tables: Mapping[str, DataFrame], names: Iterable[str] = RBAC_TABLES) -> list[str]:
@@ -178,9 +184,14 @@ def require_found(found: DataFrame) -> DataFrame:
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative to ``folder``) and size_bytes of all files below it; contents are not read.
 
-    Spark's file listing leaves out names that begin with a dot or an underscore, so ``__pycache__`` as well.
+    The driver lists the folder through the file system's own iterator, because Spark's file sources leave out names
+    that begin with an underscore or a dot. Which names count is up to ``inventory.visible_files``.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), root, -1)
-    return listed.select(relative.alias("path"), F.col("length").alias("size_bytes"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(top).toString().rstrip("/") + "/"
+    files, rows = system.listFiles(top, True), []
+    while files.hasNext():
+        status = files.next()
+        rows.append((status.getPath().toString().removeprefix(root), status.getLen()))
+    return spark.createDataFrame(rows, "path string, size_bytes bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runscope.functions import numeric, text, timeexpr
 from runscope.operators import documents
+from runscope.sources import export
 
 from .conftest import as_dicts
 
@@ -52,6 +53,22 @@ def test_json_depth(spark):
     assert evaluate(spark, JSON_TEXTS + deep, text.json_depth) == [depth(json.loads(t)) for t in JSON_TEXTS + deep]
 
 
+def test_json_beyond_the_usual_limits(spark):
+    deep = ["[" * n + "]" * n for n in (999, 1000, 1001, 5000)] + ['{"a":' * 5000 + "1" + "}" * 5000]
+    numbers = ["1" * 1200, "[0." + "3" * 4000 + "]"]
+    bad = ["[" * 5000 + "]" * 4999, "[" * 1500 + "]" * 1501, '{"a":' * 1500 + "}" * 1500, "1" * 1200 + "."]
+    assert evaluate(spark, deep + numbers + bad, text.json_is_valid) == [True] * 7 + [False] * 4
+    assert evaluate(spark, deep, text.json_depth) == [998, 999, 1000, 4999, 5000]
+
+
+def test_deep_documents_are_checked_and_exported_as_json(make):
+    deep = "[" * 1500 + "1" + "]" * 1500
+    row = documents.content_checks(docs(make, deep)).first()
+    assert (row["json_valid"], row["json_depth"], row["issues"]) == (True, 1500, ["DEEP_NESTING"])
+    exported = export.export_documents(docs(make, deep), as_of="2024-01-01", include_metadata=False).first()
+    assert exported["content"].endswith(f'"serialized_data":{deep}}}')
+
+
 def test_long_strings_do_not_overflow(spark):
     long = json.dumps({"a": "x" * 300_000 + '\\"' * 50_000, "b": [[1]]})
     assert evaluate(spark, [long], text.json_is_valid) == [True]

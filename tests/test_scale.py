@@ -187,3 +187,36 @@ def test_window_reaches_the_scan(spark, tmp_path, make):
     text = plan(runs.run_performance(spark.read.parquet(path), as_of="2024-01-02"))
     assert "GreaterThanOrEqual(execution_date" in text
     assert "run_id" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+NULL_KEY = [
+    {"dag_id": d, "task_id": "t", "run_id": f"r{i}", "state": "success", "try_number": 1, "queued_dttm": q, "execution_date": e,
+     "start_date": s, "end_date": f"{s[:10]} 05:00:00"}
+    for d in ("a", None)
+    for i, (e, q, s) in enumerate([
+        ("2024-01-10 00:00:00", "2024-01-10 00:10:00", "2024-01-10 00:20:00"),
+        ("2024-01-11 00:00:00", "2024-01-11 00:30:00", "2024-01-11 01:00:00"),
+        ("2024-01-28 00:00:00", "2024-01-28 00:10:00", "2024-01-28 00:30:00"),
+    ])
+]
+
+
+@pytest.mark.parametrize("name", ["schedule_drift", "scheduling_delay", "task_duration_trends", "executor_queue_lag", "queued_duration"])
+def test_same_rows_with_and_without_a_limit(make, name):
+    operator = getattr(runs, name, None) or getattr(tasks, name)
+    rows = make("dag_run" if hasattr(runs, name) else "task_instance", NULL_KEY)
+    more = {"min_count": 1} if name in ("task_duration_trends", "executor_queue_lag") else {}
+    days = {"analysis_days": 30}
+    uncut = operator(rows, as_of="2024-01-30", limit=None, **days, **more).collect()
+    assert [r["dag_id"] for r in uncut] == [None, "a"]
+    assert all(r[c] is not None for r in uncut for c in r.asDict() if c.startswith("p95"))
+    for limit in (1, 2, 5):
+        assert operator(rows, as_of="2024-01-30", limit=limit, **days, **more).collect() == uncut[:limit]
+
+
+def test_a_group_of_nulls_keeps_its_row(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 2.0), (None, 4.0)], "k string, v double")
+    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    uncut = scale.top_with_percentiles(stats, df, ["k"], "v", {"p": 0.5}, [F.asc("k")], None).collect()
+    assert [tuple(r) for r in uncut] == [(None, 1, 4.0), ("a", 2, None), ("b", 1, 2.0)]
+    assert scale.top_with_percentiles(stats, df, ["k"], "v", {"p": 0.5}, [F.asc("k")], 2).collect() == uncut[:2]

@@ -10,6 +10,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from runscope.operators import inventory
 from runscope.sources import export, schemas, tables
 
 from .conftest import as_dicts
@@ -61,12 +62,14 @@ def test_select_by_ids(spark, make):
 
 
 def test_file_inventory(spark, tmp_path):
-    for name, size in (("a.py", 3), ("sub/b.csv", 5), ("sub/.hidden", 7), ("__pycache__/c.pyc", 9)):
+    for name, size in (("a.py", 3), ("sub/b.csv", 5), ("sub/.hidden", 7), ("__pycache__/c.pyc", 9), ("__init__.py", 1), ("_lib/_private.py", 2)):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(b"x" * size)
     got = {r["path"]: r["size_bytes"] for r in tables.file_inventory(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": 3, "sub/b.csv": 5}
+    assert got["sub/.hidden"] == 7 and got["__pycache__/c.pyc"] == 9
+    seen = inventory.visible_files(tables.file_inventory(spark, str(tmp_path))).collect()
+    assert {r["path"]: r["size_bytes"] for r in seen} == {"a.py": 3, "sub/b.csv": 5, "__init__.py": 1, "_lib/_private.py": 2}
 
 
 def test_window_by_type(spark):
