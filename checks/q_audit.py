@@ -5,7 +5,7 @@ from __future__ import annotations
 from runscope.operators import config_audit, inventory, snapshots
 
 from .q_documents import UNITS
-from .register import ORDERS_AS_OF, Get, big, query, rnd, sec
+from .register import ORDERS_AS_OF, Get, big, query, rnd, sec, uncut
 
 NOW = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
@@ -26,11 +26,11 @@ def _(t: Get):
     return snapshots.storage_footprint(t("table_sizes"))
 
 
-@query("e01_storage_total", ["table_sizes"], f"""WITH {FOOTPRINT}
+@query("e01_storage_total", ["table_sizes"], f"""WITH {uncut(FOOTPRINT)}
 SELECT {rnd("SUM(total_size_bytes) / 1073741824", 2)} AS total_gb,
        COUNT(*) FILTER (WHERE total_size_bytes > 1000000000) AS large_tables FROM f""")
 def _(t: Get):
-    return snapshots.storage_total(snapshots.storage_footprint(t("table_sizes")))
+    return snapshots.storage_total(snapshots.storage_footprint(t("table_sizes"), limit=None))
 
 
 @query("e02_index_usage", ["index_usage"], f"""

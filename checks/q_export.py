@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from runscope.operators import failures, inventory, runs
 from runscope.plans import diagnostics, findings, recommendations, report
-from runscope.plans.settle import ensure_checkpoint_dir
 from runscope.sources import export, tables
 
 from .bindings import AS_OF, RBAC
 from .q_people import BASE, PERMISSION_TABLES
 from .q_runs import EVENT, PERFORMANCE, RUN
-from .register import EVENTS_AS_OF, ORDERS_AS_OF, ORDERS_DAYS, Get, big, query, rnd
+from .register import EVENTS_AS_OF, ORDERS_AS_OF, ORDERS_DAYS, Get, big, checkpoint_folder, query, rnd
 
 ORDERS_NOW = datetime.fromisoformat(ORDERS_AS_OF)
 EVENTS_NOW = datetime.fromisoformat(EVENTS_AS_OF)
@@ -164,7 +163,7 @@ def _(t: Get):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder on the storage that checkpoints use."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 @query("s02_list_tables", [], """

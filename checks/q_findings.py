@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from runscope.operators import runs
 from runscope.plans import diagnostics, findings, recommendations, report
 from runscope.plans.settle import settled
@@ -21,7 +19,18 @@ from .q_failures import (
     PREDICTION,
 )
 from .q_runs import DURATIONS, FREQUENCY, HOURLY, LAG, PERFORMANCE, POOLS, RUN_ROWS, TASK_ROWS, TRENDS, WAIT, load_sql
-from .register import EVENTS_AS_OF, ORDERS_AS_OF, ORDERS_DAYS, Get, big, query, rnd, within
+from .register import (
+    EVENTS_AS_OF,
+    ORDERS_AS_OF,
+    ORDERS_DAYS,
+    Get,
+    big,
+    checkpoint_folder,
+    query,
+    rnd,
+    uncut,
+    within,
+)
 
 SETTINGS = diagnostics.Settings(
     as_of=ORDERS_AS_OF, analysis_days=ORDERS_DAYS, history_as_of=AS_OF, critical_document_mb=0.02
@@ -47,50 +56,103 @@ def _results(t: Get, names: set[str], settle: bool = False):
     return diagnostics.run_diagnostics({n: t(n) for n in _needs(names)}, SETTINGS, only=names, settle=settle)
 
 
+MESSAGES = {
+    "frequent_errors": "%.0f tasks fail with high frequency",
+    "correlated_errors": "%.0f of the most frequent pairs of tasks fail together",
+    "transient_failures": "%.0f tasks usually succeed on retry",
+    "persistent_failures": "%.0f tasks keep failing on retry",
+    "error_spikes": "%.0f hours of the day have error spikes",
+    "failure_cascades": "%.0f workflows have failure cascades",
+    "possible_hang": "%.0f scheduler hosts had a heartbeat gap over 300 s",
+    "slow_heartbeat": "%.0f scheduler hosts had many heartbeat gaps over 60 s",
+    "slow_loop": "%.0f scheduler hosts have a p95 loop over 10 s",
+    "long_queue": "%.0f tasks wait over 5 minutes in the queue",
+    "increasing_failures": "%.0f tasks fail more and more",
+    "high_risk_tasks": "%.0f tasks are at high risk",
+    "capacity_near": "80 percent of capacity in %.0f days",
+    "capacity_in_sight": "80 percent of capacity in %.0f days",
+    "workload_shrinking": "workload changes by %.1f tasks a day",
+    "degrading_tasks": "%.0f tasks get slower week by week",
+    "anomalies": "%.0f tasks show anomalous durations",
+    "uneven_days": "%.0f weekdays have an uneven load",
+    "sla_misses": "%.0f tasks miss their deadline",
+    "unsteady_durations": "%.0f tasks vary by more than half their mean",
+    "schedule_drift": "%.0f workflows start over 5 minutes late on average",
+    "catchup_backlog": "%.0f workflows have queued runs",
+    "late_starts": "%.0f workflows have a p95 start delay over 10 minutes",
+    "slower_tasks": "%.0f tasks got over 20 percent slower",
+    "faster_tasks": "%.0f tasks got over 20 percent faster",
+    "frequent_retries": "%.0f tasks retry more than half their attempts",
+    "queue_very_deep": "up to %.0f tasks queued in an hour",
+    "queue_deep": "up to %.0f tasks queued in an hour",
+    "queue_always_deep": "%.1f tasks queued on average",
+    "executor_lag": "%.0f tasks have a p95 queue lag over 60 s",
+    "pools_overused": "%.0f pools exceed 90 percent of their slots",
+    "pools_underused": "%.0f pools use under 20 percent of their slots",
+    "zombie_tasks": "%.0f tasks have been running for too long",
+    "large_tables": "%.0f tables exceed 1 GB",
+    "task_rows_urgent": "task_instance has %.0f rows",
+    "task_rows": "task_instance has %.0f rows",
+    "log_rows": "log has %.0f rows",
+    "xcom_rows": "xcom has %.0f rows",
+    "large_unused_indexes": "%.0f large indexes are unused",
+    "many_lock_waits": "%.0f queries wait for locks",
+    "lock_waits": "%.0f queries wait for locks",
+    "pool_exhausted": "connection pool is %.0f percent used",
+    "pool_busy": "connection pool is %.0f percent used",
+    "idle_transactions": "%.0f connections idle in a transaction",
+    "task_rows_growing": "task_instance reaches 10 million rows in %.0f days",
+    "busy_peak_hour": "%.0f runs in the peak hour",
+    "many_quiet_hours": "%.0f quiet hours",
+    "run_limit_near": "up to %.0f runs at once",
+    "run_load_high": "p95 of %.0f runs at once",
+    "very_frequent_runs": "%.0f workflows run over 50 times a day",
+    "variable_durations": "%.0f workflows vary strongly in duration",
+    "parallelism_exceeded": "up to %.0f tasks at once",
+    "parallelism_near": "up to %.0f tasks at once",
+    "parallelism_unused": "%.1f tasks at once on average",
+}
+
+
 def finding(domain: str, severity: str, code: str, value: str, source: str, holds: str = "value > 0") -> str:
     return (
-        f"SELECT '{domain}' AS domain, '{severity}' AS severity, '{code}' AS code, value FROM "
-        f"(SELECT {rnd(value)} AS value FROM {source}) WHERE {holds}"
+        f"SELECT '{domain}' AS domain, '{severity}' AS severity, '{code}' AS code, printf('{MESSAGES[code]}', value) AS message, "
+        f"value FROM (SELECT {rnd(value)} AS value FROM {source}) WHERE {holds}"
     )
 
 
-def _top(source: str, order: str, n: int = 15) -> str:
-    return f"(SELECT * FROM {source} ORDER BY {order} LIMIT {n})"
-
-
 CLUSTERS = f"""clusters AS (SELECT dag_id, task_id, COUNT(*) AS n FROM task_instance WHERE {TASK_ROWS} AND state = 'failed'
-  GROUP BY 1, 2 ORDER BY n DESC, dag_id, task_id LIMIT 30)"""
+  GROUP BY 1, 2)"""
 RETRIED = f"""rr AS (SELECT dag_id, task_id, run_id, MAX(CASE WHEN state = 'success' THEN 1 ELSE 0 END) AS ok
   FROM task_instance WHERE {TASK_ROWS} AND try_number > 1 GROUP BY 1, 2, 3),
-retried AS (SELECT dag_id, task_id, COUNT(*) AS n, SUM(ok) / COUNT(*) AS share FROM rr GROUP BY 1, 2 HAVING COUNT(*) >= 5
-  ORDER BY n DESC, dag_id, task_id LIMIT 30)"""
+retried AS (SELECT dag_id, task_id, COUNT(*) AS n, SUM(ok) / COUNT(*) AS share FROM rr GROUP BY 1, 2 HAVING COUNT(*) >= 5)"""
 HOURS = f"""eh AS (SELECT EXTRACT(HOUR FROM start_date) AS h, COUNT(*) AS n FROM task_fail WHERE {FAIL_ROWS} GROUP BY 1)"""
 CASCADES = f"""cr AS (SELECT dag_id, run_id FROM task_instance WHERE {TASK_ROWS} AND state = 'failed' GROUP BY 1, 2
   HAVING COUNT(DISTINCT task_id) >= 3),
-cascades AS (SELECT dag_id, COUNT(*) AS n FROM cr GROUP BY 1 ORDER BY n DESC, dag_id LIMIT 20)"""
+cascades AS (SELECT dag_id, COUNT(*) AS n FROM cr GROUP BY 1)"""
 ERRORS = {"error_clusters", "error_correlation", "transient_vs_persistent", "error_time_patterns", "failure_cascades"}
 ERROR_CTES = f"{CLUSTERS}, {RETRIED}, {HOURS}, {CASCADES}, {PAIRS}"
 ERROR_FINDINGS = " UNION ALL ".join([
-    finding("errors", "critical", "frequent_errors", "COUNT(*) FILTER (WHERE n > 20)", _top("clusters", "n DESC, dag_id, task_id")),
+    finding("errors", "critical", "frequent_errors", "COUNT(*) FILTER (WHERE n > 20)", "clusters"),
     finding("errors", "info", "correlated_errors", "LEAST(COUNT(*), 20)", "pairs", "value > 5"),
     finding("errors", "info", "transient_failures", "COUNT(*) FILTER (WHERE share > 0.8)",
-            _top("retried", "n DESC, dag_id, task_id"), "(SELECT COUNT(*) FROM retried) > 0"),
+            "retried", "(SELECT COUNT(*) FROM retried) > 0"),
     finding("errors", "info", "persistent_failures", "COUNT(*) FILTER (WHERE share <= 0.5)",
-            _top("retried", "n DESC, dag_id, task_id"), "(SELECT COUNT(*) FROM retried) > 0"),
+            "retried", "(SELECT COUNT(*) FROM retried) > 0"),
     finding("errors", "warning", "error_spikes", "COUNT(*) FILTER (WHERE n > (SELECT AVG(n) * 1.5 FROM eh))",
-            _top("eh", "n DESC, h", 10)),
+            "eh"),
     finding("errors", "critical", "failure_cascades", "COUNT(*)", "cascades"),
 ])
 
 
 @query("i01_findings_errors", ["task_instance", "task_fail"], f"WITH {ERROR_CTES} {ERROR_FINDINGS}")
 def _(t: Get):
-    return findings.findings(_results(t, ERRORS), SETTINGS).drop("message")
+    return findings.findings(_results(t, ERRORS), SETTINGS)
 
 
 @query("i01_findings_scheduler", ["job", "task_instance"], f"""WITH {GAPS}, {_WAITS},
 lq AS (SELECT dag_id, task_id, AVG(w) AS mean, QUANTILE_CONT(w, 0.95) AS p95 FROM waits_in GROUP BY 1, 2
-       HAVING AVG(w) > 10 ORDER BY {rnd("AVG(w)", 2)} DESC, dag_id, task_id LIMIT 15),
+       HAVING AVG(w) > 10),
 loops AS (SELECT hostname, QUANTILE_CONT(gap, 0.95) AS p95 FROM b WHERE gap > 0 GROUP BY 1)
 """ + " UNION ALL ".join([
     finding("scheduler", "critical", "possible_hang", "COUNT(*) FILTER (WHERE max_gap_seconds > 300)", "g"),
@@ -101,22 +163,21 @@ loops AS (SELECT hostname, QUANTILE_CONT(gap, 0.95) AS p95 FROM b WHERE gap > 0
 ]))
 def _(t: Get):
     names = {"heartbeat_gaps", "loop_duration", "queued_duration"}
-    return findings.findings(_results(t, names), SETTINGS).drop("message")
+    return findings.findings(_results(t, names), SETTINGS)
 
 
 _DAYS_LEFT = ("MAX(CASE WHEN tasks_growth_per_day > 0 AND current_avg_daily_tasks < 614.4 "
               "THEN (614.4 - current_avg_daily_tasks) / tasks_growth_per_day END)")
 
 
-@query("i01_findings_predictive", ["task_instance"], f"""WITH {PREDICTION}, {CAPACITY}, {DURATIONS},
-first AS (SELECT * FROM prediction ORDER BY CASE WHEN recent_failures > old_failures THEN 1 ELSE 2 END,
-          failure_rate DESC, dag_id, task_id LIMIT 15),
+@query("i01_findings_predictive", ["task_instance"], f"""WITH {uncut(PREDICTION)}, {CAPACITY}, {DURATIONS},
+first AS (SELECT * FROM prediction),
 w AS (SELECT dag_id, task_id, DATE_TRUNC('week', start_date) AS week, AVG(s) AS y FROM d GROUP BY 1, 2, 3
       HAVING COUNT(*) >= 3),
 tr AS (SELECT dag_id, task_id, REGR_SLOPE(y, epoch(week) / 604800.0) AS slope, REGR_R2(y, epoch(week) / 604800.0) AS fit
        FROM w GROUP BY 1, 2 HAVING COUNT(*) >= 3),
-slower AS (SELECT * FROM tr WHERE slope > 0 AND fit > 0.3 ORDER BY slope DESC, dag_id, task_id LIMIT 15),
-odd AS (SELECT * FROM (SELECT 1 AS one FROM ({"WITH " + ANOMALIES} FROM z WHERE z > 3 GROUP BY 1, 2 LIMIT 30))),
+slower AS (SELECT * FROM tr WHERE slope > 0 AND fit > 0.3),
+odd AS (SELECT * FROM (SELECT 1 AS one FROM ({"WITH " + ANOMALIES} FROM z WHERE z > 3 GROUP BY 1, 2))),
 cells AS (SELECT EXTRACT(DOW FROM start_date) AS d, EXTRACT(HOUR FROM start_date) AS h, COUNT(*) AS n FROM task_instance
   WHERE {TASK_ROWS} AND end_date IS NOT NULL AND state = 'success' GROUP BY 1, 2),
 seasons AS (SELECT d, {rnd("STDDEV_SAMP(n) / AVG(n) * 100", 2)} AS cv FROM cells GROUP BY d)
@@ -136,52 +197,50 @@ def _(t: Get):
     names = {
         "failure_prediction", "capacity_forecast", "performance_degradation", "anomaly_detection", "seasonal_patterns"
     }
-    return findings.findings(_results(t, names), SETTINGS).drop("message")
+    return findings.findings(_results(t, names), SETTINGS)
 
 
 @query("i01_findings_timing", ["sla_miss", "task_instance", "dag_run"], f"""WITH {DURATIONS}, {_LATE},
-sla AS (SELECT dag_id, task_id FROM sla_miss WHERE {within('"timestamp"', EVENTS_AS_OF, ORDERS_DAYS)} GROUP BY 1, 2 LIMIT 30),
+sla AS (SELECT dag_id, task_id FROM sla_miss WHERE {within('"timestamp"', EVENTS_AS_OF, ORDERS_DAYS)} GROUP BY 1, 2),
 cv AS (SELECT {rnd("STDDEV_SAMP(s) / AVG(s) * 100", 2)} AS cv FROM d GROUP BY dag_id, task_id
        HAVING COUNT(*) >= 5 AND STDDEV_SAMP(s) IS NOT NULL),
 drift AS (SELECT AVG(lag) AS mean FROM lags WHERE state IN ('success', 'failed', 'running') GROUP BY dag_id
           HAVING AVG(lag) > 60),
 late AS (SELECT {rnd("AVG(lag)", 2)} AS mean, dag_id, QUANTILE_CONT(lag, 0.95) AS p95 FROM lags GROUP BY dag_id
          HAVING AVG(lag) > 30),
-backlog AS (SELECT dag_id FROM dag_run WHERE state = 'queued' AND execution_date < TIMESTAMP '{ORDERS_AS_OF}'
-            GROUP BY 1 LIMIT 30)
+backlog AS (SELECT dag_id FROM dag_run WHERE state = 'queued' GROUP BY 1)
 """ + " UNION ALL ".join([
     finding("timing", "warning", "sla_misses", "COUNT(*)", "sla"),
-    finding("timing", "warning", "unsteady_durations", "COUNT(*) FILTER (WHERE cv > 50)", _top("cv", "cv DESC")),
-    finding("timing", "warning", "schedule_drift", "COUNT(*) FILTER (WHERE mean > 300)", _top("drift", "mean DESC")),
+    finding("timing", "warning", "unsteady_durations", "COUNT(*) FILTER (WHERE cv > 50)", "cv"),
+    finding("timing", "warning", "schedule_drift", "COUNT(*) FILTER (WHERE mean > 300)", "drift"),
     finding("timing", "critical", "catchup_backlog", "COUNT(*)", "backlog"),
-    finding("timing", "warning", "late_starts", "COUNT(*) FILTER (WHERE p95 > 600)", _top("late", "mean DESC, dag_id")),
+    finding("timing", "warning", "late_starts", "COUNT(*) FILTER (WHERE p95 > 600)", "late"),
 ]))
 def _(t: Get):
     names = {"sla_miss_patterns", "execution_variance", "schedule_drift", "catchup_backlog", "scheduling_delay"}
-    return findings.findings(_results(t, names), SETTINGS).drop("message")
+    return findings.findings(_results(t, names), SETTINGS)
 
 
-@query("i01_findings_execution", ["task_instance", "slot_pool"], f"""WITH {TRENDS}, {_TASK_HOURS}, {POOLS},
+@query("i01_findings_execution", ["task_instance", "slot_pool"], f"""WITH {uncut(TRENDS)}, {_TASK_HOURS}, {POOLS},
 changes AS (SELECT {rnd("change * 100", 2)} AS change, dag_id, task_id FROM trend),
 retries AS (SELECT dag_id, task_id, COUNT(*) FILTER (WHERE try_number > 1) AS n,
                    {rnd("COUNT(*) FILTER (WHERE try_number > 1) * 100.0 / COUNT(*)", 2)} AS rate
             FROM task_instance WHERE {TASK_ROWS} GROUP BY 1, 2),
 ql AS (SELECT dag_id, task_id, {rnd(f"AVG({WAIT})", 2)} AS mean, QUANTILE_CONT({WAIT}, 0.95) AS p95 FROM task_instance
        WHERE {TASK_ROWS} AND state IN ('success', 'failed', 'running') AND {WAIT} >= 0 GROUP BY 1, 2 HAVING COUNT(*) >= 5),
-stuck AS (SELECT * FROM task_instance WHERE state = 'running' AND start_date < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6 HOUR
-          LIMIT 50)
+stuck AS (SELECT * FROM task_instance WHERE state = 'running' AND start_date < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6 HOUR)
 """ + " UNION ALL ".join([
     finding("execution", "critical", "slower_tasks", "COUNT(*) FILTER (WHERE change > 20)",
-            _top("changes", "ABS(change) DESC, dag_id, task_id")),
+            "changes"),
     finding("execution", "ok", "faster_tasks", "COUNT(*) FILTER (WHERE change < -20)",
-            _top("changes", "ABS(change) DESC, dag_id, task_id")),
+            "changes"),
     finding("execution", "warning", "frequent_retries", "COUNT(*) FILTER (WHERE rate > 50)",
-            _top("retries", "n DESC, dag_id, task_id")),
+            "retries"),
     finding("execution", "critical", "queue_very_deep", "MAX(n)", "q", "value > 100"),
     finding("execution", "warning", "queue_deep", "MAX(n)", "q", "value > 50 AND value <= 100"),
     finding("execution", "warning", "queue_always_deep", "AVG(n)", "q", "value > 20"),
     finding("execution", "warning", "executor_lag", "COUNT(*) FILTER (WHERE p95 > 60)",
-            _top("ql", "mean DESC, dag_id, task_id")),
+            "ql"),
     finding("execution", "warning", "pools_overused", "COUNT(*) FILTER (WHERE COALESCE(peak_utilization_percent, 0) > 90)",
             "pools"),
     finding("execution", "info", "pools_underused", "COUNT(*) FILTER (WHERE COALESCE(peak_utilization_percent, 0) <= 90 "
@@ -192,7 +251,7 @@ def _(t: Get):
     names = {
         "task_duration_trends", "task_retry_patterns", "queue_depth", "executor_queue_lag", "pool_utilisation", "zombie_tasks"
     }
-    return findings.findings(_results(t, names), SETTINGS).drop("message")
+    return findings.findings(_results(t, names), SETTINGS)
 
 
 DATABASE = {"storage_footprint", "table_row_counts", "index_use", "lock_waits", "connection_stats", "table_growth"}
@@ -200,8 +259,8 @@ DATABASE = {"storage_footprint", "table_row_counts", "index_use", "lock_waits",
 
 @query("i01_findings_database",
        ["table_sizes", "task_instance", "dag_run", "log", "job", "xcom", "index_usage", "activity", "locks"],
-       f"""WITH {FOOTPRINT}, {COUNTS}, {WAITS},
-idx AS (SELECT * FROM index_usage ORDER BY index_scans, index_size_bytes DESC, indexname LIMIT 15),
+       f"""WITH {uncut(FOOTPRINT)}, {COUNTS}, {WAITS},
+idx AS (SELECT * FROM index_usage),
 conns AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE state = 'idle in transaction') AS idle FROM activity),
 grow AS (SELECT COUNT(*) AS n, {rnd(f"COUNT(*) FILTER (WHERE {within('execution_date', ORDERS_AS_OF, 365)}) / 365", 2)} AS d
          FROM task_instance)
@@ -216,7 +275,7 @@ grow AS (SELECT COUNT(*) AS n, {rnd(f"COUNT(*) FILTER (WHERE {within('execution_
             "value > 1000000"),
     finding("database", "info", "large_unused_indexes",
             "COUNT(*) FILTER (WHERE index_scans = 0 AND index_size_bytes > 10000000)", "idx"),
-    finding("database", "critical", "many_lock_waits", "LEAST(COUNT(*), 20)", "waits", "value > 5"),
+    finding("database", "critical", "many_lock_waits", "COUNT(*)", "waits", "value > 5"),
     finding("database", "warning", "lock_waits", "COUNT(*)", "waits", "value > 0 AND value <= 5"),
     finding("database", "critical", "pool_exhausted", "n * 100.0 / 15", "conns", "value > 90"),
     finding("database", "warning", "pool_busy", "n * 100.0 / 15", "conns", "value > 75 AND value <= 90"),
@@ -224,7 +283,7 @@ grow AS (SELECT COUNT(*) AS n, {rnd(f"COUNT(*) FILTER (WHERE {within('execution_
     finding("database", "warning", "task_rows_growing", "CASE WHEN d > 10000 THEN (10000000 - n) / d END", "grow", "value < 30"),
 ]))
 def _(t: Get):
-    return findings.findings(_results(t, DATABASE), SETTINGS).drop("message")
+    return findings.findings(_results(t, DATABASE), SETTINGS)
 
 
 TRAFFIC = {"hourly_traffic", "peak_and_quiet_hours", "run_concurrency", "dag_frequency", "task_concurrency"}
@@ -238,9 +297,9 @@ TRAFFIC_FINDINGS = " UNION ALL ".join([
     finding("traffic", "warning", "run_limit_near", "peak", "run_load", "value > 12.8"),
     finding("traffic", "info", "run_load_high", "p95", "run_load", "value > 9.6"),
     finding("traffic", "warning", "very_frequent_runs",
-            f"COUNT(*) FILTER (WHERE {rnd('total_runs / active_days', 2)} > 50)", _top("freq", "total_runs DESC, dag_id")),
+            f"COUNT(*) FILTER (WHERE {rnd('total_runs / active_days', 2)} > 50)", "freq"),
     finding("traffic", "info", "variable_durations", "COUNT(*) FILTER (WHERE sd > mean * 0.5)",
-            _top("freq", "total_runs DESC, dag_id")),
+            "freq"),
     finding("traffic", "critical", "parallelism_exceeded", "peak", "task_load", "value > 28.8"),
     finding("traffic", "warning", "parallelism_near", "peak", "task_load", "value > 24 AND value <= 28.8"),
     finding("traffic", "info", "parallelism_unused", "CASE WHEN peak <= 24 THEN mean END", "task_load", "value < 9.6"),
@@ -250,7 +309,7 @@ TRAFFIC_FINDINGS = " UNION ALL ".join([
 @query("i01_findings_traffic", ["dag_run", "task_instance"],
        f"WITH {HOUR_CTES}, {FREQUENCY}, {LOAD_CTES} {TRAFFIC_FINDINGS}")
 def _(t: Get):
-    return findings.findings(_results(t, TRAFFIC), SETTINGS).drop("message")
+    return findings.findings(_results(t, TRAFFIC), SETTINGS)
 
 
 # results that the recommendation, headline and report queries go by
@@ -262,11 +321,9 @@ ADVICE_TABLES = [
     "task_instance", "task_fail", "dag_run", "settings", "serialized_dag", "file_inventory"
 ]
 _MB = "strlen(data) / 1048576.0"
-ADVICE_CTES = f"""{ERROR_CTES}, {PERFORMANCE}, {FAILURES}, {_TASK_HOURS}, {INPUTS}, {HASHES},
-stuck AS (SELECT 1 FROM task_instance WHERE state = 'running' AND start_date < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6 HOUR
-          LIMIT 50),
-backlog AS (SELECT dag_id, COUNT(*) AS n FROM dag_run WHERE state = 'queued'
-            AND execution_date < TIMESTAMP '{ORDERS_AS_OF}' GROUP BY 1 ORDER BY n DESC, dag_id LIMIT 30),
+ADVICE_CTES = f"""{ERROR_CTES}, {PERFORMANCE}, {uncut(FAILURES)}, {_TASK_HOURS}, {INPUTS}, {HASHES},
+stuck AS (SELECT 1 FROM task_instance WHERE state = 'running' AND start_date < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 6 HOUR),
+backlog AS (SELECT dag_id, COUNT(*) AS n FROM dag_run WHERE state = 'queued' GROUP BY 1),
 found AS ({ERROR_FINDINGS} UNION ALL {finding("timing", "critical", "catchup_backlog", "COUNT(*)", "backlog")}
   UNION ALL {finding("execution", "critical", "zombie_tasks", "COUNT(*)", "stuck")}
   UNION ALL {finding("execution", "critical", "queue_very_deep", "MAX(n)", "q", "value > 100")}
@@ -323,6 +380,7 @@ ADVICE_SQL = " UNION ALL ".join(_advice_row(*rule) for rule in ADVICE)
 
 
 def _advice(t: Get):
+    checkpoint_folder(t("orders").sparkSession)
     results = _results(t, ADVISED, settle=True)
     found = settled(findings.findings(results, SETTINGS))
     numbers = recommendations.headline_numbers(results, found)
@@ -335,18 +393,17 @@ def _(t: Get):
     return _advice(t)[3]
 
 
-@query("i03_report_summary", ADVICE_TABLES, f"""WITH {ADVICE_CTES}, fired AS ({ADVICE_SQL}),
-top AS (SELECT * FROM perf ORDER BY total_runs DESC, dag_id LIMIT 20)
+@query("i03_report_summary", ADVICE_TABLES, f"""WITH {ADVICE_CTES}, fired AS ({ADVICE_SQL})
 SELECT (SELECT COUNT(*) FROM serialized_dag) AS total_dags,
        (SELECT COUNT(*) FROM serialized_dag WHERE {_MB} > 0.025 AND {rnd(_MB, 2)} > 0.02) AS suspicious_dags,
-       (SELECT COUNT(*) FROM top WHERE success_rate_percent < 95 OR avg_rt > 3600) AS performance_issues,
+       (SELECT COUNT(*) FROM perf WHERE success_rate_percent < 95 OR avg_rt > 3600) AS performance_issues,
        (SELECT COUNT(*) FROM fails) AS failing_tasks, (SELECT COUNT(*) FROM unstable) AS unstable_dags,
        (SELECT COUNT(*) FILTER (WHERE before <> config_hash) > 0 FROM changes) AS config_changed,
        {big("0")} AS traffic_insights, {big("0")} AS peak_concurrent_dags, {big("0")} AS peak_concurrent_tasks,
        (SELECT COUNT(*) FROM fired) AS recommendations_count""")
 def _(t: Get):
     results, found, numbers, advice = _advice(t)
-    return report.report_summary(numbers, runs.run_health_status(results["run_performance"]), found, advice)
+    return report.report_summary(numbers, runs.run_health_status(results["run_performance"], top_n=None), found, advice)
 
 
 @query("i04_report_lines")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runscope.plans.settle import ensure_checkpoint_dir
+
 from .bindings import AS_OF, EVENTS_AS_OF, ORDERS_AS_OF, table, twin
 
 ORDERS_DAYS = 365
@@ -40,6 +44,17 @@ def query(name: str, tables: list[str] | None = None, sql: str | None = None) ->
     return add
 
 
+def uncut(cte: str) -> str:
+    """A table expression that ends in ORDER BY and LIMIT, without them."""
+    return re.sub(r"\s+ORDER BY (?:(?!ORDER BY).)* LIMIT \d+\)\Z", ")", cte, flags=re.S)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; where it names none, one of this run."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return ensure_checkpoint_dir(spark, None if named else tempfile.mkdtemp(prefix="checks-"))
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Plain types both engines agree on: 64-bit integers, doubles to 4 places, arrays as joined text."""
     columns = []
@@ -84,8 +99,10 @@ __all__ = [
     "ORDERS_DAYS",
     "REGISTER",
     "big",
+    "checkpoint_folder",
     "query",
     "rnd",
     "sec",
+    "uncut",
     "within",
 ]

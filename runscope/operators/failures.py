@@ -29,8 +29,11 @@ def task_failures(
     return top_rows(stats, by_task(F.desc("failure_count")), limit)
 
 
-def failures_by_dag(failures: DataFrame, *, top_n: int | None = 20) -> DataFrame:
-    """Failures per workflow over the ``top_n`` worst tasks of ``task_failures``."""
+def failures_by_dag(failures: DataFrame, *, top_n: int | None = None) -> DataFrame:
+    """Failures per workflow over the ``top_n`` worst tasks of ``task_failures``.
+
+    The totals are those of the workflows only with ``top_n=None`` and uncut ``failures``.
+    """
     return (
         top_rows(failures, by_task(F.desc("failure_count")), top_n)
         .groupBy("dag_id")

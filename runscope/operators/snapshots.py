@@ -28,7 +28,7 @@ def storage_footprint(table_sizes: DataFrame, *, schema: str = "public", limit:
 
 
 def storage_total(footprint: DataFrame, *, large_bytes: int = 1_000_000_000) -> DataFrame:
-    """Total size and number of large tables of ``storage_footprint`` (one row)."""
+    """Total size and number of large tables of ``storage_footprint`` (one row); give it uncut for the whole schema."""
     return footprint.agg(
         F.round(F.sum("total_size_bytes") / F.lit(float(1024**3)), 2).alias("total_gb"),
         F.count_if(F.col("total_size_bytes") > large_bytes).alias("large_tables"),

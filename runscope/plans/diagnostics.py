@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -17,7 +18,11 @@ from .settle import settled
 
 @dataclass(frozen=True)
 class Settings:
-    """What a diagnostics run depends on besides the tables."""
+    """What a diagnostics run depends on besides the tables.
+
+    ``cut=True`` keeps only the head of each result (the default limits of the operators), and findings look at the
+    ``top_n`` first rows. Counts and totals then stop at those limits; otherwise they are those of all rows.
+    """
 
     as_of: AsOf
     analysis_days: int = 7
@@ -29,6 +34,7 @@ class Settings:
     critical_document_mb: float = 10.0
     min_success_rate: float = 95.0
     top_n: int = 15
+    cut: bool = False
     history_as_of: dict[str, AsOf] = field(default_factory=dict)
 
     def at(self, table: str) -> AsOf:
@@ -43,8 +49,16 @@ def steps(s: Settings) -> dict[str, Step]:
     """Result name -> (tables or earlier results it needs, how to compute it)."""
     days = {"analysis_days": s.analysis_days}
 
+    def whole(operator: Callable[..., DataFrame]) -> dict:
+        """Arguments that switch an operator's limit off. Pairs of tasks stay a top list: all of them are too many."""
+        has_limit = "limit" in inspect.signature(operator).parameters and operator is not failures.error_correlation
+        return {"limit": None} if has_limit and not s.cut else {}
+
     def on(table: str, operator: Callable[..., DataFrame], *others: str, **more) -> Step:
-        return (table, *others), lambda *t: operator(*t, as_of=s.at(table), **more)
+        return (table, *others), lambda *t: operator(*t, as_of=s.at(table), **whole(operator), **more)
+
+    def of(table: str, operator: Callable[..., DataFrame]) -> Step:
+        return (table,), lambda t: operator(t, **whole(operator))
 
     return {
         "run_performance": on("dag_run", runs.run_performance, **days),
@@ -89,8 +103,8 @@ def steps(s: Settings) -> dict[str, Step]:
             ),
         ),
         "serialization_instability": on("serialized_dag", documents.serialization_instability, **days),
-        "storage_footprint": (("table_sizes",), snapshots.storage_footprint),
-        "index_use": (("index_usage",), snapshots.index_usage),
+        "storage_footprint": of("table_sizes", snapshots.storage_footprint),
+        "index_use": of("index_usage", snapshots.index_usage),
         "lock_waits": on("activity", snapshots.lock_waits, "locks"),
         "connection_stats": on("activity", snapshots.connection_stats),
         "config_conflicts": (("settings",), config_audit.config_conflicts),
@@ -128,7 +142,8 @@ def run_diagnostics(
 
     Results stay lazy. With ``settle`` each one is computed once and kept in the checkpoint folder, so that findings,
     recommendations and the report all read a few small tables instead of starting from the raw ones again. The window
-    of the two big tables is read once and kept (in memory, else on disk) while the results are computed.
+    of the two big tables is read once and kept (in memory, else on disk) while the results are computed; what is lost
+    with an executor is read again from the tables. ``spark.checkpoint.dir`` must be set for it.
     """
     shared: dict[str, DataFrame] = {}
     if settle:

@@ -51,9 +51,10 @@ def _only(value: str | Column, low: float | None, high: float | None = None) ->
 
 
 def _rules(s: Settings) -> dict[str, tuple[list | None, int | None, list[Rule]]]:
-    """Result name -> (order, rows looked at, rules)."""
+    """Result name -> (order, rows looked at, rules); all rows are looked at unless the settings say otherwise."""
     c = F.col
-    top = s.top_n
+    top = s.top_n if s.cut else None
+    hours = 10 if s.cut else None
     by_task = [F.asc("dag_id"), F.asc("task_id")]
     capacity = s.parallelism * 0.8 * 24
     days_left = F.when(
@@ -77,7 +78,7 @@ def _rules(s: Settings) -> dict[str, tuple[list | None, int | None, list[Rule]]]
                  "%.0f tasks fail with high frequency"),
         ]),
         "error_correlation": (None, None, [
-            rule("errors", INFO, "correlated_errors", _rows(5), "%.0f pairs of tasks fail together"),
+            rule("errors", INFO, "correlated_errors", _rows(5), "%.0f of the most frequent pairs of tasks fail together"),
         ]),
         "transient_vs_persistent": ([F.desc("retry_runs"), *by_task], top, [
             rule("errors", INFO, "transient_failures",
@@ -87,7 +88,7 @@ def _rules(s: Settings) -> dict[str, tuple[list | None, int | None, list[Rule]]]
                  (F.count_if(c("failure_type") == "Persistent").cast("double"), F.col("total") > 0),
                  "%.0f tasks keep failing on retry"),
         ]),
-        "error_time_patterns": ([F.desc("total_errors"), F.asc("hour_of_day")], 10, [
+        "error_time_patterns": ([F.desc("total_errors"), F.asc("hour_of_day")], hours, [
             rule("errors", WARNING, "error_spikes", _count(c("error_intensity") == "High"),
                  "%.0f hours of the day have error spikes"),
         ]),

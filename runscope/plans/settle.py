@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (local tests)."""
+def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The checkpoint folder: ``folder``, or what ``spark.checkpoint.dir`` names; all executors must share it."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured and context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
+    wanted = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if wanted and context.getCheckpointDir() is None:
+        context.setCheckpointDir(wanted)
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return context.getCheckpointDir()
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` computed now and read back from the checkpoint folder from here on."""
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession, folder)
     return df.checkpoint(eager=True)

@@ -9,13 +9,15 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checks.compare import spark_session  # noqa: E402
+from runscope.plans.settle import ensure_checkpoint_dir  # noqa: E402
 from runscope.sources.schemas import schema_of  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = spark_session()
     session.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(session, str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

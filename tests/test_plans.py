@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from runscope.operators import runs
+from runscope.operators import failures, runs
 from runscope.plans import diagnostics, findings, recommendations, report, settle
 
 from .conftest import as_dicts
@@ -48,6 +48,42 @@ def tables(make):
     }
 
 
+def test_numbers_are_those_of_all_rows(spark, make):
+    """More failing tasks, queued workflows and stuck tasks than any display limit."""
+    start = DAY + timedelta(hours=1)
+    given = {
+        "task_fail": make("task_fail", [{"dag_id": f"d{i % 3}", "task_id": f"t{i}", "start_date": DAY} for i in range(70)]),
+        "dag_run": make("dag_run", [
+            {"dag_id": f"w{i % 45}", "run_id": str(i), "state": "queued", "execution_date": None if i % 5 == 0 else DAY} for i in range(90)
+        ]),
+        "task_instance": make("task_instance", [
+            {"dag_id": f"d{i}", "task_id": "t", "run_id": "r", "state": "running", "start_date": start} for i in range(64)
+        ]),
+        "table_sizes": make("table_sizes", [
+            {"schemaname": "public", "tablename": f"t{i}", "total_size_bytes": 2 * 10**9, "table_size_bytes": 1} for i in range(33)
+        ]),
+    }
+    names = {"task_failures", "catchup_backlog", "zombie_tasks", "storage_footprint"}
+
+    def run(settings):
+        results = diagnostics.run_diagnostics(given, settings, only=names)
+        found = findings.findings(results, settings)
+        numbers = recommendations.headline_numbers(results, found)
+        values = {r["code"]: r["value"] for r in found.collect()} | {r["metric"]: r["value"] for r in numbers.collect()}
+        return results, found, recommendations.recommendations(numbers, settings), values
+
+    results, found, advice, values = run(SETTINGS)
+    wanted = ["failing_tasks", "queued_runs", "catchup_backlog", "zombie_tasks", "large_tables"]
+    assert [values[w] for w in wanted] == [70, 90, 45, 64, 33]
+    assert "Clear the backlog of 90 queued runs" in [r["recommendation"] for r in advice.collect()]
+    totals = failures.failures_by_dag(results["task_failures"])
+    assert [r["total_failures"] for r in totals.collect()] == [24, 23, 23]
+    few, every = (report.report_lines(results, found, advice, rows_per_section=n) for n in (5, None))
+    assert few.where("section = 1").count() == 6 and every.where("section = 1").count() == 46
+    cut = run(diagnostics.Settings(as_of=NOW, cut=True))[3]
+    assert [cut[w] for w in wanted] == [50, 60, 30, 50, 20]
+
+
 def test_whole_run(spark, tables, tmp_path):
     results = diagnostics.run_diagnostics(tables, SETTINGS, settle=True)
     assert len(results) == len(diagnostics.steps(SETTINGS)) + 2
