@@ -166,39 +166,66 @@ def _top(distance: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((first[some], distance[some]))][:k]
 
 
-def _compared(probes: DataFrame, postings: DataFrame, kind: str, k: int, fit: Fit) -> DataFrame:
-    """(query_id, vec_id, score): of each list, the k nearest to each query that probes it.
-
-    A long list is cut into blocks, and so are the queries of a list; every block of the one meets every block of the
-    other, so a task holds ``block`` vectors of each at most (on average; they are dealt by hash). The numbers of
-    blocks are two small tables with a row per list.
+def _shards(index: Index, postings: dict[int, int], probes: dict[int, int], block: int) -> list[tuple[int, int, int, int]]:
+    """(list, shard, v, q): lists near each other share a shard of up to ``block`` vectors; a longer list is a shard of
+    its own, cut into v blocks. The queries of a shard are cut into q blocks. A row per list."""
+    entries = index.entries
+    home = _squared(index.centroids, index.centroids[entries])
+    order = np.lexsort((home.min(axis=1), home.argmin(axis=1))).tolist()
+    shard_of: dict[int, int] = {}
+    shard, held = -1, block
+    for number in order:
+        size = postings.get(number, 0)
+        if size and number in probes:
+            if held + size > block:
+                shard, held = shard + 1, 0
+            shard_of[number] = shard
+            held += size
+    asked: dict[int, int] = {}
+    for number, shard in shard_of.items():
+        asked[shard] = asked.get(shard, 0) + probes[number]
+    return [(n, s, max(1, -(-postings[n] // block)), max(1, -(-asked[s] // block))) for n, s in shard_of.items()]
+
+
+def _compared(index: Index, probes: DataFrame, postings: DataFrame, k: int, fit: Fit) -> DataFrame:
+    """(query_id, vec_id, score): of each block, the k nearest to each query in the lists that it probes there.
+
+    Every block of a shard meets every block of its queries, so a task holds about ``block`` vectors and as many
+    probes. What goes on is k rows for each query and block, not for each list.
     """
+    spark = probes.sparkSession
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / fit.block).cast("int").alias(name))
+    def sizes(df: DataFrame) -> dict[int, int]:
+        # bounded: as many rows as there are centroids
+        return {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
 
-    # bounded: as many rows as there are centroids
-    sizes = F.broadcast(blocks(postings, "v").join(blocks(probes, "q"), "list"))
+    rows = _shards(index, sizes(postings), sizes(probes), fit.block)
 
     def dealt(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
-        df = df.join(sizes, "list").withColumn(f"{own}_no", F.pmod(F.xxhash64(by), F.col(own)).cast("int"))
+        shards = F.broadcast(spark.createDataFrame(rows, "list int, shard int, v int, q int"))
+        df = df.join(shards, "list").withColumn(f"{own}_no", F.pmod(F.xxhash64(by), F.col(own)).cast("int"))
         return df.withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v", "q")
 
-    left = dealt(probes, "query_id", "q", "v").groupBy("list", "v_no", "q_no")
-    right = dealt(postings, "ids", "v", "q").groupBy("list", "v_no", "q_no")
+    left = dealt(probes, "query_id", "q", "v").groupBy("shard", "v_no", "q_no")
+    right = dealt(postings, "ids", "v", "q").groupBy("shard", "v_no", "q_no")
 
     def nearest(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(vectors):
-            matrix = _matrix(vectors["vector"])
-            ids = vectors["ids"].tolist()
+            vectors = vectors.sort_values("list", kind="stable")
+            matrix, ids = _matrix(vectors["vector"]), vectors["ids"].tolist()
             first = np.array([x[0] for x in ids])
-            for query_id, vector in zip(queries["query_id"].tolist(), queries["vector"]):
-                distance = np.sqrt(((matrix - np.asarray(vector, np.float64)) ** 2).sum(axis=1))
-                found = [
-                    (distance[i], int(x)) for i in _top(distance, first, k + 1).tolist() for x in ids[i] if x != query_id
-                ]
-                for score, vec_id in sorted(found)[:k]:
+            number = vectors["list"].to_numpy()
+            for query_id, asked in queries.groupby("query_id", sort=False):
+                lists = np.unique(asked["list"].to_numpy())
+                ranges = zip(np.searchsorted(number, lists), np.searchsorted(number, lists, side="right"))
+                at = np.concatenate([np.arange(a, b) for a, b in ranges])
+                query = np.asarray(asked["vector"].iloc[0], np.float64)
+                distance = np.sqrt(((matrix[at] - query) ** 2).sum(axis=1))
+                best = _top(distance, first[at], (k + 1) * fit.copies)
+                # a vector that is in several of the lists counts once
+                found = {int(x): distance[i] for i in best.tolist() for x in ids[at[i]] if x != query_id}
+                for score, vec_id in sorted((d, x) for x, d in found.items())[:k]:
                     out["query_id"].append(query_id)
                     out["vec_id"].append(vec_id)
                     out["score"].append(score)
@@ -277,8 +304,8 @@ def nearest_neighbours(
         f"{folder}/postings",
     )
     probing = searched(lambda x: search_graph(index, x, fit.probe)[:2], ["query_id", "vector"])
-    probes = asked.mapInArrow(probing, f"query_id bigint, vector {kind}, list int")
-    found = written(_compared(probes, postings, kind, k, fit).distinct(), f"{folder}/found")
+    probes = written(asked.mapInArrow(probing, f"query_id bigint, vector {kind}, list int"), f"{folder}/probes")
+    found = written(_compared(index, probes, postings, k, fit), f"{folder}/found")
 
     # exact way for queries whose lists were too short
     counts = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
@@ -287,7 +314,7 @@ def nearest_neighbours(
     short = written(short, f"{folder}/short")
     if short.limit(1).count():
         every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))))
-        found = found.unionByName(_compared(every, postings, kind, k, fit))
+        found = found.unionByName(_compared(index, every, postings, k, fit))
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
