@@ -16,22 +16,21 @@ def _tables(t: Get):
     return {n: t(n) for n in RBAC}
 
 
-BASE = """base AS (
-  SELECT DISTINCT pvr.permission_view_id, r.name AS role_name
-  FROM ab_permission_view_role pvr JOIN ab_role r ON r.id = pvr.role_id
-  JOIN ab_permission_view pv ON pv.id = pvr.permission_view_id JOIN ab_view_menu vm ON vm.id = pv.view_menu_id
-  JOIN ab_permission p ON p.id = pv.permission_id
-  WHERE vm.name NOT LIKE 'DAG:%' AND vm.name NOT LIKE 'DAGs%')"""
-MENU = """menu AS (
-  SELECT pv.id AS permission_view_id FROM ab_permission_view pv JOIN ab_view_menu vm ON vm.id = pv.view_menu_id
-  JOIN ab_permission p ON p.id = pv.permission_id WHERE vm.name = 'DAGs' AND p.name = 'menu_access')"""
+# which pages and views count is said by sets of ids
+BASE = """workflow_views AS (SELECT id FROM ab_permission_view
+  WHERE view_menu_id IN (SELECT id FROM ab_view_menu WHERE regexp_matches(name, '^DAG(s|:)'))),
+base AS (SELECT DISTINCT permission_view_id, (SELECT name FROM ab_role WHERE id = role_id) AS role_name
+  FROM ab_permission_view_role
+  WHERE permission_view_id IN (SELECT id FROM ab_permission_view) AND permission_view_id NOT IN (SELECT id FROM workflow_views))"""
+MENU = """menu AS (SELECT id AS permission_view_id FROM ab_permission_view
+  WHERE view_menu_id IN (SELECT id FROM ab_view_menu WHERE name = 'DAGs')
+  AND permission_id IN (SELECT id FROM ab_permission WHERE name = 'menu_access'))"""
 
 
 def _dag_views(*names: str) -> str:
     listed = ", ".join(f"'DAG:{n}'" for n in names)
-    return f"""dag_views AS (
-  SELECT pv.id AS permission_view_id FROM ab_permission_view pv JOIN ab_view_menu vm ON vm.id = pv.view_menu_id
-  WHERE vm.name IN ({listed}))"""
+    return f"""dag_views AS (SELECT id AS permission_view_id FROM ab_permission_view
+  WHERE view_menu_id IN (SELECT id FROM ab_view_menu WHERE name IN ({listed})))"""
 
 
 PERMISSION_TABLES = ["ab_role", "ab_permission", "ab_view_menu", "ab_permission_view", "ab_permission_view_role"]
@@ -56,8 +55,9 @@ def _(t: Get):
 
 
 @query("r03_menu_permission_first", PERMISSION_TABLES, f"""
-SELECT {big("MIN(pv.id)")} AS permission_view_id FROM ab_permission_view pv JOIN ab_view_menu vm ON vm.id = pv.view_menu_id
-JOIN ab_permission p ON p.id = pv.permission_id WHERE vm.name = 'DAGs' AND p.name LIKE 'menu%'""")
+SELECT {big("MIN(id)")} AS permission_view_id FROM ab_permission_view
+WHERE view_menu_id = (SELECT id FROM ab_view_menu WHERE name = 'DAGs')
+AND permission_id IN (SELECT id FROM ab_permission WHERE starts_with(name, 'menu'))""")
 def _(t: Get):
     return rbac.menu_permission(_tables(t), menu_mode="with_dags")
 
@@ -95,6 +95,35 @@ def _(t: Get):
     return new.permissions.join(new.roles.withColumnRenamed("id", "role_id"), "role_id").select("name", "permission_view_id")
 
 
+@query("r04_derive_roles_refused", ["ab_role"], """
+SELECT 'Nation ' || n_name AS role_name, 'No such role' AS source_role, 'unknown source role' AS reason FROM nation
+WHERE n_nationkey % 3 = 1
+UNION ALL SELECT name, 'User', 'role exists' FROM ab_role""")
+def _(t: Get):
+    """Two requests for each role: the first one by source counts."""
+    source = F.when(F.col("n_nationkey") % 3 == 1, "No such role").otherwise("User")
+    nations = t("nation").select(F.concat(F.lit("Nation "), "n_name").alias("role_name"), source.alias("source_role"))
+    later = nations.withColumn("source_role", F.lit("Viewer"))
+    known = t("ab_role").select(F.col("name").alias("role_name"), F.lit("User").alias("source_role"))
+    requests = nations.unionByName(later).unionByName(known).withColumn("specific_dags", F.array(F.lit("dag_1")))
+    return rbac.derive_roles(_tables(t), requests).rejected
+
+
+@query("r04_derive_roles_without_source", [*PERMISSION_TABLES], f"""WITH {MENU}
+SELECT 'Nation ' || n_name AS name, {big("pv.id")} AS permission_view_id FROM nation, ab_permission_view pv
+WHERE pv.view_menu_id IN (SELECT id FROM ab_view_menu WHERE name = 'DAG:dag_' || (n_nationkey % 12))
+UNION SELECT 'Nation ' || n_name, {big("permission_view_id")} FROM nation, menu""")
+def _(t: Get):
+    """An unknown source, in the mode that makes the role all the same."""
+    requests = t("nation").select(
+        F.concat(F.lit("Nation "), "n_name").alias("role_name"),
+        F.lit("No such role").alias("source_role"),
+        F.array(F.concat(F.lit("dag_"), F.col("n_nationkey") % 12)).alias("specific_dags"),
+    )
+    new = rbac.derive_roles(_tables(t), requests, unknown_source="create")
+    return new.permissions.join(new.roles.withColumnRenamed("id", "role_id"), "role_id").select("name", "permission_view_id")
+
+
 @query("r05_user_roles", ["ab_user", "ab_role", "ab_user_role"], """
 SELECT u.username, r.name AS role_name FROM ab_user u JOIN ab_user_role ur ON u.id = ur.user_id
 JOIN ab_role r ON r.id = ur.role_id""")
@@ -239,6 +268,28 @@ def _(t: Get):
     return after.ab_permission_view_role.join(added, "role_id").select("permission_view_id")
 
 
+@query("r12_provision_two_mappings", [*PERMISSION_TABLES], f"""WITH {BASE}, {_dag_views('dag_7')}, {MENU}
+SELECT {big("permission_view_id")} AS permission_view_id FROM (
+  SELECT permission_view_id FROM base WHERE role_name = 'User' UNION SELECT permission_view_id FROM dag_views
+  UNION SELECT permission_view_id FROM menu)""")
+def _(t: Get):
+    """Half of the logins come by a second, earlier mapping to the same role: the role gets that mapping's list."""
+    logins, mapped = t("logins"), t("group_map")
+    second = mapped.where(F.col("app_role") == "Restricted").limit(1).select(
+        F.lit(-1).cast(mapped.schema["precedence"].dataType).alias("precedence"),
+        F.lit("second_group").alias("idp_group"),
+        "iam_role",
+        "app_role",
+        F.array(F.lit("dag_7")).alias("specific_dags"),
+    )
+    groups = F.when(F.col("user_id") % 2 == 0, F.col("groups")).otherwise(F.lit("[second_group]"))
+    after = rbac.provision_batch(
+        _tables(t), logins.withColumn("groups", groups), mapped.unionByName(second), as_of=EVENTS_AS_OF
+    )
+    added = after.ab_role.where(F.col("name") == "Restricted").select(F.col("id").alias("role_id"))
+    return after.ab_permission_view_role.join(added, "role_id").select("permission_view_id")
+
+
 CLEAN = "replace(username, '/', '_')"
 
 
@@ -381,7 +432,10 @@ REFUSED = f"""refused AS (
       WHEN kind = 4 THEN 404
       WHEN kind = 1 AND p.username <> (SELECT MIN(username) FROM ab_user) THEN 409
       WHEN kind = 5 AND u.email <> 'customer#000000001@example.com' THEN 409
-      WHEN kind IN (6, 7) THEN 400 END AS code
+      WHEN kind IN (6, 7) THEN 400 END AS code,
+    CASE kind WHEN 4 THEN 'no user ' || p.username WHEN 1 THEN 'username taken: ' || (SELECT MIN(username) FROM ab_user)
+      WHEN 5 THEN 'email taken: customer#000000001@example.com' WHEN 6 THEN 'not sent: email, last_name'
+      WHEN 7 THEN 'unknown roles: Nobody' END AS detail
   FROM patches p LEFT JOIN ab_user u ON u.username = p.username)"""
 
 
@@ -396,9 +450,9 @@ def _(t: Get):
 
 
 @query("u13_patch_users_rejected", ["ab_user"], f"""WITH {PATCHES}, {REFUSED}
-SELECT {big("request_id")} AS request_id, username, {big("code")} AS code FROM refused WHERE code IS NOT NULL""")
+SELECT {big("request_id")} AS request_id, username, {big("code")} AS code, detail FROM refused WHERE code IS NOT NULL""")
 def _(t: Get):
-    return identity.patch_users(t("ab_user"), t("ab_role"), _patches(t)).rejected.drop("detail")
+    return identity.patch_users(t("ab_user"), t("ab_role"), _patches(t)).rejected
 
 
 @query("u13_patch_users_roles", ["ab_user"], f"""

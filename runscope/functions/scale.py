@@ -203,7 +203,12 @@ def with_previous(df: DataFrame, key: str, ts: str, value: str, into: str, slice
 
 
 def with_row_numbers(df: DataFrame, by: Sequence[str], into: str, buckets: int = 1024) -> DataFrame:
-    """Adds dense numbers 1..n without a global sort; ``by`` identifies a row, so a re-run gives the same numbers."""
+    """Adds dense numbers 1..n without a global sort; ``by`` identifies a row, so a re-run gives the same numbers.
+
+    ``buckets``: a power of two, 65536 at most, as there is a small row for each in every task.
+    """
+    if buckets > 65_536:
+        raise ValueError("too many buckets")
     bucketed = df.withColumn("_bucket", _one_of(buckets, by))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,6 +85,8 @@ def error_correlation(
       possible score (n times the largest n of the hour) stays below the floor cannot alone carry a pair over it, so
       a pair that counts shares one of the later, less crowded hours of both tasks. Only those meet in the join.
     * Pairs found this way are scored over all their hours.
+
+    With ``limit=None`` the floor is ``min_count``, and there can be as many pairs as tasks fail together in an hour.
     """
     per_hour = (
         task_fail.where(in_window("start_date", as_of, analysis_days))
@@ -115,7 +117,7 @@ def error_correlation(
     first = per_hour.select(F.col("task").alias("task1"), "hour", F.col("n").alias("n1"))
     second = per_hour.select(F.col("task").alias("task2"), "hour", F.col("n").alias("n2"))
     scored = (
-        salted_join(candidates, first, ["task1"], ["task2"])
+        candidates.join(first, "task1")
         .join(second, ["task2", "hour"])
         .groupBy("task1", "task2")
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("co_occurrence_count"))
@@ -130,7 +132,7 @@ def _score_floor(per_hour: DataFrame, min_count: int, limit: int | None, seeds:
     if limit is None:
         return per_hour.sparkSession.range(1).select(lowest.alias("floor"))
     busiest = per_hour.groupBy("task").agg(F.sum(F.col("n") * F.col("n")).alias("own")).orderBy(F.desc("own"), "task").limit(seeds)
-    rows = per_hour.join(F.broadcast(busiest.select("task")), "task")
+    rows = per_hour.join(busiest.select("task"), "task")
     # at most seeds x hours rows, so an hour holds at most ``seeds`` of them
     left = rows.select("hour", F.col("task").alias("task1"), F.col("n").alias("n1"))
     right = rows.select("hour", F.col("task").alias("task2"), F.col("n").alias("n2"))

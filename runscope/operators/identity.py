@@ -166,11 +166,32 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
         "CASE WHEN new_username <> username THEN nullif(new_username, '') END AS wants_name",
         "CASE WHEN old_email IS NULL OR new_email <> old_email THEN nullif(new_email, '') END AS wants_email",
     )
-    p = _lookup(p, users.selectExpr("username AS _key", "TRUE AS name_taken").distinct(), "wants_name")
-    p = _lookup(p, users.selectExpr("email AS _key", "TRUE AS email_taken").distinct(), "wants_email")
-    for key in ("username", "wants_name", "wants_email"):
-        first = p.groupBy(F.col(key).alias("_key")).agg(F.min("request_id").alias(f"first_{key}"))
-        p = _lookup(p, first, key)
+    claims = p.selectExpr(
+        "request_id",
+        """inline(filter(array(named_struct('kind', 'user', 'key', username), named_struct('kind', 'name', 'key', wants_name),
+            named_struct('kind', 'email', 'key', wants_email)), c -> c.key IS NOT NULL))""",
+    )
+    held = users.selectExpr(
+        "inline(array(named_struct('kind', 'name', 'key', username), named_struct('kind', 'email', 'key', email)))"
+    ).where("key IS NOT NULL")
+    # one row for each thing claimed: who asks first, and whether a user has it already
+    things = (
+        claims.unionByName(held.select(F.lit(None).cast(claims.schema["request_id"].dataType).alias("request_id"), "kind", "key"))
+        .groupBy("kind", "key")
+        .agg(F.min("request_id").alias("first"), F.expr("bool_or(request_id IS NULL)").alias("taken"))
+        .where("first IS NOT NULL")
+    )
+    # one name or address may be wanted by many requests, so this join is split by request
+    outcome = salted_join(claims, things, ["kind", "key"], ["request_id"]).groupBy("request_id")
+    p = p.join(
+        outcome.agg(
+            F.expr("bool_or(kind = 'name' AND taken)").alias("name_taken"),
+            F.expr("bool_or(kind = 'email' AND taken)").alias("email_taken"),
+            *[F.expr(f"bool_or(kind = '{k}' AND request_id > first)").alias(f"later_{k}") for k in ("user", "name", "email")],
+        ),
+        "request_id",
+        "left",
+    )
 
     mask = r"transform(split(nullif(update_mask, ''), ','), f -> btrim(f, ' \t\r\n'))"
     sent = ", ".join(f"CASE WHEN new_{f} IS NOT NULL THEN '{f}' END" for f in PATCH_FIELDS)
@@ -191,11 +212,11 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
         "*",
         """CASE
         WHEN user_id IS NULL THEN named_struct('code', 404, 'detail', concat('no user ', username))
-        WHEN name_taken OR request_id > first_wants_name
+        WHEN name_taken OR later_name
             THEN named_struct('code', 409, 'detail', concat('username taken: ', wants_name))
-        WHEN email_taken OR request_id > first_wants_email
+        WHEN email_taken OR later_email
             THEN named_struct('code', 409, 'detail', concat('email taken: ', wants_email))
-        WHEN request_id > first_username THEN named_struct('code', 409, 'detail', concat('already patched: ', username))
+        WHEN later_user THEN named_struct('code', 409, 'detail', concat('already patched: ', username))
         WHEN size(unsent) > 0 THEN named_struct('code', 400, 'detail', concat('not sent: ', array_join(unsent, ', ')))
         WHEN unknown_roles IS NOT NULL
             THEN named_struct('code', 400, 'detail', concat('unknown roles: ', unknown_roles)) END AS refusal""",
@@ -219,12 +240,3 @@ def patch_users(users: DataFrame, roles: DataFrame, patches: DataFrame) -> Patch
 
 def _is_masked_in(name: str) -> str:
     return f"(mask IS NULL OR array_contains(mask, '{name}'))"
-
-
-def _lookup(p: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Left join of ``known`` (one row per _key) on ``key``.
-
-    Requests without a value get a key of their own, so they do not pile up in one task.
-    """
-    keyed = p.withColumn("_key", F.expr(f"coalesce({key}, concat('\u0000', request_id))"))
-    return keyed.join(known.where("_key IS NOT NULL"), "_key", "left").drop("_key")

@@ -24,27 +24,50 @@ DEFAULT_ROLE = "Public"
 
 
 def _views(tables: Tables) -> DataFrame:
-    """Permission views with the names of view and permission."""
+    """Permission views with the names of view and permission; how the small tables are joined is left to Spark."""
     pv = tables["ab_permission_view"].select(F.col("id").alias("permission_view_id"), "permission_id", "view_menu_id")
     vm = tables["ab_view_menu"].select(F.col("id").alias("view_menu_id"), F.col("name").alias("view_name"))
     p = tables["ab_permission"].select(F.col("id").alias("permission_id"), F.col("name").alias("permission_name"))
-    with_menu = salted_join(pv, vm, ["view_menu_id"], ["permission_view_id"])
-    return salted_join(with_menu, p, ["permission_id"], ["permission_view_id"])
+    return pv.join(vm, "view_menu_id").join(p, "permission_id")
 
 
 def _is_dag_view() -> Column:
     return F.col("view_name").startswith("DAG:") | F.col("view_name").startswith("DAGs")
 
 
+def _menu_views(menu_mode: str) -> Column:
+    if menu_mode not in ("always", "with_dags"):
+        raise ValueError(f"menu_mode must be 'always' or 'with_dags', not {menu_mode!r}")
+    name = F.col("permission_name")
+    return (F.col("view_name") == "DAGs") & (name == "menu_access" if menu_mode == "always" else name.startswith("menu"))
+
+
 def _base_permissions(tables: Tables, roles: DataFrame) -> DataFrame:
     """(role_name, permission_view_id) of ``roles`` (one column, role_name), without workflow views."""
     role = tables["ab_role"].select(F.col("id").alias("role_id"), F.col("name").alias("role_name"))
     wanted = role.join(roles.distinct(), "role_name", "left_semi")
-    held = salted_join(tables["ab_permission_view_role"], wanted, ["role_id"], ["permission_view_id"])
+    held = tables["ab_permission_view_role"].join(wanted, "role_id").select("role_name", "permission_view_id")
     views = _views(tables).where(~_is_dag_view()).select("permission_view_id")
-    return salted_join(
-        held.select("role_name", "permission_view_id"), views, ["permission_view_id"], ["role_name"], "left_semi"
-    ).distinct()
+    return held.join(views, "permission_view_id", "left_semi").distinct()
+
+
+def _granting_views(tables: Tables, menu_mode: str) -> DataFrame:
+    """(grant, permission_view_id): what each grant consists of, every table read once.
+
+    ``role:<name>`` is what a role holds without workflow views, ``view:<name>`` the views on a page, ``menu`` the
+    smallest id that opens the menu.
+    """
+    links = tables["ab_permission_view_role"].select("permission_view_id", "role_id")
+    names = tables["ab_role"].select(F.col("id").alias("role_id"), F.col("name").alias("role_name"))
+    views = _views(tables).join(links.join(names, "role_id"), "permission_view_id", "left")
+    grants = F.array(
+        F.when(~_is_dag_view(), F.concat(F.lit("role:"), "role_name")),
+        F.when(_is_dag_view(), F.concat(F.lit("view:"), "view_name")),
+        F.when(_menu_views(menu_mode), F.lit("menu")),
+    )
+    each = views.select("permission_view_id", F.explode(F.array_compact(grants)).alias("grant"))
+    one_of_menu = F.when(F.col("grant") != "menu", F.col("permission_view_id"))
+    return each.groupBy("grant", one_of_menu.alias("_one")).agg(F.min("permission_view_id").alias("permission_view_id")).drop("_one")
 
 
 def _one_column(tables: Tables, values: Sequence[str], name: str) -> DataFrame:
@@ -72,63 +95,68 @@ def menu_permission(tables: Tables, *, menu_mode: str = "always") -> DataFrame:
 
     ``always``: menu_access on DAGs. ``with_dags``: the first one whose permission starts with "menu".
     """
-    if menu_mode not in ("always", "with_dags"):
-        raise ValueError(f"menu_mode must be 'always' or 'with_dags', not {menu_mode!r}")
-    menu = _views(tables).where(F.col("view_name") == "DAGs")
+    menu = _views(tables).where(_menu_views(menu_mode))
     if menu_mode == "always":
-        return menu.where(F.col("permission_name") == "menu_access").select("permission_view_id")
-    first = menu.where(F.col("permission_name").startswith("menu")).agg(F.min("permission_view_id").alias("permission_view_id"))
+        return menu.select("permission_view_id")
+    first = menu.agg(F.min("permission_view_id").alias("permission_view_id"))
     return first.where(F.col("permission_view_id").isNotNull())
 
 
 class NewRoles(NamedTuple):
-    """Rows to append to ab_role (id, name) and ab_permission_view_role (permission_view_id, role_id)."""
+    """Rows to append to ab_role (id, name) and ab_permission_view_role (permission_view_id, role_id), and the requests
+    that are refused (role_name, source_role, reason)."""
 
     roles: DataFrame
     permissions: DataFrame
+    rejected: DataFrame
 
 
-def derive_roles(tables: Tables, requests: DataFrame, *, menu_mode: str = "always") -> NewRoles:
+def derive_roles(
+    tables: Tables, requests: DataFrame, *, menu_mode: str = "always", unknown_source: str = "reject"
+) -> NewRoles:
     """New roles from ``requests``: role_name, source_role, specific_dags (array or null).
 
-    Each role gets the base permissions of its source, those on its workflows and the menu permission. Roles that
-    exist already, and requests for an unknown source, yield nothing. Ids go on from the largest one.
+    Each role gets the base permissions of its source, those on its workflows and the menu permission. Of several
+    requests for one role the first by source, then by workflow list, goes. Roles that exist already are refused, and
+    so are requests for an unknown source, unless ``unknown_source="create"``: then the role is made with workflow and
+    menu permissions only. Ids go on from the largest one.
     """
+    if unknown_source not in ("reject", "create"):
+        raise ValueError(f"unknown_source must be 'reject' or 'create', not {unknown_source!r}")
     roles = tables["ab_role"]
-    known = roles.select(F.col("name").alias("role_name"))
-    sources = known.withColumnRenamed("role_name", "source_role")
-    fresh = requests.dropDuplicates(["role_name"]).join(known, "role_name", "left_anti")
-    wanted = salted_join(fresh, sources, ["source_role"], ["role_name"], "left_semi")
+    names = roles.select(F.col("name").alias("role_name"))
+    asked = requests.groupBy("role_name").agg(F.min(F.struct("source_role", "specific_dags")).alias("first"))
+    asked = (
+        asked.select("role_name", "first.*")
+        .join(names.select("role_name", F.lit(True).alias("exists")).distinct(), "role_name", "left")
+        .join(
+            names.select(F.col("role_name").alias("source_role"), F.lit(True).alias("has_source")).distinct(),
+            "source_role",
+            "left",
+        )
+    )
+    reason = F.when(F.col("exists"), F.lit("role exists"))
+    if unknown_source == "reject":
+        reason = reason.when(F.col("has_source").isNull(), F.lit("unknown source role"))
+    judged = asked.withColumn("reason", reason)
+    wanted = judged.where(F.col("reason").isNull())
     last_id = F.coalesce(roles.agg(F.max("id")).scalar(), F.lit(0))
     named = with_row_numbers(wanted, ["role_name"], "_no").withColumn("role_id", (last_id + F.col("_no")).cast("int"))
 
-    base = _base_permissions(tables, wanted.select(F.col("source_role").alias("role_name")))
-    # most new roles may share one source or one workflow, so these joins are split by role
-    from_source = salted_join(
-        named.select("role_id", "source_role"),
-        base.withColumnRenamed("role_name", "source_role"),
-        ["source_role"],
-        ["role_id"],
+    dags = F.coalesce("specific_dags", F.array().cast("array<string>"))
+    has_menu = F.lit(True) if menu_mode == "always" else F.size(dags) > 0
+    grants = F.concat(
+        F.array(F.concat(F.lit("role:"), "source_role"), F.when(has_menu, F.lit("menu"))),
+        F.transform(dags, lambda d: F.concat(F.lit("view:DAG:"), d)),
     )
-    per_dag = named.select("role_id", F.explode("specific_dags").alias("dag_id")).select(
-        "role_id", F.concat(F.lit("DAG:"), "dag_id").alias("view_name")
+    each = named.select("role_id", F.explode(F.array_compact(grants)).alias("grant"))
+    # most new roles may share one source or one workflow, so this join is split by role
+    permissions = salted_join(each, _granting_views(tables, menu_mode), ["grant"], ["role_id"])
+    return NewRoles(
+        named.select(F.col("role_id").alias("id"), F.col("role_name").alias("name")),
+        permissions.select("permission_view_id", "role_id").distinct(),
+        judged.where(F.col("reason").isNotNull()).select("role_name", "source_role", "reason"),
     )
-    views = tables["ab_view_menu"].select(F.col("id").alias("view_menu_id"), F.col("name").alias("view_name"))
-    menus = salted_join(per_dag, views, ["view_name"], ["role_id"]).select("role_id", "view_menu_id").distinct()
-    pv = tables["ab_permission_view"].select(F.col("id").alias("permission_view_id"), "view_menu_id")
-    from_dags = salted_join(menus, pv, ["view_menu_id"], ["role_id"])
-    has_menu = F.lit(True) if menu_mode == "always" else F.coalesce(F.size("specific_dags") > 0, F.lit(False))
-    menu_id = menu_permission(tables, menu_mode=menu_mode).agg(F.min("permission_view_id")).scalar()
-    from_menu = named.where(has_menu).select(menu_id.alias("permission_view_id"), "role_id")
-
-    columns = ["permission_view_id", "role_id"]
-    permissions = (
-        from_source.select(columns)
-        .unionByName(from_dags.select(columns))
-        .unionByName(from_menu.where(F.col("permission_view_id").isNotNull()))
-        .distinct()
-    )
-    return NewRoles(named.select(F.col("role_id").alias("id"), F.col("role_name").alias("name")), permissions)
 
 
 def derive_role(
@@ -139,8 +167,12 @@ def derive_role(
     *,
     menu_mode: str = "always",
     on_existing: str = "error",
+    unknown_source: str = "reject",
 ) -> NewRoles:
-    """One new role from ``source_role``; an existing target raises, or is left alone with ``on_existing="skip"``."""
+    """One new role from ``source_role``; an existing target raises, or is left alone with ``on_existing="skip"``.
+
+    To raise, the role table is asked at once; with ``skip`` nothing runs until the result is used.
+    """
     if on_existing not in ("error", "skip"):
         raise ValueError(f"on_existing must be 'error' or 'skip', not {on_existing!r}")
     if on_existing == "error" and not tables["ab_role"].where(F.col("name") == target_role).isEmpty():
@@ -148,7 +180,7 @@ def derive_role(
     request = tables["ab_role"].sparkSession.createDataFrame(
         [(target_role, source_role, list(dag_ids))], "role_name string, source_role string, specific_dags array<string>"
     )
-    return derive_roles(tables, request, menu_mode=menu_mode)
+    return derive_roles(tables, request, menu_mode=menu_mode, unknown_source=unknown_source)
 
 
 def user_roles(tables: Tables, usernames: Sequence[str] | None = None) -> DataFrame:
@@ -248,18 +280,23 @@ def group_to_role(
 
     ``logins``: user_id and groups; ``group_map``: precedence, idp_group, iam_role, app_role, specific_dags.
     """
+    return _first_mapping(logins, group_map, account_id, default_role).drop("precedence")
+
+
+def _first_mapping(logins: DataFrame, group_map: DataFrame, account_id: str, default_role: str) -> DataFrame:
     member_of = logins.select("user_id", F.explode_outer(group_list("groups")).alias("idp_group"))
     mapped = salted_join(member_of, group_map, ["idp_group"], ["user_id"], "left")
     best = F.min_by(F.struct("iam_role", "app_role", "specific_dags", F.lit(True).alias("mapped")), "precedence")
     arn = F.concat(F.lit(f"arn:aws:iam::{account_id}:role/"), F.col("best.iam_role"))
     return (
         mapped.groupBy("user_id")
-        .agg(best.alias("best"))
+        .agg(best.alias("best"), F.min("precedence").alias("precedence"))
         .select(
             "user_id",
             F.coalesce("best.app_role", F.lit(default_role)).alias("app_role"),
             F.coalesce(arn, F.lit("")).alias("role_arn"),
             F.col("best.specific_dags").alias("specific_dags"),
+            "precedence",
         )
     )
 
@@ -280,15 +317,27 @@ class Provisioning(NamedTuple):
 
 
 def provision_batch(
-    tables: Tables, logins: DataFrame, group_map: DataFrame, *, as_of: AsOf, source_role: str = "User"
+    tables: Tables,
+    logins: DataFrame,
+    group_map: DataFrame,
+    *,
+    as_of: AsOf,
+    source_role: str = "User",
+    unknown_source: str = "reject",
 ) -> Provisioning:
-    """Roles, users and role links for a table of logins (user_id, username, groups) that need a custom role."""
-    assigned = needs_custom_role(group_to_role(logins, group_map)).where("needs_custom_role")
+    """Roles, users and role links for a table of logins (user_id, username, groups) that need a custom role.
+
+    Where mappings to one role name different workflows, the role gets the list of the mapping with the lowest
+    precedence among the logins (then of the smallest user), as its first login would. Logins whose role cannot be made
+    are rejected.
+    """
+    assigned = needs_custom_role(_first_mapping(logins, group_map, "", DEFAULT_ROLE)).where("needs_custom_role")
     who = logins.select("user_id", "username").distinct().join(assigned, "user_id")
     requests = who.groupBy(F.col("app_role").alias("role_name")).agg(
-        F.lit(source_role).alias("source_role"), F.max("specific_dags").alias("specific_dags")
+        F.lit(source_role).alias("source_role"),
+        F.min_by("specific_dags", F.struct("precedence", "user_id")).alias("specific_dags"),
     )
-    new = derive_roles(tables, requests, menu_mode="with_dags")
+    new = derive_roles(tables, requests, menu_mode="with_dags", unknown_source=unknown_source)
     roles = tables["ab_role"].select("id", "name").unionByName(new.roles)
     links = tables["ab_permission_view_role"].select("permission_view_id", "role_id").unionByName(new.permissions)
     name = F.col("username")

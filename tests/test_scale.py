@@ -11,10 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks.bindings import ORDERS_AS_OF, table
+from checks.bindings import ORDERS_AS_OF, RBAC, table
 from runscope.functions import scale
 from runscope.functions.timeexpr import timestamp_lit
-from runscope.operators import failures, runs, scheduler, tasks
+from runscope.operators import failures, forecast, identity, rbac, runs, scheduler, tasks
 
 T0 = datetime(2024, 1, 1)
 
@@ -220,3 +220,23 @@ def test_a_group_of_nulls_keeps_its_row(spark):
     uncut = scale.top_with_percentiles(stats, df, ["k"], "v", {"p": 0.5}, [F.asc("k")], None).collect()
     assert [tuple(r) for r in uncut] == [(None, 1, 4.0), ("a", 2, None), ("b", 1, 2.0)]
     assert scale.top_with_percentiles(stats, df, ["k"], "v", {"p": 0.5}, [F.asc("k")], 2).collect() == uncut[:2]
+
+
+def test_roles_and_patches_read_their_tables_few_times(spark):
+    tables = {n: table(spark, SF, n) for n in RBAC}
+    new = rbac.derive_role(tables, "User", "Restricted", ["dag_1"])
+    text = plan(new.permissions)
+    assert len(re.findall(r"Scan ", text)) <= 9
+    users = tables["ab_user"]
+    columns = ["username", "email", "first_name", "last_name"]
+    patches = users.selectExpr(
+        "id AS request_id", "username", *[f"CAST(NULL AS string) AS new_{c}" for c in columns], "CAST(NULL AS boolean) AS new_active",
+        "CAST(NULL AS array<string>) AS new_roles", "CAST(NULL AS string) AS update_mask",
+    )
+    text = plan(identity.patch_users(users, tables["ab_role"], patches).users)
+    assert len(re.findall(r"Scan ", text)) <= 9
+
+
+def test_anomalies_shuffle_only_outliers(spark):
+    text = plan(forecast.anomaly_detection(table(spark, SF, "task_instance"), as_of=ORDERS_AS_OF, analysis_days=365, z_limit=1.2))
+    assert len(re.findall(r"FileScan parquet", text)) == 2 and "SortMergeJoin" not in text
