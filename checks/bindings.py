@@ -205,7 +205,11 @@ _SETTINGS = [
     ("scheduler", "dag_dir_list_interval", "s_suppkey * 17 % 700"),
     ("celery", "worker_concurrency", "s_suppkey * 7 % 50"),
     ("database", "sql_alchemy_pool_size", "s_suppkey % 60"),
-]
+    ("core", "executor", "CASE s_suppkey % 4 WHEN 0 THEN 'CeleryExecutor' WHEN 1 THEN 'LocalExecutor' "
+     "WHEN 2 THEN 'KubernetesExecutor' ELSE 'SequentialExecutor' END"),
+    ("core", "store_serialized_dags", "CASE s_suppkey % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN '1' ELSE 'yes' END"),
+    ("core", "compress_serialized_dags", "CASE s_suppkey % 3 WHEN 0 THEN 'Yes' ELSE 'no' END"),
+]
 _BROKER = (
     "celery",
     "broker_url",

@@ -86,18 +86,31 @@ def _(t: Get):
     return snapshots.connection_status(stats, pool_size=500, max_overflow=1500)
 
 
-def _range(section: str, setting: str) -> str:
-    low, low_label, low_level, high, high_label = config_audit.NUMERIC_RANGES[(section, setting)]
+# fixed values, written out once more for the twins: lowest and highest good value, labels and the level below
+RANGES = [
+    ("core", "parallelism", 10, "warning:Low", 100, "warning:High"),
+    ("core", "dag_file_processor_timeout", 30, "warning:Too Low", 300, "warning:Too High"),
+    ("scheduler", "dag_dir_list_interval", 30, "warning:Too Frequent", 300, "warning:Too Slow"),
+    ("scheduler", "parsing_processes", 1, "error:Too Low", 8, "warning:High"),
+    ("celery", "worker_concurrency", 4, "warning:Low", 32, "warning:High"),
+    ("database", "sql_alchemy_pool_size", 5, "warning:Small", 50, "warning:Large"),
+]
+
+
+def _range(section: str, setting: str, low: int, below: str, high: int, above: str) -> str:
     n = "TRY_CAST(value AS BIGINT)"
     return (
         f"WHEN section = '{section}' AND setting = '{setting}' THEN CASE WHEN {n} IS NULL THEN 'error:Invalid' "
-        f"WHEN {n} > {high} THEN 'warning:{high_label}' WHEN {n} < {low} THEN '{low_level}:{low_label}' ELSE 'ok:Good' END"
+        f"WHEN {n} > {high} THEN '{above}' WHEN {n} < {low} THEN '{below}' ELSE 'ok:Good' END"
     )
 
 
 STATUS = f"""judged AS (
   SELECT *, CASE WHEN value = 'NOT_SET' THEN 'info:Default'
-    {" ".join(_range(*k) for k in config_audit.NUMERIC_RANGES)}
+    {" ".join(_range(*r) for r in RANGES)}
+    WHEN section = 'core' AND setting = 'executor' AND NOT contains(lower(value), 'celery') THEN 'warning:Non-Celery'
+    WHEN section = 'core' AND setting IN ('store_serialized_dags', 'compress_serialized_dags') THEN
+      CASE WHEN lower(value) IN ('true', '1', 'yes') THEN 'ok:Enabled' ELSE 'warning:Disabled' END
     WHEN section = 'celery' AND setting IN ('broker_url', 'result_backend') THEN
       CASE WHEN contains(lower(value), 'redis') THEN 'ok:Redis' WHEN contains(lower(value), 'sqs') THEN 'ok:SQS'
            WHEN contains(lower(value), 'rabbitmq') THEN 'ok:RabbitMQ' ELSE 'info:Other' END
@@ -110,7 +123,10 @@ def _(t: Get):
     return config_audit.config_setting_status(t("settings"))
 
 
-HIGH = ", ".join(f"'{s}'" for s in config_audit.HIGH_IMPACT)
+HIGH = """'executor', 'parallelism', 'max_active_tasks_per_dag', 'max_active_runs_per_dag', 'dagbag_import_timeout',
+'dag_file_processor_timeout', 'store_serialized_dags', 'min_serialized_dag_update_interval',
+'min_serialized_dag_fetch_interval', 'dag_dir_list_interval', 'min_file_process_interval', 'parsing_processes',
+'worker_concurrency', 'broker_url', 'result_backend', 'sql_alchemy_pool_size', 'sql_alchemy_max_overflow'"""
 
 
 @query("c11_config_impact", ["settings"], f"""
@@ -119,71 +135,128 @@ def _(t: Get):
     return config_audit.config_impact(t("settings"))
 
 
-def _input(name: str) -> str:
-    section, setting, default = config_audit.RULE_INPUTS[name]
+# name, section, setting, default
+NUMBERS = [
+    ("file_timeout", "core", "dag_file_processor_timeout", 50),
+    ("import_timeout", "core", "dagbag_import_timeout", 30),
+    ("list_interval", "scheduler", "dag_dir_list_interval", 300),
+    ("process_interval", "scheduler", "min_file_process_interval", 30),
+    ("parallelism", "core", "parallelism", 32),
+    ("dag_tasks", "core", "max_active_tasks_per_dag", 16),
+    ("dag_runs", "core", "max_active_runs_per_dag", 16),
+    ("worker_slots", "celery", "worker_concurrency", 16),
+    ("pool_size", "database", "sql_alchemy_pool_size", 5),
+    ("max_overflow", "database", "sql_alchemy_max_overflow", 10),
+    ("parsers", "scheduler", "parsing_processes", 2),
+    ("web_workers", "webserver", "workers", 4),
+    ("cleanup_time", "core", "killed_task_cleanup_time", 60),
+    ("update_interval", "core", "min_serialized_dag_update_interval", 30),
+    ("fetch_interval", "core", "min_serialized_dag_fetch_interval", 10),
+    ("create_per_loop", "scheduler", "max_dagruns_to_create_per_loop", 10),
+    ("schedule_per_loop", "scheduler", "max_dagruns_per_loop_to_schedule", 20),
+]
+
+
+def _input(name: str, section: str, setting: str, default: int) -> str:
     value = f"MAX(value) FILTER (WHERE section = '{section}' AND setting = '{setting}')"
     return f"CASE WHEN {value} IS NULL THEN {default} ELSE TRY_CAST({value} AS BIGINT) END AS {name}"
 
 
-INPUTS = f"""i AS (SELECT env, captured_at, {", ".join(_input(n) for n in config_audit.RULE_INPUTS)}
+INPUTS = f"""i AS (SELECT env, captured_at, {", ".join(_input(*n) for n in NUMBERS)},
+    COALESCE(MAX(value) FILTER (WHERE section = 'core' AND setting = 'executor'), 'SequentialExecutor') AS executor,
+    MAX(value) FILTER (WHERE section = 'core' AND setting = 'store_serialized_dags') AS store
   FROM settings GROUP BY env, captured_at)"""
-READABLE = " AND ".join(f"{n} IS NOT NULL" for n in config_audit.BUDGET_INPUTS)
+READABLE = """pool_size IS NOT NULL AND max_overflow IS NOT NULL AND parallelism IS NOT NULL AND parsers IS NOT NULL
+  AND web_workers IS NOT NULL AND worker_slots IS NOT NULL"""
+EXECUTOR = "CASE WHEN regexp_matches(executor, 'Celery') THEN 2 WHEN regexp_matches(executor, 'Local|Kubernetes') THEN 1 ELSE 0 END"
+WORST = f"((parsers + web_workers + {EXECUTOR} + 2) * (pool_size + max_overflow))"
 
-# (number, severity, rule, condition); executor and store_serialized_dags are never set in these tables
+# number, severity, rule, condition, message
 RULES = [
-    (1, "CRITICAL", "import_timeout_not_below_processor_timeout", "import_timeout >= file_timeout"),
+    (1, "CRITICAL", "import_timeout_not_below_processor_timeout", "import_timeout >= file_timeout",
+     "printf('dagbag_import_timeout %ds is not below dag_file_processor_timeout %ds', import_timeout, file_timeout)"),
     (2, "WARNING", "import_timeout_close_to_processor_timeout",
-     "import_timeout < file_timeout AND import_timeout > file_timeout * 0.8"),
-    (3, "CRITICAL", "process_interval_above_list_interval", "process_interval > list_interval"),
-    (4, "WARNING", "process_interval_equals_list_interval", "process_interval = list_interval"),
-    (5, "NOTICE", "serialized_dags_off", "TRUE"),
-    (6, "NOTICE", "parallelism_below_dag_tasks", "parallelism < dag_tasks AND dag_runs IS NOT NULL"),
-    (7, "NOTICE", "parallelism_below_possible_tasks", "parallelism < dag_tasks * dag_runs"),
-    (8, "NOTICE", "worker_concurrency_above_parallelism", "worker_slots > parallelism"),
-    (9, "NOTICE", "worker_concurrency_very_high", "worker_slots > 32 AND parallelism IS NOT NULL"),
-    (10, "NOTICE", "pool_very_small", f"pool_size < 5 AND {READABLE}"),
-    (11, "NOTICE", "pool_small_for_parsers", f"pool_size < GREATEST(5, parsers + 3) AND {READABLE}"),
-    (12, "NOTICE", "pool_capacity_small", f"pool_size + max_overflow < 10 AND {READABLE}"),
-    (13, "NOTICE", "worst_case_connections_high",
-     f"(parsers + web_workers + 2) * (pool_size + max_overflow) > 100 AND {READABLE}"),
-    (14, "NOTICE", "pool_very_large", f"pool_size > 50 AND {READABLE}"),
-    (16, "NOTICE", "few_parsers", "parsers < 2"),
-    (17, "NOTICE", "many_parsers", "parsers > 8"),
-    (18, "NOTICE", "list_interval_short", "list_interval < 30"),
-    (19, "NOTICE", "list_interval_long", "list_interval > 600"),
-    (20, "NOTICE", "cleanup_time_short", "cleanup_time < 30"),
-    (21, "NOTICE", "cleanup_time_long", "cleanup_time > 300"),
-    (22, "NOTICE", "update_interval_above_list_interval",
-     "update_interval > list_interval AND fetch_interval IS NOT NULL"),
-    (23, "NOTICE", "fetch_interval_not_below_update_interval",
-     "fetch_interval >= update_interval AND list_interval IS NOT NULL"),
-    (24, "NOTICE", "creates_more_than_it_schedules", "create_per_loop > schedule_per_loop"),
+     "import_timeout < file_timeout AND import_timeout > file_timeout * 0.8",
+     "printf('dagbag_import_timeout %ds is within 20 percent of dag_file_processor_timeout %ds', import_timeout, file_timeout)"),
+    (3, "CRITICAL", "process_interval_above_list_interval", "process_interval > list_interval",
+     "printf('min_file_process_interval %ds is above dag_dir_list_interval %ds', process_interval, list_interval)"),
+    (4, "WARNING", "process_interval_equals_list_interval", "process_interval = list_interval",
+     "printf('min_file_process_interval %ds equals dag_dir_list_interval %ds', process_interval, list_interval)"),
+    (5, "NOTICE", "serialized_dags_off", "COALESCE(store NOT IN ('True', 'true', '1'), TRUE)",
+     "'store_serialized_dags is not enabled'"),
+    (6, "NOTICE", "parallelism_below_dag_tasks", "parallelism < dag_tasks AND dag_runs IS NOT NULL",
+     "printf('parallelism %d is below max_active_tasks_per_dag %d', parallelism, dag_tasks)"),
+    (7, "NOTICE", "parallelism_below_possible_tasks", "parallelism < dag_tasks * dag_runs",
+     "printf('parallelism %d is below max_active_tasks_per_dag %d x max_active_runs_per_dag %d', parallelism, dag_tasks, dag_runs)"),
+    (8, "NOTICE", "worker_concurrency_above_parallelism", "worker_slots > parallelism",
+     "printf('worker_concurrency %d is above parallelism %d', worker_slots, parallelism)"),
+    (9, "NOTICE", "worker_concurrency_very_high", "worker_slots > 32 AND parallelism IS NOT NULL",
+     "printf('worker_concurrency %d is very high', worker_slots)"),
+    (10, "NOTICE", "pool_very_small", f"pool_size < 5 AND {READABLE}", "printf('pool size %d is below 5', pool_size)"),
+    (11, "NOTICE", "pool_small_for_parsers", f"pool_size < GREATEST(5, parsers + 3) AND {READABLE}",
+     "printf('pool size %d is small for %d parsing processes', pool_size, parsers)"),
+    (12, "NOTICE", "pool_capacity_small", f"pool_size + max_overflow < 10 AND {READABLE}",
+     "printf('pool size %d plus overflow %d is below 10', pool_size, max_overflow)"),
+    (13, "NOTICE", "worst_case_connections_high", f"{WORST} > 100 AND {READABLE}",
+     f"printf('up to %d database connections in the worst case', {WORST})"),
+    (14, "NOTICE", "pool_very_large", f"pool_size > 50 AND {READABLE}",
+     f"printf('pool size %d per process is very large, %d connections in the worst case', pool_size, {WORST})"),
+    (15, "NOTICE", "pool_small_for_celery", f"contains(executor, 'Celery') AND pool_size < 10 AND {READABLE}",
+     "printf('pool size %d is small for a Celery executor', pool_size)"),
+    (16, "NOTICE", "few_parsers", "parsers < 2", "printf('%d parsing processes are few', parsers)"),
+    (17, "NOTICE", "many_parsers", "parsers > 8", "printf('%d parsing processes are many', parsers)"),
+    (18, "NOTICE", "list_interval_short", "list_interval < 30",
+     "printf('dag_dir_list_interval %ds scans very often', list_interval)"),
+    (19, "NOTICE", "list_interval_long", "list_interval > 600",
+     "printf('dag_dir_list_interval %ds finds new files late', list_interval)"),
+    (20, "NOTICE", "cleanup_time_short", "cleanup_time < 30", "printf('killed_task_cleanup_time %ds is very short', cleanup_time)"),
+    (21, "NOTICE", "cleanup_time_long", "cleanup_time > 300", "printf('killed_task_cleanup_time %ds is long', cleanup_time)"),
+    (22, "NOTICE", "update_interval_above_list_interval", "update_interval > list_interval AND fetch_interval IS NOT NULL",
+     "printf('min_serialized_dag_update_interval %ds is above dag_dir_list_interval %ds', update_interval, list_interval)"),
+    (23, "NOTICE", "fetch_interval_not_below_update_interval", "fetch_interval >= update_interval AND list_interval IS NOT NULL",
+     "printf('min_serialized_dag_fetch_interval %ds is not below min_serialized_dag_update_interval %ds', fetch_interval, update_interval)"),
+    (24, "NOTICE", "creates_more_than_it_schedules", "create_per_loop > schedule_per_loop",
+     "printf('max_dagruns_to_create_per_loop %d is above max_dagruns_per_loop_to_schedule %d', create_per_loop, schedule_per_loop)"),
 ]
 BROKEN = " UNION ALL ".join(
-    f"SELECT env, captured_at, {big(str(no))} AS rule_no, '{severity}' AS severity, '{rule}' AS rule FROM i WHERE {when}"
-    for no, severity, rule, when in RULES
+    f"SELECT env, captured_at, {big(str(no))} AS rule_no, '{severity}' AS severity, '{rule}' AS rule, {message} AS message "
+    f"FROM i WHERE {when}"
+    for no, severity, rule, when, message in RULES
 )
 
 
 @query("c12_config_conflicts", ["settings"], f"WITH {INPUTS} {BROKEN}")
 def _(t: Get):
-    return config_audit.config_conflicts(t("settings")).drop("message")
+    return config_audit.config_conflicts(t("settings"))
 
 
 @query("c13_connection_budget", ["settings"], f"""WITH {INPUTS}
 SELECT env, captured_at, parsers + 2 AS scheduler_connections, {big("web_workers")} AS webserver_connections,
-       {big("0")} AS executor_connections, {big("3")} AS other_connections,
-       {big("parsers + 2 + web_workers + 3")} AS total_estimated, {big("pool_size + max_overflow")} AS pool_per_process,
-       {big("parsers + web_workers + 2")} AS processes,
-       {big("(parsers + web_workers + 2) * (pool_size + max_overflow)")} AS worst_case
+       {big(EXECUTOR)} AS executor_connections, {big("3")} AS other_connections,
+       {big(f"parsers + 2 + web_workers + 3 + {EXECUTOR}")} AS total_estimated, {big("pool_size + max_overflow")} AS pool_per_process,
+       {big(f"parsers + web_workers + 2 + {EXECUTOR}")} AS processes, {big(WORST)} AS worst_case
 FROM i WHERE {READABLE}""")
 def _(t: Get):
     return config_audit.connection_budget(t("settings"))
 
 
-NAMES = ", ".join(f"('{s}', '{n}')" for s, items in config_audit.AUDITED.items() for n in items)
+# every audited setting by section
+NAMES = {
+    "core": """executor parallelism max_active_tasks_per_dag max_active_runs_per_dag dagbag_import_timeout
+        dag_file_processor_timeout killed_task_cleanup_time dag_discovery_safe_mode store_dag_code store_serialized_dags
+        compress_serialized_dags min_serialized_dag_update_interval min_serialized_dag_fetch_interval""",
+    "scheduler": """dag_dir_list_interval min_file_process_interval catchup_by_default max_dagruns_to_create_per_loop
+        max_dagruns_per_loop_to_schedule pool_metrics_interval orphaned_tasks_check_interval child_process_log_directory
+        parsing_processes file_parsing_sort_mode use_row_level_locking max_tis_per_query""",
+    "celery": """worker_concurrency broker_url result_backend flower_host flower_port default_queue sync pool
+        worker_precheck task_track_started task_publish_retry worker_enable_remote_control""",
+    "webserver": "workers worker_timeout worker_refresh_batch_size reload_on_plugin_change",
+    "database": """sql_alchemy_pool_size sql_alchemy_max_overflow sql_alchemy_pool_recycle sql_alchemy_pool_pre_ping
+        sql_alchemy_schema""",
+}
+LISTED = ", ".join(f"('{s}', '{n}')" for s, names in NAMES.items() for n in names.split())
 MASKED = "CASE WHEN setting IN ('broker_url', 'result_backend') AND value <> 'NOT_SET' THEN '***MASKED***' ELSE value END"
-HASHES = f"""names(section, setting) AS (VALUES {NAMES}),
+HASHES = f"""names(section, setting) AS (VALUES {LISTED}),
 snaps AS (SELECT DISTINCT env, captured_at FROM settings),
 vals AS (SELECT env, captured_at, section, setting, {MASKED} AS value FROM settings),
 lines AS (

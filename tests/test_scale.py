@@ -238,5 +238,5 @@ def test_roles_and_patches_read_their_tables_few_times(spark):
 
 
 def test_anomalies_shuffle_only_outliers(spark):
-    text = plan(forecast.anomaly_detection(table(spark, SF, "task_instance"), as_of=ORDERS_AS_OF, analysis_days=365, z_limit=1.2))
+    text = plan(forecast.anomaly_detection(table(spark, SF, "task_instance"), as_of=ORDERS_AS_OF, analysis_days=365, z_limit=0.5, min_count=2))
     assert len(re.findall(r"FileScan parquet", text)) == 2 and "SortMergeJoin" not in text
