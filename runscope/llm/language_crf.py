@@ -24,7 +24,15 @@ UNDETERMINED = "und"
 #: Longest chain; a longer line is cut into several.
 CHAIN = 256
 
+#: Text looked at together; a longer one is cut at white space, as chains end there or a little later anyway.
+PART = 1 << 20
+
+# numerals such as superscripts are word characters, but neither letters nor digits
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NUMERAL = re.compile(f"[{_NUMERALS}]")
+_LATIN_NUMERALS = [c for c in _NUMERALS if ord(c) < 0x100]
 _TOKENS = re.compile(r"\n|[^\W\d_]+")
+_TOKENS_BESIDE_NUMERALS = re.compile(rf"\n|[^\W\d_{_NUMERALS}]+")
 
 
 @dataclass(frozen=True)
@@ -64,12 +72,23 @@ def features_of(word: str) -> list[str]:
     return out
 
 
+def _has_numerals(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _NUMERAL.search(text) is not None
+    return any(c in text for c in _LATIN_NUMERALS)
+
+
 def chains_of(text: str) -> tuple[list[str], list[int]]:
     """Words of letters, lower-cased, and the lengths of the chains that they form."""
     words: list[str] = []
     lengths: list[int] = []
     begun = 0
-    for token in _TOKENS.findall(text.lower()):
+    pattern = _TOKENS_BESIDE_NUMERALS if _has_numerals(text) else _TOKENS
+    for token in pattern.findall(text.lower()):
         if token != "\n":
             words.append(token)
         if (token == "\n" and len(words) > begun) or len(words) - begun == CHAIN:
@@ -80,6 +99,17 @@ def chains_of(text: str) -> tuple[list[str], list[int]]:
     return words, lengths
 
 
+def parts_of(text: str) -> list[str]:
+    """The text in parts of about ``PART`` characters, cut at white space where there is some."""
+    out, at = [], 0
+    while len(text) - at > 2 * PART:
+        stop = max(text.rfind(" ", at, at + PART), text.rfind("\n", at, at + PART))
+        stop = stop if stop > at else at + PART
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
 def forward_backward(
     scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, transitions: np.ndarray, pairs: bool = False
 ) -> tuple[np.ndarray, np.ndarray | None]:
@@ -220,9 +250,10 @@ def identify(
     """``keep`` columns, ``lang_pred``, ``score``, ``n_letter_words`` and, with ``spans``, runs of words in one language.
 
     ``score`` is the mean probability of the predicted language over the words; ties go to the first label. A null
-    text, or one without letters (or a model without labels), is ``und`` with score 0. ``shares`` has the mean probability of each label in the
-    order of the labels. ``spans`` has (language, first word, words). Whole texts are read row by row: repeated rows
-    give repeated results, an empty table an empty one. Kept columns named like a result give way to it.
+    text, or one without letters (or a model without labels), is ``und`` with score 0. ``shares`` has the mean
+    probability of each label in the order of the labels. ``spans`` has (language, first word, words). Whole texts are
+    read row by row, long ones in parts: repeated rows give repeated results, an empty table an empty one. Kept columns
+    named like a result give way to it.
     """
 
     def setup():
@@ -245,31 +276,49 @@ def identify(
             if len(index) > 200_000:
                 index.clear()
                 held[0] = held[0][:0]
-            words, lengths, counts = [], [], []
-            for t in texts:
-                w, n = chains_of(t or "")
-                words += w
-                lengths += n
-                counts.append(len(w))
-            counts = np.array(counts)
-            if not words or not labels:
-                empty = [None] * len(texts)
-                return [[UNDETERMINED] * len(texts), [0.0] * len(texts), counts, empty] + [empty] * spans
-            new = [w for w in dict.fromkeys(words) if w not in index]
-            if new:
-                score_new(new)
-            ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            got, _ = forward_backward(held[0][ids], np.array(lengths), model.start, model.transitions)
-            some = np.flatnonzero(counts)
-            sums = np.add.reduceat(got, (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
+            counts = np.zeros(len(texts), np.int64)
+            sums = np.zeros((len(texts), len(labels)))
+            choices: list[list] = [[] for _ in texts]
+            words: list[str] = []
+            lengths: list[int] = []
+            owners: list[tuple[int, int]] = []
+
+            def flush() -> None:
+                """Probabilities of the words gathered, added up by text."""
+                if words and labels:
+                    new = [w for w in dict.fromkeys(words) if w not in index]
+                    if new:
+                        score_new(new)
+                    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                    got, _ = forward_backward(held[0][ids], np.array(lengths), model.start, model.transitions)
+                    at = 0
+                    for i, n in owners:
+                        sums[i] += got[at : at + n].sum(axis=0)
+                        if spans:
+                            choices[i].append(got[at : at + n].argmax(axis=1))
+                        at += n
+                for gathered in (words, lengths, owners):
+                    gathered.clear()
+
+            for i, text in enumerate(texts):
+                for part in parts_of(text or ""):
+                    w, n = chains_of(part)
+                    counts[i] += len(w)
+                    if w:
+                        words += w
+                        lengths += n
+                        owners.append((i, len(w)))
+                    if len(words) > 400_000:
+                        flush()
+            flush()
             lang, score, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            for i, row in zip(some.tolist(), sums):
+            for i in np.flatnonzero(counts).tolist() if labels else []:
+                row = sums[i] / counts[i]
                 best = int(row.argmax())
                 lang[i], score[i], shares[i] = labels[best], min(1.0, float(row[best])), row
             out = [lang, score, counts, shares]
             if spans:
-                choice = got.argmax(axis=1)
-                out.append([_runs(choice[e - n : e], labels) for n, e in zip(counts, np.cumsum(counts))])
+                out.append([_runs(np.concatenate(c), labels) if c else [] for c in choices])
             return out
 
         return work

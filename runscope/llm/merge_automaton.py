@@ -61,6 +61,7 @@ class TokenAutomaton:
             self._gadget(number, vocabulary[a], vocabulary[b], vocabulary[a + b])
         self._known: dict[int, bool] = {}
         self._trie = self._trie_of(vocabulary, end)
+        self.longest = max(self.length)
 
     def _trie_of(self, vocabulary: dict[str, int], end: str) -> dict[int, list]:
         """Transitions of the root; a transition is a list of the token that it completes (or -1) and the transitions
@@ -120,12 +121,12 @@ class TokenAutomaton:
         """The path over the bytes of a word."""
         symbols = (*word, _END)
         n, size, known, arc = len(symbols), self.size, self._known, self._arc
-        length, shorter, root = self.length, self.shorter, self._trie
+        length, shorter, root, longest = self.length, self.shorter, self._trie, self.longest
         left: set[int] = set()
         out, at, last = [], 0, self.start
         while at < n:
             token, follow = -1, root
-            for symbol in symbols[at:]:
+            for symbol in symbols[at : at + longest]:
                 step = follow.get(symbol)
                 if step is None:
                     break

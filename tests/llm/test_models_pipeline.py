@@ -93,6 +93,15 @@ def test_language_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in l.identify(df, none).collect()} == {"und"}
 
 
+def test_long_texts_are_read_in_parts(spark):
+    model = l.train(["the cat and the dog", "le chat et le chien"], ["en", "fr"], l.Fit(rounds=10))
+    long = "the cat and the dog sat\n" * 150_000
+    assert "".join(l.parts_of(long)) == long and len(l.parts_of(long)) > 2
+    row = l.identify(table(spark, [long, "\u00b2 \u2167 1 _"]), model).orderBy("doc_id").collect()
+    assert row[0]["lang_pred"] == "en" and row[0]["n_letter_words"] == 900_000
+    assert row[1]["lang_pred"] == "und"
+
+
 def test_long_lines_are_cut_into_chains():
     text = " ".join(["word"] * (2 * l.CHAIN + 3)) + "\n\n1 2 3\nlast"
     assert l.chains_of(text)[1] == [l.CHAIN, l.CHAIN, 3, 1]
