@@ -34,8 +34,9 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame
     return ordered if n is None else ordered.limit(n)
 
 
-# monotonic log-scale slot of the number _v: 0.2 % wide, at most some 700 000 of them for any double, never null
-_MAGNITUDE = "coalesce(floor(signum(CAST(_v AS DOUBLE)) * log1p(abs(CAST(_v AS DOUBLE))) * 500D), 0L)"
+# monotonic log-scale slot of the number _v, never null: 0.0125 % wide, so that even the slot of a day in microseconds holds some
+# ten million values; some 110 000 slots up to a million
+_MAGNITUDE = "coalesce(floor(signum(CAST(_v AS DOUBLE)) * log1p(abs(CAST(_v AS DOUBLE))) * 8000D), 0L)"
 
 
 def exact_percentiles(
