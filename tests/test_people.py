@@ -208,3 +208,43 @@ def test_cleaning_runs_on_a_stream(spark, tables, tmp_path):
     query.awaitTermination(60)
     got = {r["original_username"]: (r["username"], r["username_changed"]) for r in spark.read.parquet(target).collect()}
     assert got == {"x/ann": ("x_ann", True), "bob": ("bob", False)}
+
+
+REQUEST = "role_name string, source_role string, specific_dags array<string>"
+
+
+def test_requests_for_one_role_are_settled_by_a_stated_order(spark, tables):
+    requests = [("New", "User", ["b"]), ("New", "Nobody", ["a"]), ("New", "User", ["a"]), ("Admin", "User", None), ("Lost", None, None)]
+    for order in (requests, requests[::-1]):
+        new = rbac.derive_roles(tables, spark.createDataFrame(order, REQUEST).repartition(3))
+        assert sorted(tuple(r) for r in new.rejected.collect()) == [
+            ("Admin", "User", "role exists"), ("Lost", None, "unknown source role"), ("New", "Nobody", "unknown source role"),
+        ]
+        assert new.roles.count() == 0 and new.permissions.count() == 0
+
+
+def test_unknown_source_can_still_make_a_role(spark, tables):
+    requests = spark.createDataFrame([("New", "Nobody", ["a"]), ("Bare", "Nobody", None)], REQUEST)
+    new = rbac.derive_roles(tables, requests, unknown_source="create", menu_mode="with_dags")
+    role = {r["name"]: r["id"] for r in new.roles.collect()}
+    assert ids(new.permissions.where(f"role_id = {role['New']}")) == [12, 21, 22]
+    assert ids(new.permissions.where(f"role_id = {role['Bare']}")) == []
+    with pytest.raises(ValueError):
+        rbac.derive_roles(tables, requests, unknown_source="guess")
+
+
+def test_two_mappings_to_one_role(spark, make, tables):
+    """The list of the mapping with the lowest precedence counts, whoever logs in first in the table."""
+    mapping = [
+        {"precedence": 7, "idp_group": "late", "iam_role": "r", "app_role": "Shared", "specific_dags": ["b"]},
+        {"precedence": 2, "idp_group": "early", "iam_role": "r", "app_role": "Shared", "specific_dags": ["a"]},
+    ]
+    logins = [{"user_id": 1, "username": "u1", "groups": "[late]"}, {"user_id": 2, "username": "u2", "groups": "early"}]
+    after = rbac.provision_batch(tables, make("logins", logins), make("group_map", mapping), as_of="2024-01-01")
+    role = after.ab_role.where("name = 'Shared'").first()["id"]
+    assert ids(after.ab_permission_view_role.where(f"role_id = {role}")) == [12, 21, 22, 51, 52]
+    assert after.rejected.count() == 0
+    refused = rbac.provision_batch(
+        tables, make("logins", logins), make("group_map", mapping), as_of="2024-01-01", source_role="Nobody"
+    )
+    assert sorted(r["username"] for r in refused.rejected.collect()) == ["u1", "u2"]
