@@ -150,27 +150,38 @@ def pack_sizes(sizes: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.
     kinds, which = np.unique(-sizes, axis=0, return_inverse=True)  # large first
     kinds, which = -kinds, which.ravel()
     queue = np.argsort(which, kind="stable")
-    ends = np.cumsum(np.bincount(which, minlength=len(kinds)))
-    taken = ends - np.bincount(which, minlength=len(kinds))
+    left = np.bincount(which, minlength=len(kinds))
+    begin = np.cumsum(left) - left  # the next piece of each kind in the queue
     weight = sizes.sum(axis=0) / capacity
-    scaled = kinds / capacity * weight / max(weight.sum(), 1e-12)
+    weight = weight / max(weight.sum(), 1e-12) / capacity**2
     bins, places = np.empty(n, np.int64), np.empty(n, np.int64)
-    alive = np.arange(len(kinds))
     done = current = 0
     while done < n:
+        some = left > 0
+        if some.sum() < 0.75 * len(left):
+            kinds, left, begin = kinds[some], left[some], begin[some]
+        tokens, others = -kinds[:, 0], kinds[:, 1:].T
         room, place = capacity.copy(), 0
         while True:
-            fits = alive[(kinds[alive] <= room).all(axis=1) & (taken[alive] < ends[alive])]
-            if not len(fits):
+            low = int(np.searchsorted(tokens, -room[0]))  # kinds are in order of tokens: the rest has few enough
+            fits = left[low:] > 0
+            score = (weight[0] * room[0]) * -tokens[low:]
+            for d, size in enumerate(others, start=1):
+                fits &= size[low:] <= room[d]
+                score += (weight[d] * room[d]) * size[low:]
+            score[~fits] = -1
+            best = low + int(score.argmax()) if len(score) else low
+            if best == len(left) or not fits[best - low]:
                 break
-            best = fits[np.argmax(scaled[fits] @ (room / capacity))]
-            item = queue[taken[best]]
-            taken[best] += 1
+            item = queue[begin[best]]
+            begin[best] += 1
+            left[best] -= 1
             bins[item], places[item] = current, place
-            room = room - kinds[best]
+            room -= kinds[best]
             place += 1
             done += 1
-        alive = alive[taken[alive] < ends[alive]]
+            if room[0] <= 0:
+                break
         current += 1
     return bins, places
 
