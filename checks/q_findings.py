@@ -23,6 +23,7 @@ from .register import (
     EVENTS_AS_OF,
     ORDERS_AS_OF,
     ORDERS_DAYS,
+    REGISTER,
     Get,
     big,
     checkpoint_folder,
@@ -412,3 +413,59 @@ def _(t: Get):
     return report.report_lines(results, found, advice)
 
 
+
+
+# sections of the text report whose lines show numbers as their results have them: result, query, order, line
+_T, _D = "printf('%-42s', dag_id || '.' || task_id)", "printf('%-35s', dag_id)"
+SHOWN = [
+    ("SCHEDULE DRIFT", "schedule_drift", "a07_schedule_drift", "avg_drift_seconds DESC, dag_id",
+     _D + " || printf(' %8d runs, drift %10.2f s, p95 %10.2f s', run_count, avg_drift_seconds, p95_drift_seconds)"),
+    ("SCHEDULING DELAY", "scheduling_delay", "a08_scheduling_delay", "avg_lag_seconds DESC, dag_id",
+     _D + " || printf(' %8d runs, delay %10.2f s, p95 %10.2f s, %.2f %% over 5 min', total_runs, avg_lag_seconds, p95_lag_seconds, pct_delayed_5min)"),
+    ("RETRIES", "task_retry_patterns", "b03_task_retry_patterns", "retry_attempts DESC, dag_id, task_id",
+     _T + " || printf(' %8d retries, %.2f %% of attempts', retry_attempts, retry_rate_percent)"),
+    ("EXECUTOR LAG", "executor_queue_lag", "b05_executor_queue_lag", "avg_queue_lag_seconds DESC, dag_id, task_id",
+     _T + " || printf(' %10.2f s, p95 %10.2f s', avg_queue_lag_seconds, p95_queue_lag_seconds)"),
+    ("TIME IN QUEUE", "queued_duration", "b06_queued_duration", "avg_queue_seconds DESC, dag_id, task_id",
+     _T + " || printf(' %10.2f s, p95 %10.2f s', avg_queue_seconds, p95_queue_seconds)"),
+    ("TASK FAILURES", "task_failures", "c01_task_failures", "failure_count DESC, dag_id, task_id",
+     _T + " || printf(' %8d failures on %d days', failure_count, failure_days)"),
+    ("ERROR CLUSTERS", "error_clusters", "c03_error_clusters", "occurrence_count DESC, dag_id, task_id",
+     _T + " || printf(' %8d ', occurrence_count) || frequency_category"),
+    ("ERRORS TOGETHER", "error_correlation", "c04_error_correlation", "co_occurrence_count DESC, task1, task2",
+     "task1 || ' and ' || task2 || printf(': %d times', co_occurrence_count)"),
+    ("RETRY OUTCOMES", "transient_vs_persistent", "c05_transient_vs_persistent", "retry_runs DESC, dag_id, task_id",
+     _T + " || printf(' %8d retried runs, %.2f %% succeed, ', retry_runs, retry_success_rate) || failure_type"),
+    ("ERROR HOURS", "error_time_patterns", "c06_error_time_patterns", "total_errors DESC, hour_of_day",
+     "printf('%02d:00 %8d errors, ', hour_of_day, total_errors) || error_intensity"),
+    ("FAILURE CASCADES", "failure_cascades", "c07_failure_cascades", "cascade_count DESC, dag_id",
+     _D + " || printf(' %8d cascades, %.2f tasks on average', cascade_count, avg_tasks_per_cascade)"),
+    ("FAILURE FORECAST", "failure_prediction", "d01_failure_prediction", "failure_rate DESC, dag_id, task_id",
+     _T + " || printf(' %6.2f %% fail, ', failure_rate) || failure_trend"),
+    ("SCHEDULER LOOPS", "loop_duration", "d09_loop_duration", "p95_loop_duration DESC, hostname",
+     "printf('%-20s', hostname) || printf(' %8d loops, p95 %.2f s', loop_count, p95_loop_duration)"),
+]
+
+
+def _shown_sql() -> str:
+    parts = []
+    for no, (title, _, name, order, line) in enumerate(SHOWN, start=1):
+        parts.append(f"SELECT {no} AS section, 0 AS line_no, '{title}' AS text")
+        parts.append(
+            f"SELECT {no}, line_no, text FROM (SELECT ROW_NUMBER() OVER (ORDER BY {order}) AS line_no, {line} AS text "
+            f"FROM ({REGISTER[name].sql})) WHERE line_no <= 12"
+        )
+    for no, title in enumerate(("FINDINGS", "RECOMMENDATIONS"), start=len(SHOWN) + 1):
+        parts.append(f"SELECT {no}, 0, '{title}'")
+    lines = " UNION ALL ".join(parts)
+    return f"SELECT {big('section')} AS section, {big('line_no')} AS line_no, text FROM ({lines})"
+
+
+@query("i04_report_sections", [], _shown_sql())
+def _(t: Get):
+    """The sections above from the registered results; nothing was found and nothing is advised."""
+    results = {result: REGISTER[name].build(t) for _, result, name, *_ in SHOWN}
+    spark = t("orders").sparkSession
+    none = spark.createDataFrame([], findings.FINDING)
+    nothing = spark.createDataFrame([], "position int, rule_no int, recommendation string")
+    return report.report_lines(results, none, nothing, rows_per_section=12)
