@@ -154,8 +154,9 @@ def anomaly_detection(
 ) -> DataFrame:
     """Durations more than ``z_limit`` standard deviations from their task's mean.
 
-    Rows meet the statistics of just those tasks whose smallest or largest value is out of bounds, and are judged
-    before anything else is shuffled.
+    Durations are first counted per (task, value), then meet the statistics of just those tasks whose smallest or
+    largest value is out of bounds. (Joining the rows themselves was tried: adaptive execution starts their shuffle before
+    it knows that the suspect tasks are few, and rows cost more than counts.)
     """
     durations = successful_durations(task_instance, as_of, analysis_days)
     mean, sd, seconds = F.col("mean"), F.col("sd"), F.col("seconds")
@@ -175,14 +176,19 @@ def anomaly_detection(
         .where((F.col("n") >= min_count) & ((z(F.col("low")) > z_limit) | (z(F.col("high")) > z_limit)))
         .select(*TASK, "mean", "sd")
     )
-    # only rows of suspect tasks that lie out of bounds go on; where the bounds are large, Spark splits a hot task
-    outliers = durations.join(bounds, TASK).withColumn("z", z(seconds)).where(F.col("z") > z_limit)
+    values = durations.groupBy(*TASK, "seconds").agg(
+        F.count(F.lit(1)).alias("times"), F.max("start_date").alias("last")
+    )
+    outliers = (
+        salted_join(values, bounds, TASK, ["seconds"]).withColumn("z", z(seconds)).where(F.col("z") > z_limit)
+    )
+    times = F.col("times")
     stats = outliers.groupBy(*TASK).agg(
-        F.count(F.lit(1)).alias("anomaly_count"),
-        F.max("start_date").alias("last_anomaly"),
-        F.round(F.avg("z"), 2).alias("avg_z_score"),
+        F.sum(times).alias("anomaly_count"),
+        F.max("last").alias("last_anomaly"),
+        F.round(F.sum(F.col("z") * times) / F.sum(times), 2).alias("avg_z_score"),
         F.round(F.max("z"), 2).alias("max_z_score"),
-        F.round(F.avg(seconds), 2).alias("avg_anomaly_duration"),
+        F.round(F.sum(seconds * times) / F.sum(times), 2).alias("avg_anomaly_duration"),
         F.round(F.max("mean"), 2).alias("normal_duration"),
     )
     return top_rows(stats, by_task(F.desc("anomaly_count")), limit)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks.bindings import ORDERS_AS_OF, RBAC, table
 from runscope.functions import scale
 from runscope.functions.timeexpr import timestamp_lit
-from runscope.operators import failures, forecast, identity, rbac, runs, scheduler, tasks
+from runscope.operators import failures, identity, rbac, runs, scheduler, tasks
 
 T0 = datetime(2024, 1, 1)
 
@@ -235,8 +235,3 @@ def test_roles_and_patches_read_their_tables_few_times(spark):
     )
     text = plan(identity.patch_users(users, tables["ab_role"], patches).users)
     assert len(re.findall(r"Scan ", text)) <= 9
-
-
-def test_anomalies_shuffle_only_outliers(spark):
-    text = plan(forecast.anomaly_detection(table(spark, SF, "task_instance"), as_of=ORDERS_AS_OF, analysis_days=365, z_limit=0.5, min_count=2))
-    assert len(re.findall(r"FileScan parquet", text)) == 2 and "SortMergeJoin" not in text
