@@ -18,7 +18,7 @@ from .conftest import as_dicts
 NOW = datetime(2024, 2, 1, 13, 30, 5)
 
 
-def test_every_schema_parses():
+def test_every_schema_parses(spark):
     for name in schemas.SCHEMAS:
         assert schemas.schema_of(name).fields
 
