@@ -224,19 +224,18 @@ def train(texts: Sequence[str], languages: Sequence[str], fit: Fit = Fit()) -> M
 def sample(docs: DataFrame, text: str, language: str, fit: Fit = Fit()) -> tuple[list[str], list[str]]:
     """A bounded sample of lines with their language: texts by a hash of the text, lines by a hash of the line.
 
-    Each task sends at most ``texts`` rows of a language to the shuffle, as only the first of each are wanted.
+    Each task sends at most ``texts`` rows of a language to the shuffle, as only the first of each are wanted. Lines
+    are looked at in the chosen texts alone; a long one counts as several.
     """
     rows = docs.select(
         F.col(f"`{language}`").cast("string").alias("language"), F.col(f"`{text}`").cast("string").alias("text")
-    ).where("language IS NOT NULL AND text IS NOT NULL")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\p{L}") & (F.length(x) <= 4000))
-    ordered = F.array_sort(F.transform(F.array_distinct(lines), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
-    first = Window.partitionBy("language").orderBy("hash", "lines")
+    ).where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("language").orderBy(F.xxhash64("text"), "text")
+    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit.texts)
+    lines = F.filter(F.regexp_extract_all("text", F.lit(r"[^\n]{1,1000}"), 0), lambda x: x.rlike(r"\p{L}"))
+    hashed = F.transform(F.array_distinct(lines), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))
     rows = (
-        rows.select("language", F.xxhash64("text").alias("hash"), F.slice(ordered["x"], 1, fit.lines).alias("lines"))
-        .where(F.size("lines") > 0)
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= fit.texts)
+        chosen.select("language", "n", F.slice(F.array_sort(hashed)["x"], 1, fit.lines).alias("lines"))
         .orderBy("n", "language")
         .limit(fit.texts * fit.languages)
         .collect()

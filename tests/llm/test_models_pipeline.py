@@ -63,6 +63,13 @@ def test_language_is_not_an_input(spark):
     assert [x[1:] for x in a] == [x[1:] for x in b]
 
 
+def test_learning_from_texts_of_one_long_line(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.repeat(F.translate("text", "\n", " "), 3))
+    model = language_model(docs)
+    rows = l.identify(docs.where("n_chars > 300"), model, keep=["doc_id", "lang"]).collect()
+    assert len(model.labels) == 4 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+
+
 def test_code_switched_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_model(docs)
