@@ -222,16 +222,34 @@ def train(texts: Sequence[str], languages: Sequence[str], fit: Fit = Fit()) -> M
 
 
 def sample(docs: DataFrame, text: str, language: str, fit: Fit = Fit()) -> tuple[list[str], list[str]]:
-    """A bounded sample of lines with their language: texts by a hash of the text, lines by a hash of the line.
+    """A bounded sample of lines with their language: distinct texts by a hash of the text, lines by a hash of the line.
 
-    Each task sends at most ``texts`` rows of a language to the shuffle, as only the first of each are wanted. Lines
-    are looked at in the chosen texts alone; a long one counts as several.
+    The first hashes of each language are chosen among the distinct ones, so copies take one place together; only then
+    are texts moved, those of the chosen hashes, once each. Each task sends at most ``texts`` hashes of a language to
+    the ranking, as only the first are wanted. Lines are looked at in the chosen texts alone; a long one counts as
+    several.
     """
-    rows = docs.select(
-        F.col(f"`{language}`").cast("string").alias("language"), F.col(f"`{text}`").cast("string").alias("text")
-    ).where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("language").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit.texts)
+    rows = (
+        docs.select(
+            F.col(f"`{language}`").cast("string").alias("language"), F.col(f"`{text}`").cast("string").alias("text")
+        )
+        .where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        .withColumn("hash", F.xxhash64("text"))
+    )
+    by_language = Window.partitionBy("language")
+    wanted = (
+        rows.select("language", "hash")
+        .distinct()
+        .withColumn("n", F.row_number().over(by_language.orderBy("hash")))
+        .where(F.col("n") <= fit.texts)
+        .orderBy("n", "language")
+        .limit(fit.texts * fit.languages)
+        .drop("n")
+    )
+    distinct = rows.join(F.broadcast(wanted), ["language", "hash"]).dropDuplicates(["language", "text"])
+    # texts that share a hash are told apart here
+    first = F.row_number().over(by_language.orderBy("hash", "text"))
+    chosen = distinct.withColumn("n", first).where(F.col("n") <= fit.texts)
     lines = F.filter(F.regexp_extract_all("text", F.lit(r"[^\n]{1,1000}"), 0), lambda x: x.rlike(r"\p{L}"))
     hashed = F.transform(F.array_distinct(lines), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))
     rows = (

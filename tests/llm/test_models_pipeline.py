@@ -70,6 +70,17 @@ def test_learning_from_texts_of_one_long_line(spark):
     assert len(model.labels) == 4 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    texts = [f"text {' '.join(words(8, i))}" for i in range(300)]
+    other = [f"texte {' '.join(words(8, i))}" for i in range(50)]
+    distinct = table(spark, texts).union(table(spark, other, first=1000, lang="fr"))
+    copies = table(spark, [t for t in texts for _ in range(500 if t in texts[:5] else 1)])
+    copies = copies.union(table(spark, other * 20, first=5000, lang="fr")).repartition(7)
+    got = l.sample(copies, "text", "lang")
+    assert got == l.sample(distinct, "text", "lang")
+    assert len(set(zip(*got))) == len(got[0]) == 250 and got[1].count("en") == 200
+
+
 def test_code_switched_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_model(docs)
