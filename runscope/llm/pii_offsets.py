@@ -93,10 +93,13 @@ _IN_RUN = re.compile(rf"(?i){_ONE}|[0-9]+")
 _BRACKETED_AT = re.compile(rf"(?i)\x20*[\[({{<]\x20*(?:{_AT}|@)\x20*[\])}}>]\x20*")
 _BRACKETED_DOT = re.compile(rf"(?i)\x20*[\[({{<]\x20*(?:{_DOT}|\.)\x20*[\])}}>]\x20*")
 _PLAIN_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+(?:{_DOT})\x20+(?=[a-z0-9])")
-_PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+(?:{_AT})\x20+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)+)")
+_PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+(?:{_AT})\x20+(?=([a-z0-9-]+(?:\.[a-z0-9-]+)+)(/?))")
 _PLUS = re.compile(r"(?i)\bplus\x20+(?=[0-9])")
 _BRACKET = re.compile(rf"(?i)[\[({{<]\x20*(?:{_AT}|{_DOT}|@|\.)\x20*[\])}}>]")
 _A_DOT = re.compile(rf"(?i)\x20(?:{_DOT})\x20")
+_AN_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20")
+# a plain domain after a plain "at": its last label is of letters ("at 3.5", "at noon.Then"), it is no web address
+_MAIL_DOMAIN = re.compile(r"(?!(?i:www)\.)[A-Za-z0-9.-]+\.(?:[a-z]{2,}|[A-Z]{2,})-*")
 
 
 @lru_cache(None)
@@ -188,8 +191,10 @@ def rewrite(text: str) -> Rewritten | None:
         out.apply([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
     if _A_DOT.search(out.text):
         out.apply([(*m.span(), ".") for m in _PLAIN_DOT.finditer(out.text)])
-        out.apply([(*m.span(), "@") for m in _PLAIN_AT.finditer(out.text)])
-    if runs or "lus" in now:
+    if _AN_AT.search(out.text):
+        found = _PLAIN_AT.finditer(out.text)
+        out.apply([(*m.span(), "@") for m in found if out.touched(*m.span(1)) or _MAIL_DOMAIN.fullmatch(m[1]) and not m[2]])
+    if "plu" in out.text.lower():
         out.apply([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     return out if out.edits else None
 

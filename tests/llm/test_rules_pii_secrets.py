@@ -133,6 +133,31 @@ def test_disguises(text, kind, found):
     assert found not in pii_offsets.redact(text, spans) and f"[{kind.upper()}]" in pii_offsets.redact(text, spans)
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("jane at example.com", "email", "jane at example.com"),
+        ("jane at example (dot) com", "email", "jane at example (dot) com"),
+        ("JANE AT EXAMPLE.COM", "email", "JANE AT EXAMPLE.COM"),
+        ("escribe a ana arroba correo.ejemplo.es.", "email", "ana arroba correo.ejemplo.es"),
+        ("PLUS 49 30 1234567", "phone", "PLUS 49 30 1234567"),
+        ("Plus 49 30 1234567", "phone", "Plus 49 30 1234567"),
+        ("joe at host [dot] x1", "email", "joe at host [dot] x1"),
+    ],
+)
+def test_disguises_alone_in_a_text(text, kind, found):
+    span = (kind, text.index(found), text.index(found) + len(found))
+    assert span in pii_offsets.find(text)[1]
+    assert span in pii_offsets.find(f"{text} and a dot here")[1]
+    assert pii_offsets.redact(text, pii_offsets.find(text)[1]) == text.replace(found, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["It was at 3.5 then", "He came at noon.Then he left", "Look at www.example.com", "See at example.com/faq now", "a PLUS 3 for all"])
+def test_plain_words_before_dots_are_left_alone(text):
+    assert pii_offsets.find(text) == ([], [])
+    assert pii_offsets.find(f"{text}, a dot here") == ([], [])
+
+
 def test_clean_text_is_left_alone():
     for text in ["We met at the dot.", "one, two, three and four things", "Look at that. Dot the i.", "version 1.2.3", "l'été à 5 heures"]:
         assert pii_offsets.find(text) == ([], [])
