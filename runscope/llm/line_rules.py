@@ -7,8 +7,11 @@ loses too much of its text, or fails the counts on the whole text, is rejected.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,12 +105,24 @@ def repeated_words(words: Sequence[str]) -> int:
 _LETTERS = re.compile(r"[^\W_]")
 
 
+@lru_cache(None)
+def _marks() -> re.Pattern:
+    """Runs of combining marks after a letter or digit: vowel signs and accents are part of the text, not symbols.
+
+    Variation selectors, which dress up symbols, are left out."""
+    codes = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    marks = "".join(chr(c) for c in codes if not (0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF))
+    return re.compile(f"(?<=[^\\W_])[{marks}]+")
+
+
 def line_fails(line: str, words: Sequence[str], rules: Rules) -> bool:
     """Whether a line with words is punctuation, navigation or boilerplate rather than text."""
     chars = sum(map(len, words))
     letters = len(_LETTERS.findall(line))
     if not letters:
         return True
+    if chars - letters > rules.max_symbol_share * chars and not line.isascii():
+        letters += sum(map(len, _marks().findall(line)))
     if chars >= rules.judged_chars and chars - letters > rules.max_symbol_share * chars:
         return True
     separators = sum(w in SEPARATORS for w in words)

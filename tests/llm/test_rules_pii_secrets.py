@@ -60,6 +60,20 @@ def test_lines_and_verdict(spark):
     assert rows[5]["n_dup_lines"] == 1 and rows[5]["n_repeat_words"] == rows[5]["n_words"] and not rows[5]["kept"]
 
 
+def test_scripts_with_vowel_signs_are_text(spark):
+    texts = [
+        "हिन्दी भाषा में लिखी हुई यह पंक्ति किसी भी साधारण पाठ की तरह है और इसे हटाया नहीं जाना चाहिए।",
+        "தமிழ் மொழியில் எழுதப்பட்ட இந்த வரி ஒரு சாதாரண உரை போன்றது ஆகவே இதை நீக்கக் கூடாது என்று நாங்கள் நினைக்கிறோம்.",
+        "বাংলা ভাষায় লেখা এই বাক্যটি একটি সাধারণ পাঠ্য এবং এটিকে কখনোই মুছে ফেলা উচিত নয় বলে আমরা মনে করি।",
+        "e\u0301te\u0301 " * 3 + "d\u00e9ja\u0300 vu a\u0300 la\u0300 fe\u0302te de Noe\u0308l avec eux",
+    ]
+    symbols = "\u2764\ufe0f" * 15 + " a \u0301\u0301\u0301\u0301"
+    rows = {r["doc_id"]: r for r in line_rules.clean_lines(table(spark, [*texts, f"{texts[0]}\n{symbols}"])).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i]["kept"] and rows[i]["n_removed_lines"] == 0 and rows[i]["cleaned_text"] == text
+    assert rows[4]["n_removed_lines"] == 1 and rows[4]["cleaned_text"] == texts[0]
+
+
 def test_rules_on_awkward_rows(spark):
     made = line_rules.clean_lines(awkward(spark, clash=["kept", "_text"]), keep=["doc_id", "lang", "kept", "_text"])
     assert made.columns[:3] == ["doc_id", "lang", "_text"] and made.columns.count("kept") == 1
