@@ -1,6 +1,6 @@
 """Quality of texts by a factorisation machine.
 
-A text is a sparse vector of hashed words, structure statistics and metadata. Every feature has a weight and a short
+A text is a sparse vector of hashed words and structure statistics. Every feature has a weight and a short
 vector of factors; every pair of features interacts by the product of their factors. The pairs are never listed: half
 of (squared sum minus sum of squares) of the factors times values gives all of them in linear time.
 """
@@ -83,7 +83,7 @@ def statistics(text: str, words: Sequence[str], ids: np.ndarray) -> list[float]:
     counts = np.bincount(ids) if len(ids) else np.zeros(1)
     counts = counts[counts > 0]
     in_words = sum(map(len, words))
-    bare = sum(not any(map(str.isalpha, w[:2])) for w in words)
+    bare = sum(not any(map(str.isalpha, w)) for w in words)
     return [
         float(np.log1p(len(words))),
         float(np.log1p(len(text))),

@@ -128,6 +128,11 @@ def test_long_lines_are_cut_into_chains():
 # ---- quality
 
 
+def test_words_without_letters_are_judged_as_a_whole():
+    words = "the (1st and 20th of 1999 -- x".split()
+    assert q.statistics(" ".join(words), words, np.arange(len(words)))[-1] == 2 / len(words)
+
+
 def test_interactions_against_all_pairs():
     r = np.random.default_rng(2)
     owner = np.array([0, 0, 0, 2, 2, 2, 2])
