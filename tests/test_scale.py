@@ -149,6 +149,17 @@ def test_error_correlation_is_exact(spark, seed):
         assert [(-r["co_occurrence_count"], r["task1"], r["task2"]) for r in got] == want[:limit], (limit, seeds)
 
 
+def test_pairs_beyond_the_registered_bound(spark):
+    from checks.catalogue import REGISTER
+
+    assert "c04_error_correlation_top2000" in REGISTER and "c04_error_correlation_all" not in REGISTER
+    rows = [("d", f"t{i:02d}", T0 + timedelta(minutes=m)) for i in range(65) for m in (1, 2)]
+    df = spark.createDataFrame(rows, "dag_id string, task_id string, start_date timestamp")
+    got = failures.error_correlation(df, as_of="2024-01-05", limit=None).collect()
+    assert len(got) == 65 * 64 // 2 > 2000
+    assert [(-r["co_occurrence_count"], r["task1"], r["task2"]) for r in got] == correlated(rows)
+
+
 def plan(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
