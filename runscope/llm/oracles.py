@@ -84,3 +84,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     CAST(lost_share AS DOUBLE) AS lost_share, base_failed, NOT base_failed AND lost_share <= 0.3 AS kept
 FROM shares
 """
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws(':', doc_id, text)) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS w FROM d GROUP BY source),
+shares AS (SELECT sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER low, 0) AS words, sum(w) OVER high AS parts FROM s
+    WINDOW low AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        high AS (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+best AS (SELECT CAST(words AS BIGINT) AS words, CAST(parts AS BIGINT) AS parts FROM shares
+    ORDER BY CAST(words AS DOUBLE) / CAST(parts AS DOUBLE) DESC LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN 3 * source_size * parts < w * words THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST(w * words AS DOUBLE) / CAST(parts AS DOUBLE) END AS target,
+    CAST('0x' || substr(md5(concat_ws(':', '11', source)), 1, 6) AS BIGINT) AS u FROM s, best),
+placed AS (SELECT doc_id, size, source_size, target, u,
+    CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target * 16777216.0::DOUBLE / source_size) AS BIGINT) END AS e,
+    row_number() OVER (PARTITION BY d.source ORDER BY 8 * length(bin(size)) + ((size >> greatest(length(bin(size)) - 4, 0)) & 7),
+        digest) AS i
+    FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+copied AS (SELECT *, (i * e + u) // 16777216 - ((i - 1) * e + u) // 16777216 AS copies FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies,
+    CAST(copies * size AS BIGINT) AS taken FROM copied
+"""

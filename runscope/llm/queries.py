@@ -16,15 +16,16 @@ from . import (
     pii_offsets,
     posting_lists,
     quality_fm,
+    systematic_mix,
     token_count_cache,
     vector_packing,
 )
 from .common import held_out, shared_folder
-from .oracles import OP4, OP10
+from .oracles import OP4, OP10, OP11
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {"op4_entropy_secrets": OP4, "op10_line_rules": OP10}
+ORACLES: dict[str, str] = {"op4_entropy_secrets": OP4, "op10_line_rules": OP10, "op11_systematic_mix": OP11}
 
 
 def query(name: str):
@@ -134,3 +135,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op11_systematic_mix")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return systematic_mix.systematic_mix(read(spark, sf_dir, "documents"))
