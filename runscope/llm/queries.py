@@ -13,6 +13,7 @@ from . import (
     language_crf,
     line_rules,
     merge_automaton,
+    period_runs,
     pii_offsets,
     posting_lists,
     quality_fm,
@@ -140,3 +141,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_systematic_mix")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic_mix.systematic_mix(read(spark, sf_dir, "documents"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """In every tenth document by checksum of its id, the words from a random place on repeat the first ones from there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    marked = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.col("text").cast("string"), F.lit(systematic_mix.WORD), 0))
+    sized = marked.select("*", words.alias("words")).select("*", F.size("words").alias("n"))
+    places = sized.select("*", F.expr("g % n").alias("a")).select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    periodic = F.expr("transform(words, (w, i) -> IF(i < a, w, element_at(words, CAST(a + (i - a) % p + 1 AS INT))))")
+    return places.select("doc_id", F.when(F.col("n") > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_period_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find_runs(with_periods(read(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digested = found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        period_runs.best_run("runs").alias("best"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return digested.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256", "n_words"
+    )
