@@ -107,3 +107,20 @@ copied AS (SELECT *, (i * e + u) // 16777216 - ((i - 1) * e + u) // 16777216 AS
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies,
     CAST(copies * size AS BIGINT) AS taken FROM copied
 """
+
+OP13 = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    CAST(list_inner_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT a, positive_id, b AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY a, positive_id ORDER BY score DESC, b) AS rank
+    FROM p JOIN (SELECT a, b, score FROM s WHERE NOT same) USING (a)
+    WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT a AS anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""

@@ -20,13 +20,19 @@ from . import (
     systematic_mix,
     token_count_cache,
     vector_packing,
+    zone_negatives,
 )
 from .common import held_out, shared_folder
-from .oracles import OP4, OP10, OP11
+from .oracles import OP4, OP10, OP11, OP13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {"op4_entropy_secrets": OP4, "op10_line_rules": OP10, "op11_systematic_mix": OP11}
+ORACLES: dict[str, str] = {
+    "op4_entropy_secrets": OP4,
+    "op10_line_rules": OP10,
+    "op11_systematic_mix": OP11,
+    "op13_zone_negatives": OP13,
+}
 
 
 def query(name: str):
@@ -170,3 +176,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested.select(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256", "n_words"
     )
+
+
+@query("op13_zone_negatives")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return zone_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
