@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from runscope.llm import entropy_secrets, line_rules, pii_offsets
 from runscope.llm.queries import QUERIES
@@ -227,8 +230,6 @@ def entropy_of(s, w=20):
 
 
 def test_window_entropy(spark):
-    from pyspark.sql import functions as F
-
     r = random.Random(4)
     strings = ["", "a", "ab" * 15, *("".join(r.choice("abcdef0123") for _ in range(r.randrange(1, 60))) for _ in range(60))]
     df = spark.createDataFrame([(s,) for s in strings], "s string").coalesce(1)
@@ -269,3 +270,64 @@ def test_queries_hash_the_base(spark, tmp_path):
     joined = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_base(text))
     assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
     assert row["n_email"] == 1 and row["n_phone"] == 1 and row["spans"].startswith("email:2:25,email:27:35")
+
+
+def long_strings():
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    digests = ["%064x" % r.getrandbits(256) for _ in range(8000)]
+    return [
+        *[("ab-" * n + "x1234567", 0, 0) for n in (3_333, 33_333, 333_333)],  # no words joined: seven digits
+        *[("ab-" * n + "x123", 0, 0) for n in (3_333, 333_333)],
+        ("a/b/c1" * 170_000, 0, 0),
+        ("".join(r.choice(letters) for _ in range(200_000)), 0, 1),
+        (" ".join(digests), 8000, 8000),
+        (" ".join("".join(r.choice(letters) for _ in range(40)) + "=1" for _ in range(3000)), 0, 3000),
+        ("password" + " " * 10**6 + "= abcdefgh", 1, 1),
+        ("x" * 10**6, 0, 0),
+    ]
+
+
+def test_secrets_in_long_strings(spark):
+    """No pattern overflows the stack, and nothing grows with the square of the length."""
+    cases = long_strings()
+    began = time.monotonic()
+    rows = entropy_secrets.find_secrets(table(spark, [c[0] for c in cases])).collect()
+    assert [(len(x.base_spans), len(x.spans)) for x in sorted(rows, key=lambda x: x.doc_id)] == [c[1:] for c in cases]
+    assert time.monotonic() - began < 90
+
+
+def test_running_totals(spark):
+    r = random.Random(9)
+    lists = [[r.randrange(100) for _ in range(n)] for n in (1, 2, 127, 128, 129, 256, 257, 1000, 20_000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<bigint>")
+    got = df.select(
+        entropy_secrets.running(F.col("x"), lambda a, b: a + b).alias("sum"),
+        entropy_secrets.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("most"),
+    )
+    for x, row in zip(lists, got.collect(), strict=True):
+        assert row["sum"] == list(itertools.accumulate(x)) and row["most"] == list(itertools.accumulate(x, max))
+
+
+def test_random_strings_that_meet_base_spans_are_left_out(spark):
+    """Against every pair of spans."""
+    r = random.Random(10)
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = [
+        lambda: "".join(r.choice(letters) for _ in range(r.randrange(20, 60))),
+        lambda: "token=" + "".join(r.choice(letters) for _ in range(r.randrange(8, 40))),
+        lambda: "".join(r.choice(hexes) for _ in range(r.randrange(30, 70))),
+        lambda: "AKIA" + "".join(r.choice(letters[:26]) for _ in range(r.randrange(10, 40))),
+    ]
+    texts = ["".join(r.choice(parts)() + r.choice([" ", "-", ".", "", "_"]) for _ in range(60)) for _ in range(20)]
+    limits = entropy_secrets.Limits(hex_bits=0.0, one_case_bits=0.0, base64_bits=0.0)
+    found = {x.doc_id: x for x in entropy_secrets.find_secrets(table(spark, texts), limits=limits, allow=()).collect()}
+    for i, text in enumerate(texts):
+        base = [tuple(s) for s in found[i].base_spans]
+        wanted = [
+            (m.start(), 3, m.end())
+            for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+            and not any(s < m.end() and m.start() < e for s, _, e in base)
+        ]
+        assert [tuple(s) for s in found[i].spans] == sorted(base + wanted)
