@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label, percent, ratio
@@ -77,42 +79,16 @@ def error_correlation(
     """Pairs of tasks failing in the same hour, counted as failures x failures per hour; exact top ``limit``.
 
     With n[a, h] failures of task a in hour h, a pair scores the sum over h of n[a, h] * n[b, h]. Not every pair of an
-    hour is built:
+    hour is built. The ``limit``-th best of the pairs scored so far is a threshold that the true top must reach; it is
+    raised in rounds, and only pairs whose bound reaches the last one are scored (``_meeting``):
 
-    * Scoring the pairs among the ``seeds`` tasks with the largest own score gives a floor: the ``limit``-th best score
-      found is a score that the true top must reach as well.
-    * Hours are ranked from the most to the least crowded. For each task, the hours from the start of that order whose
-      possible score (n times the largest n of the hour) stays below the floor cannot alone carry a pair over it, so
-      a pair that counts shares one of the later, less crowded hours of both tasks. Only those meet in the join.
-    * Pairs found this way are scored over all their hours.
+    * first by the pairs among the busiest tasks, ``seeds`` of them or as many as make ``limit`` pairs,
+    * then by all pairs of the few very busiest tasks with any other.
 
-    With ``limit=None`` the floor is ``min_count``, and there can be as many pairs as tasks fail together in an hour.
+    With ``limit=None`` the threshold is ``min_count``, and there can be as many pairs as tasks fail together in an hour.
     """
-    per_hour = (
-        task_fail.where(in_window("start_date", as_of, analysis_days))
-        .groupBy(
-            F.date_trunc("hour", "start_date").alias("hour"),
-            F.concat_ws(".", "dag_id", "task_id").alias("task"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("hour").isNotNull())
-    )
-    floor = _score_floor(per_hour, min_count, limit, seeds)
-
-    crowd = per_hour.groupBy("hour").agg(F.count(F.lit(1)).alias("crowd"), F.max("n").alias("top_n"))
-    crowded_first = Window.partitionBy("task").orderBy(F.desc("crowd"), "hour")
-    reach = F.sum(F.col("n") * F.col("top_n")).over(crowded_first.rowsBetween(Window.unboundedPreceding, 0))
-    probing = (
-        salted_join(per_hour, crowd, ["hour"], ["task"])
-        .withColumn("reach", reach)
-        .where(F.col("reach") >= floor.scalar())
-        .select("hour", "task")
-    )
-    left = probing.select("hour", F.col("task").alias("task1"))
-    right = probing.select("hour", F.col("task").alias("task2"))
-    candidates = (
-        salted_join(left, right, ["hour"], ["task1"]).where(F.col("task1") < F.col("task2")).select("task1", "task2").distinct()
-    )
+    per_hour = _failures_per_hour(task_fail, as_of, analysis_days)
+    candidates = _meeting(_reach(per_hour), _threshold(per_hour, min_count, limit, seeds))
     # both sides of the scoring joins hold at most one row per (task, hour)
     first = per_hour.select(F.col("task").alias("task1"), "hour", F.col("n").alias("n1"))
     second = per_hour.select(F.col("task").alias("task2"), "hour", F.col("n").alias("n2"))
@@ -126,27 +102,117 @@ def error_correlation(
     return top_rows(scored, [F.desc("co_occurrence_count"), F.asc("task1"), F.asc("task2")], limit)
 
 
-def _score_floor(per_hour: DataFrame, min_count: int, limit: int | None, seeds: int) -> DataFrame:
-    """One row: a score that every pair of the true top must reach."""
-    lowest = F.lit(min_count).cast("long")
+def _failures_per_hour(task_fail: DataFrame, as_of: AsOf, analysis_days: int) -> DataFrame:
+    return (
+        task_fail.where(in_window("start_date", as_of, analysis_days))
+        .groupBy(
+            F.date_trunc("hour", "start_date").alias("hour"),
+            F.concat_ws(".", "dag_id", "task_id").alias("task"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("hour").isNotNull())
+    )
+
+
+def _threshold(per_hour: DataFrame, min_count: int, limit: int | None, seeds: int, stars: int = 4) -> DataFrame:
+    """One row (score, task1, task2): a pair that counts scores more, or as much and does not come later by its names.
+
+    Null names: every pair of that score counts.
+    """
+    nobody = F.lit(None).cast("string")
     if limit is None:
-        return per_hour.sparkSession.range(1).select(lowest.alias("floor"))
-    busiest = per_hour.groupBy("task").agg(F.sum(F.col("n") * F.col("n")).alias("own")).orderBy(F.desc("own"), "task").limit(seeds)
-    rows = per_hour.join(busiest.select("task"), "task")
-    # at most seeds x hours rows, so an hour holds at most ``seeds`` of them
-    left = rows.select("hour", F.col("task").alias("task1"), F.col("n").alias("n1"))
-    right = rows.select("hour", F.col("task").alias("task2"), F.col("n").alias("n2"))
-    best = (
-        left.join(right, "hour")
-        .where(F.col("task1") < F.col("task2"))
-        .groupBy("task1", "task2")
-        .agg(F.sum(F.col("n1") * F.col("n2")).alias("score"))
-        .orderBy(F.desc("score"))
-        .limit(limit)
+        lowest = F.lit(min_count).cast("long").alias("score")
+        return per_hour.sparkSession.range(1).select(lowest, nobody.alias("task1"), nobody.alias("task2"))
+    own = per_hour.groupBy("task").agg(F.sum(F.col("n") * F.col("n")).alias("own"))
+
+    def busiest(count: int) -> DataFrame:
+        return own.orderBy(F.desc("own"), "task").limit(count).select("task")
+
+    def scores(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of a few tasks (so few rows of an hour) with others, over all their hours."""
+        pairs = left.toDF("hour", "a", "na").join(right.toDF("hour", "b", "nb"), "hour").where(F.col("a") != F.col("b"))
+        names = F.least("a", "b").alias("task1"), F.greatest("a", "b").alias("task2")
+        # a pair of two of the few comes twice, once from each side
+        sums = pairs.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("score")).select("score", *names)
+        return sums.distinct()
+
+    rows = per_hour.select("hour", "task", "n")
+    several = rows.join(busiest(max(seeds, math.isqrt(2 * limit) + 2)), "task").select("hour", "task", "n")
+    few = rows.join(busiest(stars), "task").select("hour", "task", "n")
+    order = [F.desc("score"), F.asc("task1"), F.asc("task2")]
+
+    def last(pairs: DataFrame) -> DataFrame:
+        """The ``limit``-th best pair, if there are so many."""
+        best = pairs.orderBy(*order).limit(limit)
+        by_score = best.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("task1", "task2")).alias("names"))
+        return by_score.agg(F.sum("n").alias("found"), F.min(F.struct("score", "names")).alias("pair"))
+
+    first = last(scores(several, several))
+    floor = F.when(F.col("found") == limit, F.greatest(F.lit(min_count), F.col("pair.score"))).otherwise(F.lit(min_count))
+    known = first.select(floor.alias("floor")).scalar()
+    both = scores(several, several).unionByName(scores(few, rows)).distinct().where(F.col("score") >= known)
+    enough = (F.col("found") == limit) & (F.col("pair.score") >= min_count)
+    return last(both).select(
+        F.when(enough, F.col("pair.score")).otherwise(F.lit(min_count)).cast("long").alias("score"),
+        F.when(enough, F.col("pair.names.task1")).alias("task1"),
+        F.when(enough, F.col("pair.names.task2")).alias("task2"),
+    )
+
+
+def _reach(per_hour: DataFrame) -> DataFrame:
+    """(hour, task, reach, most): what the hours of a task up to this one, from the most to the least crowded, can add to a
+    score. ``reach`` is the sum of n * n (so a pair scores at most the root of the product of both), ``most`` the sum of n
+    times the greatest n of the hour."""
+    crowd = per_hour.groupBy("hour").agg(F.count(F.lit(1)).alias("crowd"), F.max("n").alias("top_n"))
+    order = Window.partitionBy("task").orderBy(F.desc("crowd"), "hour").rowsBetween(Window.unboundedPreceding, 0)
+    return salted_join(per_hour, crowd, ["hour"], ["task"]).select(
+        "hour", "task",
+        F.sum(F.col("n") * F.col("n")).over(order).alias("reach"),
+        F.sum(F.col("n") * F.col("top_n")).over(order).alias("most"),
+    )
+
+
+def _meeting(rows: DataFrame, threshold: DataFrame) -> DataFrame:
+    """(task1, task2): all pairs that can reach the threshold, found in the last hour that both share.
+
+    In that hour the product of their reaches is at least the threshold's square. So as not to build all pairs of the hour,
+    the different reaches of an hour are paired first, by classes a sixteenth of an octave wide, and tasks meet only where
+    theirs do. Pairs that can do no more than tie must come early by name: only tasks up to the threshold's look for them.
+    """
+    known = threshold.select(F.struct("score", "task1", "task2")).scalar()
+    score, name1, name2 = F.greatest(known["score"], F.lit(1)), known["task1"], known["task2"]
+    rows = rows.where(F.col("most") >= score).select("hour", "task", "reach")
+
+    def product(a: Column, b: Column) -> Column:
+        return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+    square = product(score, score)
+    tied_later = (product(F.col("reach1"), F.col("reach2")) == square) & name1.isNotNull()
+    octave = F.log2(F.col("reach").cast("double")) * 16
+    values = rows.select("hour", "reach").distinct()
+    low = F.greatest(F.lit(0), F.floor(F.log2(score.cast("double")) * 32 - octave) - 1)
+    larger = values.where(product(F.col("reach"), F.col("reach")) >= square).select(
+        "hour", F.col("reach").alias("reach1"), F.explode(F.sequence(F.least(low, F.floor(octave)), F.floor(octave))).alias("class")
+    )
+    smaller = values.select("hour", F.col("reach").alias("reach2"), F.floor(octave).alias("class"))
+    reaches = larger.join(smaller, ["hour", "class"]).where(
+        (F.col("reach1") >= F.col("reach2")) & (product(F.col("reach1"), F.col("reach2")) >= square) & ~tied_later
     )
-    found = best.agg(F.count(F.lit(1)).alias("pairs"), F.min("score").alias("score"))
-    return found.select(
-        F.when(F.col("pairs") == limit, F.greatest(lowest, F.col("score"))).otherwise(lowest).alias("floor")
+    left = rows.select("hour", F.col("task").alias("a"), F.col("reach").alias("reach1"))
+    right = rows.select("hour", F.col("task").alias("b"), F.col("reach").alias("reach2"))
+    meets = salted_join(left, reaches.select("hour", "reach1", "reach2"), ["hour", "reach1"], ["a"])
+    above = salted_join(meets, right, ["hour", "reach2"], ["a"]).where(F.col("a") != F.col("b"))
+
+    early = rows.where((F.col("task") <= name1) & (square % F.col("reach").cast("decimal(19,0)") == 0)).select(
+        "hour", F.col("task").alias("a"), (square / F.col("reach").cast("decimal(19,0)")).cast("long").alias("reach2")
+    )
+    in_time = (F.col("a") < name1) | ((F.col("a") == name1) & (F.col("b") <= name2))
+    ties = salted_join(right, early, ["hour", "reach2"], ["b"]).where((F.col("a") < F.col("b")) & in_time)
+    return (
+        above.select("a", "b")
+        .unionByName(ties.select("a", "b"))
+        .select(F.least("a", "b").alias("task1"), F.greatest("a", "b").alias("task2"))
+        .distinct()
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -160,6 +162,47 @@ def test_pairs_beyond_the_registered_bound(spark):
     assert [(-r["co_occurrence_count"], r["task1"], r["task2"]) for r in got] == correlated(rows)
 
 
+CROWDS = {
+    "all alike": lambda rng, i: 3,
+    "a few counts": lambda rng, i: rng.randrange(1, 6),
+    "a long tail": lambda rng, i: min(int(rng.paretovariate(0.9)), 400),
+    "one above all": lambda rng, i: 50 if i == 700 else 2,
+}
+
+
+@pytest.mark.parametrize("crowd", CROWDS)
+def test_a_crowded_hour_gives_few_candidates(spark, crowd):
+    """Thousands of tasks failing in one hour: the pairs scored stay near the limit, and the top is exact."""
+    rng, limit = random.Random(5), 2000
+    counts = [(f"d.t{i:04d}", CROWDS[crowd](rng, i)) for i in range(3000)]
+    rng.shuffle(counts)
+    per_hour = spark.createDataFrame([(T0, t, n) for t, n in counts], "hour timestamp, task string, n bigint")
+    threshold = failures._threshold(per_hour, 3, limit, 64)
+    candidates = failures._meeting(failures._reach(per_hour), threshold).collect()
+    assert limit <= len(candidates) <= 3 * limit
+    n = dict(counts)
+    least = heapq.nsmallest(limit, ((-n[a] * n[b], a, b) for a, b in itertools.combinations(sorted(n), 2)))
+    found = sorted((-n[r.task1] * n[r.task2], r.task1, r.task2) for r in candidates)
+    assert found[:limit] == least
+
+
+def test_crowded_hours_of_many_tasks(spark):
+    """Several hours, so that bounds are not the scores: still exact, and far from all pairs."""
+    rng, limit = random.Random(6), 500
+    rows = []
+    for hour in range(6):
+        for i in range(600):
+            n = min(int(rng.paretovariate(1.0)), 60)
+            if rng.random() < 0.7:
+                rows += [("d", f"t{i:03d}", T0 + timedelta(hours=hour, minutes=rng.randrange(60)))] * n
+    df = spark.createDataFrame(rows, "dag_id string, task_id string, start_date timestamp")
+    got = failures.error_correlation(df, as_of="2024-01-05", limit=limit).collect()
+    assert [(-r["co_occurrence_count"], r["task1"], r["task2"]) for r in got] == correlated(rows)[:limit]
+    per_hour = failures._failures_per_hour(df, "2024-01-05", 7)
+    threshold = failures._threshold(per_hour, 3, limit, 64)
+    assert failures._meeting(failures._reach(per_hour), threshold).count() < 20 * limit < 600 * 599 // 2
+
+
 def plan(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
