@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,11 +80,9 @@ def error_correlation(
     """Pairs of tasks failing in the same hour, counted as failures x failures per hour; exact top ``limit``.
 
     With n[a, h] failures of task a in hour h, a pair scores the sum over h of n[a, h] * n[b, h]. Not every pair of an
-    hour is built. The ``limit``-th best of the pairs scored so far is a threshold that the true top must reach; it is
-    raised in rounds, and only pairs whose bound reaches the last one are scored (``_meeting``):
-
-    * first by the pairs among the busiest tasks, ``seeds`` of them or as many as make ``limit`` pairs,
-    * then by all pairs of the few very busiest tasks with any other.
+    hour is built. The ``limit``-th best of the pairs scored so far is a threshold that the true top must reach
+    (``_threshold``; found at once, in a job or a few that return one row each), and only pairs whose bound reaches it are
+    scored (``_meeting``).
 
     With ``limit=None`` the threshold is ``min_count``, and there can be as many pairs as tasks fail together in an hour.
     """
@@ -114,49 +113,43 @@ def _failures_per_hour(task_fail: DataFrame, as_of: AsOf, analysis_days: int) ->
     )
 
 
-def _threshold(per_hour: DataFrame, min_count: int, limit: int | None, seeds: int, stars: int = 4) -> DataFrame:
-    """One row (score, task1, task2): a pair that counts scores more, or as much and does not come later by its names.
+@dataclass(frozen=True)
+class Threshold:
+    """A pair that counts scores more, or as much and does not come later by its names (no names: any of that score)."""
 
-    Null names: every pair of that score counts.
-    """
-    nobody = F.lit(None).cast("string")
-    if limit is None:
-        lowest = F.lit(min_count).cast("long").alias("score")
-        return per_hour.sparkSession.range(1).select(lowest, nobody.alias("task1"), nobody.alias("task2"))
+    score: int
+    task1: str | None = None
+    task2: str | None = None
+
+
+def _threshold(per_hour: DataFrame, min_count: int, limit: int | None, seeds: int, stars: int = 4, rounds: int = 3) -> Threshold:
+    """The ``limit``-th best of the pairs among the busiest tasks, as many as make ``limit`` pairs and ``seeds`` at least,
+    and of the pairs of the few very busiest with any other task. Each further round takes four times as many of both, until
+    enough pairs are found."""
+    if limit is None or limit < 1:
+        return Threshold(min_count)
     own = per_hour.groupBy("task").agg(F.sum(F.col("n") * F.col("n")).alias("own"))
+    rows = per_hour.select("hour", "task", "n")
 
     def busiest(count: int) -> DataFrame:
-        return own.orderBy(F.desc("own"), "task").limit(count).select("task")
+        return rows.join(own.orderBy(F.desc("own"), "task").limit(count).select("task"), "task").select("hour", "task", "n")
 
     def scores(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of a few tasks (so few rows of an hour) with others, over all their hours."""
         pairs = left.toDF("hour", "a", "na").join(right.toDF("hour", "b", "nb"), "hour").where(F.col("a") != F.col("b"))
-        names = F.least("a", "b").alias("task1"), F.greatest("a", "b").alias("task2")
-        # a pair of two of the few comes twice, once from each side
-        sums = pairs.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("score")).select("score", *names)
-        return sums.distinct()
+        sums = pairs.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("score"))
+        return sums.select("score", F.least("a", "b").alias("task1"), F.greatest("a", "b").alias("task2"))
 
-    rows = per_hour.select("hour", "task", "n")
-    several = rows.join(busiest(max(seeds, math.isqrt(2 * limit) + 2)), "task").select("hour", "task", "n")
-    few = rows.join(busiest(stars), "task").select("hour", "task", "n")
     order = [F.desc("score"), F.asc("task1"), F.asc("task2")]
-
-    def last(pairs: DataFrame) -> DataFrame:
-        """The ``limit``-th best pair, if there are so many."""
-        best = pairs.orderBy(*order).limit(limit)
+    for no in range(rounds):
+        several = busiest(4**no * max(seeds, math.isqrt(2 * limit) + 2))
+        scored = scores(several, several).unionByName(scores(busiest(4**no * stars), rows)).distinct()
+        best = scored.where(F.col("score") >= min_count).orderBy(*order).limit(limit)
         by_score = best.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("task1", "task2")).alias("names"))
-        return by_score.agg(F.sum("n").alias("found"), F.min(F.struct("score", "names")).alias("pair"))
-
-    first = last(scores(several, several))
-    floor = F.when(F.col("found") == limit, F.greatest(F.lit(min_count), F.col("pair.score"))).otherwise(F.lit(min_count))
-    known = first.select(floor.alias("floor")).scalar()
-    both = scores(several, several).unionByName(scores(few, rows)).distinct().where(F.col("score") >= known)
-    enough = (F.col("found") == limit) & (F.col("pair.score") >= min_count)
-    return last(both).select(
-        F.when(enough, F.col("pair.score")).otherwise(F.lit(min_count)).cast("long").alias("score"),
-        F.when(enough, F.col("pair.names.task1")).alias("task1"),
-        F.when(enough, F.col("pair.names.task2")).alias("task2"),
-    )
+        found, last = by_score.agg(F.sum("n"), F.min(F.struct("score", "names.*"))).first()
+        if found == limit:
+            return Threshold(*last)
+    return Threshold(min_count)
 
 
 def _reach(per_hour: DataFrame) -> DataFrame:
@@ -172,15 +165,15 @@ def _reach(per_hour: DataFrame) -> DataFrame:
     )
 
 
-def _meeting(rows: DataFrame, threshold: DataFrame) -> DataFrame:
+def _meeting(rows: DataFrame, threshold: Threshold) -> DataFrame:
     """(task1, task2): all pairs that can reach the threshold, found in the last hour that both share.
 
     In that hour the product of their reaches is at least the threshold's square. So as not to build all pairs of the hour,
     the different reaches of an hour are paired first, by classes a sixteenth of an octave wide, and tasks meet only where
     theirs do. Pairs that can do no more than tie must come early by name: only tasks up to the threshold's look for them.
     """
-    known = threshold.select(F.struct("score", "task1", "task2")).scalar()
-    score, name1, name2 = F.greatest(known["score"], F.lit(1)), known["task1"], known["task2"]
+    score = F.lit(max(1, threshold.score)).cast("long")
+    name1, name2 = F.lit(threshold.task1).cast("string"), F.lit(threshold.task2).cast("string")
     rows = rows.where(F.col("most") >= score).select("hour", "task", "reach")
 
     def product(a: Column, b: Column) -> Column:
@@ -203,10 +196,11 @@ def _meeting(rows: DataFrame, threshold: DataFrame) -> DataFrame:
     meets = salted_join(left, reaches.select("hour", "reach1", "reach2"), ["hour", "reach1"], ["a"])
     above = salted_join(meets, right, ["hour", "reach2"], ["a"]).where(F.col("a") != F.col("b"))
 
-    early = rows.where((F.col("task") <= name1) & (square % F.col("reach").cast("decimal(19,0)") == 0)).select(
+    # conditions on two columns at once stay above the window, so that the table is read once
+    early = rows.where(F.when(F.col("reach") > 0, F.col("task") <= name1) & (square % F.col("reach").cast("decimal(19,0)") == 0)).select(
         "hour", F.col("task").alias("a"), (square / F.col("reach").cast("decimal(19,0)")).cast("long").alias("reach2")
     )
-    in_time = (F.col("a") < name1) | ((F.col("a") == name1) & (F.col("b") <= name2))
+    in_time = F.struct("a", "b") <= F.struct(name1.alias("a"), name2.alias("b"))
     ties = salted_join(right, early, ["hour", "reach2"], ["b"]).where((F.col("a") < F.col("b")) & in_time)
     return (
         above.select("a", "b")

@@ -229,8 +229,11 @@ def test_scans_and_joins(spark, operator, source, scans):
 
 
 def test_correlation_and_heartbeats_share_their_shuffles(spark):
-    text = plan(failures.error_correlation(table(spark, SF, "task_fail"), as_of="2024-01-31", analysis_days=30))
-    assert len(re.findall(r"FileScan parquet", text)) == 1 and "CartesianProduct" not in text
+    for limit in (None, 5, 2000):
+        df = failures.error_correlation(table(spark, SF, "task_fail"), as_of="2024-01-31", analysis_days=30, limit=limit)
+        text = plan(df)
+        assert len(re.findall(r"FileScan parquet", text)) <= 1, (limit, text)
+    assert "CartesianProduct" not in text
     text = plan(scheduler.heartbeat_gaps(table(spark, SF, "job"), as_of="2024-01-31", analysis_days=30))
     assert len(re.findall(r"FileScan parquet", text)) == 2
 
