@@ -202,6 +202,7 @@ def _(t: Get):
     read = t("lineitem").select(file.alias("path")).unionByName(t("orders").select(file.alias("path")))
     rows = read.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
     given = t("lineitem")
+    checkpoint_folder(given.sparkSession)  # rounds of the listing are stored there
     listed = tables.file_inventory(given.sparkSession, os.path.dirname(given.inputFiles()[0]))
     listed = listed.select(F.element_at(F.split("path", "/"), -1).alias("path"), (F.col("size_bytes") > 0).alias("has_content"))
     return inventory.visible_files(listed).join(rows, "path")

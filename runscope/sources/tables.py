@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scale import salted_join
+from .listing import list_tree
 from .schemas import SCHEMAS, schema_of
 
 # fixed values: schemas tried in this order when a table name has none
@@ -184,14 +185,7 @@ def require_found(found: DataFrame) -> DataFrame:
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative to ``folder``) and size_bytes of all files below it; contents are not read.
 
-    The driver lists the folder through the file system's own iterator, because Spark's file sources leave out names
-    that begin with an underscore or a dot. Which names count is up to ``inventory.visible_files``.
+    Spark's file sources leave out names that begin with an underscore or a dot, so the tree is listed by ``list_tree``,
+    in tasks. Which names count is up to ``inventory.visible_files``.
     """
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = system.makeQualified(top).toString().rstrip("/") + "/"
-    files, rows = system.listFiles(top, True), []
-    while files.hasNext():
-        status = files.next()
-        rows.append((status.getPath().toString().removeprefix(root), status.getLen()))
-    return spark.createDataFrame(rows, "path string, size_bytes bigint")
+    return list_tree(spark, folder)

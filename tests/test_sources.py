@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runscope.operators import inventory
-from runscope.sources import export, schemas, tables
+from runscope.sources import export, listing, schemas, tables
 
 from .conftest import as_dicts
 
@@ -72,6 +72,30 @@ def test_file_inventory(spark, tmp_path):
     assert {r["path"]: r["size_bytes"] for r in seen} == {"a.py": 3, "sub/b.csv": 5, "__init__.py": 1, "_lib/_private.py": 2}
 
 
+@pytest.mark.parametrize("budget", [50, 1_000_000])
+def test_a_large_tree_is_listed_in_rounds(spark, tmp_path, budget):
+    """10,000 files, deep and wide, hidden names among them; the same whatever a task may walk in one round."""
+    names = [f"{'/'.join(f'{p}{i % k}' for p, k in (('a', 7), ('_b', 5), ('.c', 3)))}/f{i}.py" for i in range(9_000)]
+    names += [f"wide/_{i}.txt" for i in range(900)] + ["/".join(["deep"] * d) + "/x.py" for d in range(1, 101)]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * (len(name) % 5))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "a0" / "loop").symlink_to(tmp_path)
+    rows = listing.list_tree(spark, str(tmp_path), budget=budget).collect()
+    assert sorted((r.path, r.size_bytes) for r in rows) == sorted((n, len(n) % 5) for n in names)
+
+
+def test_listing_what_is_not_there(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        listing.list_tree(spark, str(tmp_path / "none"))
+    assert listing.list_tree(spark, str(tmp_path)).count() == 0
+    assert {r.path for r in listing._by_driver(spark, "/root/testdata/sf0.001").collect()} == {
+        r.path for r in listing.list_tree(spark, "/root/testdata/sf0.001").collect()
+    }
+
+
 def test_window_by_type(spark):
     days = ["2024-01-01", "2024-01-02", "2024-01-03 10:00:00"]
     df = spark.createDataFrame([(d,) for d in days], "text string").select(
