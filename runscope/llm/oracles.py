@@ -61,10 +61,12 @@ line AS (SELECT r, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws
     FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 counted AS (SELECT r, l, len(ws) AS n, length(array_to_string(ws, '')) AS chars,
     length(regexp_replace(l, '[^\pL\pN]', '', 'g')) AS letters,
+    list_sum(list_transform(regexp_extract_all(regexp_replace(l, '[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]', '*', 'g'),
+        '[\pL\pN][\p{Mn}\p{Mc}]+'), lambda m: length(m) - 1)) AS marks,
     len(list_filter(ws, lambda x: x IN ('|', '||', '>', '>>', '<', '<<', '»', '«', '›', '‹', '•', '·', '::', '/', '→', '←'))) AS separators
     FROM line WHERE len(ws) > 0),
 judged AS (SELECT r, l, chars, letters = 0
-    OR (chars >= 20 AND chars - letters > CAST(0.3 AS DOUBLE) * chars)
+    OR (chars >= 20 AND chars - letters - coalesce(marks, 0) > CAST(0.3 AS DOUBLE) * chars)
     OR (separators >= 3 AND separators >= CAST(0.15 AS DOUBLE) * n)
     OR (n <= 40 AND regexp_matches(lower(l), 'all rights reserved|cookie policy|accept cookies|we use cookies|privacy policy|'
         || 'terms of service|terms of use|terms and conditions|enable javascript|javascript is disabled|click here|'

@@ -90,8 +90,9 @@ _ONE = "|".join(sorted(SPELLED, key=len, reverse=True))
 _BETWEEN = r"[\x20,;-]{1,2}"
 _RUN = re.compile(rf"(?i)\b(?:(?:{_ONE}){_BETWEEN}(?:[0-9]+{_BETWEEN})*){{2,}}(?:{_ONE})\b")
 _IN_RUN = re.compile(rf"(?i){_ONE}|[0-9]+")
-_BRACKETED_AT = re.compile(rf"(?i)\x20*[\[({{<]\x20*(?:{_AT}|@)\x20*[\])}}>]\x20*")
-_BRACKETED_DOT = re.compile(rf"(?i)\x20*[\[({{<]\x20*(?:{_DOT}|\.)\x20*[\])}}>]\x20*")
+# a match begins at the first of a run of spaces, which keeps long runs linear
+_BRACKETED_AT = re.compile(rf"(?i)(?<!\x20)\x20*[\[({{<]\x20*(?:{_AT}|@)\x20*[\])}}>]\x20*")
+_BRACKETED_DOT = re.compile(rf"(?i)(?<!\x20)\x20*[\[({{<]\x20*(?:{_DOT}|\.)\x20*[\])}}>]\x20*")
 _PLAIN_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+(?:{_DOT})\x20+(?=[a-z0-9])")
 _PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+(?:{_AT})\x20+(?=([a-z0-9-]+(?:\.[a-z0-9-]+)+)(/?))")
 _PLUS = re.compile(r"(?i)\bplus\x20+(?=[0-9])")
@@ -101,6 +102,39 @@ _AN_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20")
 # a plain domain after a plain "at": its last label is of letters ("at 3.5", "at noon.Then"), it is no web address
 _MAIL_DOMAIN = re.compile(r"(?!(?i:www)\.)[A-Za-z0-9.-]+\.(?:[a-z]{2,}|[A-Z]{2,})-*")
 
+# what speaks for an address where "at" and the domain are plain: a local part that is no word, a cue before it, or a line that
+# begins with it and holds nothing else, or does not begin like a sentence; "arroba" speaks for itself
+_NO_WORD = re.compile(r"(?=.{5})[A-Za-z][A-Za-z]*(?:[0-9_%+]|\.[A-Za-z0-9])[A-Za-z0-9._%+-]*")
+_CUE = re.compile(
+    r"(?i)(?<![a-z])(?:e-?mail|mail|mailto|contact|write|courriel|correo|kontakt|address|adresse|e-?mail-adresse)"
+    r"(?:\x20(?:is|to|address|es|est|ist|a|an|à))?[\x20:]{1,3}\Z"
+)
+_ALONE_BEFORE = re.compile(r"(?:\A|[\n;|<(\[])[\x20\t]{0,8}\Z")
+_ALONE_AFTER = re.compile(r"[\x20\t]{0,8}(?:\Z|[\n;|>)\]])")
+#: Words that stand before "at" in plain sentences.
+_COMMON = frozenset(
+    "a about all am and are arrive arrived available back be been buy by book call click down everyone find found from get go had has "
+    "have he hello help her here him his home hosted i information is it join joined just learn live lived lives located look looked "
+    "looking made me meet meeting met more my new news not now of off office on online only open or order our out over page people "
+    "posted read read see seen selling she shop shopping site sold someone start started stay stop store talk team that the their them "
+    "there they this those time to today tomorrow up us visit was we website were when where work worked working works you your".split()
+)
+
+
+def _is_address(text: str, at: int, domain: re.Match) -> bool:
+    """Whether a word before a plain "at" (that begins at ``at``) and a plain domain are meant as an address."""
+    local = _LOCAL.search(text, max(0, at - 64), at)
+    if not local or domain[2] or not _MAIL_DOMAIN.fullmatch(domain[1]):
+        return False
+    if _NO_WORD.fullmatch(local[0]) or "arroba" in domain[0].lower():
+        return True
+    if local[0].lower() in _COMMON:
+        return False
+    before = text[max(0, local.start() - 40) : local.start()]
+    alone = _ALONE_BEFORE.search(before) and (len(before) == local.start() or before.strip("\x20\t"))
+    no_sentence = local[0][0].islower() or domain[1].isupper()
+    return bool(_CUE.search(before) or alone and (no_sentence or _ALONE_AFTER.match(text, domain.end(1))))
+
 
 @lru_cache(None)
 def homoglyphs() -> tuple[dict[int, str], re.Pattern]:
@@ -193,7 +227,8 @@ def rewrite(text: str) -> Rewritten | None:
         out.apply([(*m.span(), ".") for m in _PLAIN_DOT.finditer(out.text)])
     if _AN_AT.search(out.text):
         found = _PLAIN_AT.finditer(out.text)
-        out.apply([(*m.span(), "@") for m in found if out.touched(*m.span(1)) or _MAIL_DOMAIN.fullmatch(m[1]) and not m[2]])
+        text = out.text
+        out.apply([(*m.span(), "@") for m in found if out.touched(*m.span(1)) or _is_address(text, m.start(), m)])
     if "plu" in out.text.lower():
         out.apply([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     return out if out.edits else None
