@@ -191,10 +191,23 @@ def pack(pieces: DataFrame, key: Sequence[str], limits: Limits = Limits()) -> Da
 
     ``pieces`` has length and loss_tokens, and ``key`` columns that tell its rows apart; rows that are alike in all of
     them are interchangeable. Groups are dealt by the hash of the key, their number follows the number of rows, and
-    the last sequence of a group may stay part empty. ``pieces`` should be a stored table, as it is counted first.
+    the last sequence of a group may stay part empty. Rows of one key that would fill more than a group are dealt over as
+    many groups as they need, by their places in the table. ``pieces`` must be a stored table, as it is counted first.
     """
     groups = max(1, -(-pieces.count() // limits.group))
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    home = F.pmod(F.xxhash64(*key), F.lit(groups))
+    hashed = pieces.select(F.xxhash64(*key).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    # bounded: fewer than there are groups
+    hot = {r["_hash"]: -(-r["n"] // limits.group) for r in hashed.where(F.col("n") > limits.group).collect()}
+    if hot:
+        spread = pieces.sparkSession.createDataFrame(list(hot.items()), "hash bigint, parts bigint")
+        # which of rows that are all alike goes where does not matter; a stored table numbers them alike on a retry
+        rows = pieces.select(F.struct("*").alias("row"), F.xxhash64(*key).alias("hash"), home.alias("home"))
+        part = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))
+        rows = rows.join(F.broadcast(spread), "hash", "left").withColumn("part", part)
+        grouped = rows.select("row.*", F.pmod(F.col("home") + F.col("part"), F.lit(groups)).alias("_group"))
+    else:
+        grouped = pieces.withColumn("_group", home)
     capacity = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
     schema = pieces.drop("sequence_id", "offset").schema.add("sequence_id", "long").add("offset", "long")
     names = schema.fieldNames()

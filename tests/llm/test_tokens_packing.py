@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -211,6 +213,49 @@ def test_pack_sizes_keeps_all_limits():
         v.pack_sizes(np.array([[101.0, 1, 0]]), capacity)
 
 
+def slow_pack(sizes, capacity):
+    """The heuristic row by row: of all pieces that fit, the one of the greatest dot product of size and room."""
+    weight = sizes.sum(axis=0) / capacity
+    weight = weight / weight.sum() / capacity**2
+    waiting, bins, places, current = list(range(len(sizes))), {}, {}, 0
+    while waiting:
+        room, place = capacity.copy(), 0
+        while room[0] > 0:
+            fits = [i for i in waiting if (sizes[i] <= room).all()]
+            if not fits:
+                break
+            # ties: large first by tokens, then segments, then loss, then the order given
+            best = max(fits, key=lambda i: (round(float((weight * room * sizes[i]).sum()), 12), *sizes[i], -i))
+            waiting.remove(best)
+            bins[best], places[best] = current, place
+            room, place = room - sizes[best], place + 1
+        current += 1
+    return [bins[i] for i in range(len(sizes))], [places[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_sizes_against_a_plain_loop(seed):
+    r = np.random.default_rng(seed)
+    capacity = np.array([64.0, 5.0, 24.0])
+    tokens = r.integers(1, 65, 120)
+    sizes = np.column_stack([tokens, np.ones(120), np.minimum(r.integers(0, 25, 120), tokens)]).astype(float)
+    bins, places = v.pack_sizes(sizes, capacity)
+    assert (bins.tolist(), places.tolist()) == slow_pack(sizes, capacity)
+
+
+def test_rows_of_one_key_are_dealt_over_groups(spark, tmp_path):
+    """Copies with one id, or with none: no group holds many times its size."""
+    rows = [(None, 0, 7, 20)] * 900 + [(5, 0, 9, 30)] * 400 + [(i, 0, i, 1 + i % 40) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, start bigint, ids_crc32 bigint, length bigint")
+    df.selectExpr("*", "length AS loss_tokens", "1 AS _parts").write.parquet(str(tmp_path / "pieces"))
+    limits = v.Limits(tokens=64, segments=8, loss_tokens=64, group=100)
+    stored = spark.read.parquet(str(tmp_path / "pieces"))
+    packed = v.pack(stored, ["doc_id", "start", "ids_crc32"], limits).collect()
+    assert Counter((r.doc_id, r.length) for r in packed) == Counter((r[0], r[3]) for r in rows)
+    check_packing(packed, limits)
+    assert max(Counter(r.sequence_id >> 32 for r in packed).values()) <= 4 * limits.group
+
+
 def test_packing_instruction_examples(spark):
     """The packer takes any table of sizes: here examples whose answers alone bear loss."""
     limits = v.Limits(tokens=64, segments=3, loss_tokens=20, group=50)
