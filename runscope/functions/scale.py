@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sketches import SKETCH, quantile_of
 
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "inner", salts: int = 16
@@ -118,6 +119,9 @@ def top_with_percentiles(
     statistics and Spark computes them once.
     """
     keys = list(keys)
+    if SKETCH in stats.columns:
+        marks = {name: quantile_of(SKETCH, p) for name, p in wanted.items()}
+        return top_rows(stats, order, limit).withColumns(marks).drop(SKETCH)
     if limit is None:
         return with_percentiles(stats, source, keys, value, wanted).orderBy(*order)
     rest = [F.asc(c) for c in stats.columns if c not in keys]
@@ -190,12 +194,13 @@ def interval_load(spans: DataFrame, window_start: Column, window_end: Column, wi
 def with_previous(df: DataFrame, key: str, ts: str, value: str, into: str, slice_seconds: int = 86_400) -> DataFrame:
     """Adds ``into``: ``value`` of the row before (same key, by ``ts``), null for a key's first row.
 
-    Works in time slices like ``sliced_gaps``; the first row of each slice gets the last value of the slice before.
+    Works in time slices like ``sliced_gaps``; the first row of each slice gets the last value of the slice before. Rows
+    of one time are taken in the order of ``value``.
     """
     sliced = df.withColumn("_slice", F.floor(F.unix_seconds(ts) / F.lit(slice_seconds)))
-    order = Window.partitionBy(key, "_slice").orderBy(ts)
+    order = Window.partitionBy(key, "_slice").orderBy(ts, value)
     inside = sliced.withColumn("_no", F.row_number().over(order)).withColumn(into, F.lag(value).over(order))
-    last = sliced.groupBy(key, "_slice").agg(F.max_by(value, ts).alias("_last"))
+    last = sliced.groupBy(key, "_slice").agg(F.max_by(F.struct(value), F.struct(ts, value))[value].alias("_last"))
     before = last.select(key, "_slice", F.lag("_last").over(Window.partitionBy(key).orderBy("_slice")).alias("_before"))
     first = inside.where(F.col("_no") == 1).drop(into)
     first = first.join(before.withColumnRenamed("_before", into), [key, "_slice"], "left")

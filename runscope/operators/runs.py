@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label, labels_that_hold, percent, ratio
 from ..functions.scale import exact_percentiles, interval_load, top_rows, top_with_percentiles
+from ..functions.sketches import distinct_count, quantile_of, sketched
 from ..functions.timeexpr import (
     AsOf,
     day_of_week,
@@ -101,14 +102,19 @@ def average_success_rate(performance: DataFrame) -> DataFrame:
     )
 
 
-def hourly_traffic(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
-    """Traffic per hour of day; the means run over the (hour, weekday) cells that have runs."""
+def hourly_traffic(
+    dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7, approximate_distinct: float | None = None
+) -> DataFrame:
+    """Traffic per hour of day; the means run over the (hour, weekday) cells that have runs.
+
+    ``approximate_distinct`` allows a relative error in the count of workflows of a cell.
+    """
     cells = (
         dag_run.where(in_window("execution_date", as_of, analysis_days))
         .groupBy(hour_of_day("execution_date").alias("hour_of_day"), day_of_week("execution_date").alias("day_of_week"))
         .agg(
             F.count(F.lit(1)).alias("dag_runs"),
-            F.countDistinct("dag_id").alias("unique_dags"),
+            distinct_count("dag_id", approximate_distinct).alias("unique_dags"),
             F.avg(_runtime()).alias("avg_seconds"),
         )
     )
@@ -197,9 +203,18 @@ def _start_lag(dag_run: DataFrame, as_of: AsOf, analysis_days: int) -> DataFrame
 
 
 def schedule_drift(
-    dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7, min_avg_seconds: float = 60.0, limit: int | None = 30
+    dag_run: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    min_avg_seconds: float = 60.0,
+    limit: int | None = 30,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Start minus schedule time of runs that started, worst average first."""
+    """Start minus schedule time of runs that started, worst average first.
+
+    ``approximate`` allows a rank error (a share of the rows of a key) and takes the percentiles from sketches, in one pass.
+    """
     lags = _start_lag(dag_run, as_of, analysis_days).where(F.col("state").isin("success", "failed", "running"))
     stats = (
         lags.groupBy("dag_id")
@@ -211,6 +226,7 @@ def schedule_drift(
             F.round(F.stddev_samp("lag"), 2).alias("stddev_drift_seconds"),
             F.count_if(F.col("lag") > 300).alias("runs_delayed_5min"),
             F.count_if(F.col("lag") > 3600).alias("runs_delayed_1hour"),
+            *sketched("lag", approximate),
         )
         .where(F.col("mean") > min_avg_seconds)
     )
@@ -232,9 +248,18 @@ def schedule_drift(
 
 
 def scheduling_delay(
-    dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7, min_avg_seconds: float = 30.0, limit: int | None = 30
+    dag_run: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    min_avg_seconds: float = 30.0,
+    limit: int | None = 30,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Start minus schedule time over all states, with median and share of late runs."""
+    """Start minus schedule time over all states, with median and share of late runs.
+
+    ``approximate`` allows a rank error (a share of the rows of a key) and takes the percentiles from sketches, in one pass.
+    """
     lags = _start_lag(dag_run, as_of, analysis_days)
     stats = (
         lags.groupBy("dag_id")
@@ -244,6 +269,7 @@ def scheduling_delay(
             F.round(F.max("lag"), 2).alias("max_lag_seconds"),
             F.count_if(F.col("lag") > 300).alias("runs_with_5min_lag"),
             F.count_if(F.col("lag") > 3600).alias("runs_with_1hour_lag"),
+            *sketched("lag", approximate),
         )
         .where(F.col("mean") > min_avg_seconds)
     )
@@ -264,9 +290,17 @@ def scheduling_delay(
     )
 
 
-def _load_summary(spans: DataFrame, as_of: AsOf, analysis_days: int) -> DataFrame:
+def _load_summary(spans: DataFrame, as_of: AsOf, analysis_days: int, approximate: float | None) -> DataFrame:
     load = interval_load(spans, days_before(as_of, analysis_days), timestamp_lit(as_of), analysis_days + 1)
-    spread = load.where(F.col("load") > 0).groupBy("load").agg(F.count(F.lit(1)).alias("n"))
+    load = load.where(F.col("load") > 0)
+    if approximate is not None:
+        return load.agg(
+            F.max("load").alias("peak"),
+            F.avg("load").alias("mean"),
+            F.count(F.lit(1)).alias("sample_points"),
+            *sketched("load", approximate),
+        ).select("peak", "mean", "sample_points", *[quantile_of("_sketch", p).alias(f"p{round(100 * p)}") for p in (0.95, 0.99)])
+    spread = load.groupBy("load").agg(F.count(F.lit(1)).alias("n"))
     totals = spread.agg(
         F.max("load").alias("peak"),
         (F.sum(F.col("load") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -277,12 +311,17 @@ def _load_summary(spans: DataFrame, as_of: AsOf, analysis_days: int) -> DataFram
     return rows.agg(*[F.max(c).alias(c) for c in ("peak", "mean", "sample_points", "p95", "p99")])
 
 
-def run_concurrency(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
-    """Peak, mean, p95 and p99 of runs open at the starts and ends inside the window (one row)."""
+def run_concurrency(
+    dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7, approximate: float | None = None
+) -> DataFrame:
+    """Peak, mean, p95 and p99 of runs open at the starts and ends inside the window (one row).
+
+    ``approximate`` allows a rank error (a share of the time points) and takes the percentiles from a sketch.
+    """
     spans = dag_run.select(
         F.col("start_date").alias("start"), F.col("end_date").alias("end"), F.col("dag_id").isNotNull().alias("counted")
     )
-    return _load_summary(spans, as_of, analysis_days).select(
+    return _load_summary(spans, as_of, analysis_days, approximate).select(
         F.col("peak").alias("max_concurrent_dags"),
         F.col("mean").alias("avg_concurrent_dags"),
         F.col("p95").alias("p95_concurrent_dags"),
@@ -290,13 +329,15 @@ def run_concurrency(dag_run: DataFrame, *, as_of: AsOf, analysis_days: int = 7)
     )
 
 
-def task_concurrency(task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7) -> DataFrame:
+def task_concurrency(
+    task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7, approximate: float | None = None
+) -> DataFrame:
     """The same for tasks: time points of all states, load of running and queued ones only."""
     is_open = F.coalesce(F.col("state").isin("running", "queued"), F.lit(False)) & F.col("task_id").isNotNull()
     spans = task_instance.select(
         F.col("start_date").alias("start"), F.col("end_date").alias("end"), is_open.alias("counted")
     )
-    return _load_summary(spans, as_of, analysis_days).select(
+    return _load_summary(spans, as_of, analysis_days, approximate).select(
         F.col("peak").alias("max_concurrent_tasks"),
         F.col("mean").alias("avg_concurrent_tasks"),
         F.col("p95").alias("p95_concurrent_tasks"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import first_label, percent, ratio
 from ..functions.scale import top_rows, top_with_percentiles
+from ..functions.sketches import distinct_count, sketched
 from ..functions.timeexpr import AsOf, days_before, hours_between, in_window, seconds_between, timestamp_lit
 
 TASK = ["dag_id", "task_id"]
@@ -26,9 +27,18 @@ def successful_durations(task_instance: DataFrame, as_of: AsOf, analysis_days: i
 
 
 def task_duration_trends(
-    task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7, min_count: int = 5, limit: int | None = 30
+    task_instance: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    min_count: int = 5,
+    limit: int | None = 30,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Duration statistics per task and the change from the older to the recent half of the window."""
+    """Duration statistics per task and the change from the older to the recent half of the window.
+
+    ``approximate`` allows a rank error (a share of the rows of a key) and takes the percentiles from sketches, in one pass.
+    """
     durations = successful_durations(task_instance, as_of, analysis_days)
     split = days_before(as_of, analysis_days // 2)
     recent = F.to_date("start_date") >= F.to_date(split)
@@ -42,6 +52,7 @@ def task_duration_trends(
             F.round(F.max("seconds"), 2).alias("max_duration_seconds"),
             F.avg(F.when(recent, F.col("seconds"))).alias("recent"),
             F.avg(F.when(~recent, F.col("seconds"))).alias("old"),
+            *sketched("seconds", approximate),
         )
         .where((F.col("execution_count") >= min_count) & F.col("recent").isNotNull() & F.col("old").isNotNull())
         .withColumn("change", ratio(F.col("recent") - F.col("old"), "old"))
@@ -80,15 +91,23 @@ def duration_trend_status(trends: DataFrame) -> DataFrame:
 
 
 def task_retry_patterns(
-    task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7, limit: int | None = 30
+    task_instance: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    limit: int | None = 30,
+    approximate_distinct: float | None = None,
 ) -> DataFrame:
-    """Retries per task; the retry rate is per attempt, the failure rate per run."""
+    """Retries per task; the retry rate is per attempt, the failure rate per run.
+
+    ``approximate_distinct`` allows a relative error in the count of runs.
+    """
     stats = (
         task_instance.where(in_window("start_date", as_of, analysis_days))
         .groupBy(*TASK)
         .agg(
             F.count(F.lit(1)).alias("total_attempts"),
-            F.countDistinct("run_id").alias("unique_runs"),
+            distinct_count("run_id", approximate_distinct).alias("unique_runs"),
             F.count_if(F.col("try_number") > 1).alias("retry_attempts"),
             F.max("try_number").alias("max_retries"),
             F.count_if(F.col("state") == "success").alias("success_count"),
@@ -124,9 +143,18 @@ def queue_depth(task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7
 
 
 def executor_queue_lag(
-    task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7, min_count: int = 5, limit: int | None = 30
+    task_instance: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    min_count: int = 5,
+    limit: int | None = 30,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Queue-to-start time of tasks that started, slowest average first."""
+    """Queue-to-start time of tasks that started, slowest average first.
+
+    ``approximate`` allows a rank error (a share of the rows of a key) and takes the percentiles from sketches, in one pass.
+    """
     lags = (
         task_instance.where(
             in_window("start_date", as_of, analysis_days) & F.col("state").isin("success", "failed", "running")
@@ -141,6 +169,7 @@ def executor_queue_lag(
             F.avg("lag").alias("mean"),
             F.round(F.min("lag"), 2).alias("min_queue_lag_seconds"),
             F.round(F.max("lag"), 2).alias("max_queue_lag_seconds"),
+            *sketched("lag", approximate),
         )
         .where(F.col("task_count") >= min_count)
     )
@@ -159,9 +188,18 @@ def executor_queue_lag(
 
 
 def queued_duration(
-    task_instance: DataFrame, *, as_of: AsOf, analysis_days: int = 7, min_avg_seconds: float = 10.0, limit: int | None = 30
+    task_instance: DataFrame,
+    *,
+    as_of: AsOf,
+    analysis_days: int = 7,
+    min_avg_seconds: float = 10.0,
+    limit: int | None = 30,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Time in the queue of any state, by the time the task was queued."""
+    """Time in the queue of any state, by the time the task was queued.
+
+    ``approximate`` allows a rank error (a share of the rows of a key) and takes the percentiles from sketches, in one pass.
+    """
     waits = (
         task_instance.where(in_window("queued_dttm", as_of, analysis_days))
         .select(*TASK, seconds_between("start_date", "queued_dttm").alias("wait"))
@@ -175,6 +213,7 @@ def queued_duration(
             F.round(F.max("wait"), 2).alias("max_queue_seconds"),
             F.count_if(F.col("wait") > 60).alias("queued_over_1min"),
             F.count_if(F.col("wait") > 300).alias("queued_over_5min"),
+            *sketched("wait", approximate),
         )
         .where(F.col("mean") > min_avg_seconds)
     )
