@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runscope.operators import identity, rbac
 
 from .bindings import RBAC
-from .register import EVENTS_AS_OF, Get, big, query
+from .register import EVENTS_AS_OF, Get, big, checkpoint_folder, query
 
 NOW = f"TIMESTAMP '{EVENTS_AS_OF}'"
 
@@ -253,7 +253,8 @@ SELECT u.username, COALESCE(c.app_role, r.name) AS role_name
 FROM ab_user u JOIN ab_user_role ur ON ur.user_id = u.id JOIN ab_role r ON r.id = ur.role_id
 LEFT JOIN custom c ON c.username = u.username""")
 def _(t: Get):
-    after = rbac.provision_batch(_tables(t), t("logins"), t("group_map"), as_of=EVENTS_AS_OF)
+    checkpoint_folder(t("logins").sparkSession)
+    after = rbac.provision_batch(_tables(t), t("logins"), t("group_map"), as_of=EVENTS_AS_OF, settle=True)
     tables = {"ab_user": after.ab_user, "ab_role": after.ab_role, "ab_user_role": after.ab_user_role}
     return rbac.user_roles(tables)
 
@@ -263,7 +264,8 @@ SELECT {big("permission_view_id")} AS permission_view_id FROM (
   SELECT permission_view_id FROM base WHERE role_name = 'User' UNION SELECT permission_view_id FROM dag_views
   UNION SELECT permission_view_id FROM menu)""")
 def _(t: Get):
-    after = rbac.provision_batch(_tables(t), t("logins"), t("group_map"), as_of=EVENTS_AS_OF)
+    checkpoint_folder(t("logins").sparkSession)
+    after = rbac.provision_batch(_tables(t), t("logins"), t("group_map"), as_of=EVENTS_AS_OF, settle=True)
     added = after.ab_role.where(F.col("name") == "Restricted").select(F.col("id").alias("role_id"))
     return after.ab_permission_view_role.join(added, "role_id").select("permission_view_id")
 

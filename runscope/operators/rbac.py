@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import salted_join, with_row_numbers
 from ..functions.text import group_list
 from ..functions.timeexpr import AsOf, timestamp_lit
+from ..plans.settle import settled
 
 Tables = Mapping[str, DataFrame]
 
@@ -259,18 +260,33 @@ class RoleChanges(NamedTuple):
     rejected: DataFrame
 
 
-def replace_user_role(tables: Tables, targets: DataFrame) -> RoleChanges:
-    """Gives each user of ``targets`` (username, role_name) exactly that role."""
+class Granted(NamedTuple):
+    """The only role of each user named (user_id, role_id), and the requests whose role or user is unknown."""
+
+    links: DataFrame
+    rejected: DataFrame
+
+
+def granted_roles(tables: Tables, targets: DataFrame) -> Granted:
+    """The roles that ``targets`` (username, role_name) give; of several for one user the first by name."""
     roles = tables["ab_role"].select(F.col("name").alias("role_name"), F.col("id").alias("role_id"))
     users = tables["ab_user"].select("username", F.col("id").alias("user_id"))
     asked = targets.groupBy("username").agg(F.min("role_name").alias("role_name"))
     resolved = salted_join(asked.join(users, "username", "left"), roles, ["role_name"], ["username"], "left")
     is_known = F.col("role_id").isNotNull() & F.col("user_id").isNotNull()
-    granted = resolved.where(is_known).select("user_id", "role_id")
-    links = tables["ab_user_role"].select("user_id", "role_id")
-    untouched = salted_join(links, granted.select("user_id"), ["user_id"], ["role_id"], "left_anti")
     rejected = resolved.where(~is_known).select("username", "role_name")
-    return RoleChanges(untouched.unionByName(granted).distinct(), rejected)
+    return Granted(resolved.where(is_known).select("user_id", "role_id"), rejected)
+
+
+def replace_user_role(tables: Tables, targets: DataFrame) -> RoleChanges:
+    """Gives each user of ``targets`` (username, role_name) exactly that role."""
+    return _with_links(tables, granted_roles(tables, targets))
+
+
+def _with_links(tables: Tables, granted: Granted) -> RoleChanges:
+    links = tables["ab_user_role"].select("user_id", "role_id")
+    untouched = salted_join(links, granted.links.select("user_id"), ["user_id"], ["role_id"], "left_anti")
+    return RoleChanges(untouched.unionByName(granted.links).distinct(), granted.rejected)
 
 
 def group_to_role(
@@ -306,17 +322,15 @@ def needs_custom_role(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn("needs_custom_role", ~F.col("app_role").isin(*STANDARD_ROLES))
 
 
-class Provisioning(NamedTuple):
-    """All tables after a batch of logins, plus the rejected role changes."""
+class Provisioned(NamedTuple):
+    """What a batch of logins changes: roles and permissions to add, users to add or replace, and the links of users."""
 
-    ab_role: DataFrame
-    ab_permission_view_role: DataFrame
-    ab_user: DataFrame
-    ab_user_role: DataFrame
-    rejected: DataFrame
+    new: NewRoles
+    users: UserChanges
+    granted: Granted
 
 
-def provision_batch(
+def provision_changes(
     tables: Tables,
     logins: DataFrame,
     group_map: DataFrame,
@@ -324,27 +338,57 @@ def provision_batch(
     as_of: AsOf,
     source_role: str = "User",
     unknown_source: str = "reject",
-) -> Provisioning:
+    settle: bool = False,
+) -> Provisioned:
     """Roles, users and role links for a table of logins (user_id, username, groups) that need a custom role.
 
     Where mappings to one role name different workflows, the role gets the list of the mapping with the lowest
     precedence among the logins (then of the smallest user), as its first login would. Logins whose role cannot be made
-    are rejected.
+    are rejected. Each step builds on the one before; ``settle`` computes each once and keeps its rows in the checkpoint
+    folder, instead of planning all before it again in each result.
     """
+    keep = settled if settle else lambda df: df
     assigned = needs_custom_role(_first_mapping(logins, group_map, "", DEFAULT_ROLE)).where("needs_custom_role")
-    who = logins.select("user_id", "username").distinct().join(assigned, "user_id")
+    who = keep(logins.select("user_id", "username").distinct().join(assigned, "user_id"))
     requests = who.groupBy(F.col("app_role").alias("role_name")).agg(
         F.lit(source_role).alias("source_role"),
         F.min_by("specific_dags", F.struct("precedence", "user_id")).alias("specific_dags"),
     )
     new = derive_roles(tables, requests, menu_mode="with_dags", unknown_source=unknown_source)
-    roles = tables["ab_role"].select("id", "name").unionByName(new.roles)
-    links = tables["ab_permission_view_role"].select("permission_view_id", "role_id").unionByName(new.permissions)
+    new = new._replace(roles=keep(new.roles))
     name = F.col("username")
     people = who.select(
         "username", F.lit(None).cast("string").alias("email"), name.alias("first_name"), name.alias("last_name")
     )
-    users = users_after(tables, upsert_users(tables, people, as_of=as_of, safe_email=False))
-    after = {**tables, "ab_role": roles, "ab_permission_view_role": links, "ab_user": users}
-    change = replace_user_role(after, who.select("username", F.col("app_role").alias("role_name")))
-    return Provisioning(roles, links, users, change.user_roles, change.rejected)
+    users = upsert_users(tables, people, as_of=as_of, safe_email=False)
+    users = users._replace(inserts=keep(users.inserts))
+    roles = tables["ab_role"].select("id", "name").unionByName(new.roles)
+    # ids and names are enough here; a changed user keeps both
+    known = tables["ab_user"].select("id", "username").unionByName(users.inserts.select("id", "username"))
+    after = {**tables, "ab_role": roles, "ab_user": known}
+    targets = who.select("username", F.col("app_role").alias("role_name"))
+    granted = granted_roles(after, targets)
+    return Provisioned(new, users, granted._replace(links=keep(granted.links)))
+
+
+class Provisioning(NamedTuple):
+    """All tables after a batch of logins, plus the rejected role changes."""
+
+    ab_role: DataFrame
+    ab_permission_view_role: DataFrame
+    ab_user: DataFrame
+    ab_user_role: DataFrame
+    rejected: DataFrame
+
+
+def provision_batch(tables: Tables, logins: DataFrame, group_map: DataFrame, **options) -> Provisioning:
+    """The tables after ``provision_changes`` (which takes the same options)."""
+    changes = provision_changes(tables, logins, group_map, **options)
+    links = _with_links(tables, changes.granted)
+    return Provisioning(
+        tables["ab_role"].select("id", "name").unionByName(changes.new.roles),
+        tables["ab_permission_view_role"].select("permission_view_id", "role_id").unionByName(changes.new.permissions),
+        users_after(tables, changes.users),
+        links.user_roles,
+        links.rejected,
+    )

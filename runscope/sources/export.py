@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import json_is_valid
 from ..functions.timeexpr import AsOf, timestamp_lit
+from .stored import missing_rows
 
 
 @dataclass(frozen=True)
@@ -273,6 +274,13 @@ def export_report_summary(report: DataFrame) -> DataFrame:
     )
 
 
-def jdbc_append(df: DataFrame, url: str, table: str, properties: Mapping[str, str]) -> None:
-    """Appends rows to a database table."""
+def jdbc_append(df: DataFrame, url: str, table: str, properties: Mapping[str, str], *, keys: Sequence[str] = ()) -> None:
+    """Appends rows to a database table.
+
+    A failed append may have written some of its rows. With ``keys``, which tell rows apart, those that the table has
+    already are left out, so that it can be repeated (``stored.append_batch`` does this for Parquet).
+    """
+    if keys:
+        existing = df.sparkSession.read.jdbc(url, table, properties=dict(properties))
+        df = missing_rows(df, existing, keys)
     df.write.jdbc(url, table, mode="append", properties=dict(properties))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import salted_join
 from .listing import list_tree
 from .schemas import SCHEMAS, schema_of
+from .stored import range_predicates
 
 # fixed values: schemas tried in this order when a table name has none
 SCHEMA_ORDER = ["", "public", "airflow"]
@@ -62,17 +63,22 @@ def read_jdbc_table(
     lower: str | int | None = None,
     upper: str | int | None = None,
     partitions: int = 64,
+    bounds: Sequence | None = None,
 ) -> DataFrame | None:
     """A database table read in parallel ranges of ``partition_column``; None if no variant exists.
 
-    The name is settled by one query on the database's own catalog. Bounds only place the ranges: rows outside them
-    are read too. Later filters and column choices reach the database.
+    The name is settled by one query on the database's own catalog. ``lower`` and ``upper`` place ranges of equal width,
+    ``bounds`` (as from ``stored.equi_depth_bounds`` or ``stored.bounds_query``) ranges of their own, for skewed ids; rows
+    outside them are read too. Later filters and column choices reach the database.
     """
     found = _jdbc_name(spark, url, name, properties, schemas)
     if found is None:
         return None
     if partition_column is None:
         return spark.read.jdbc(url, found, properties=dict(properties))
+    if bounds is not None:
+        predicates = range_predicates(partition_column, sorted(bounds))
+        return spark.read.jdbc(url, found, predicates=predicates, properties=dict(properties))
     reader = spark.read.format("jdbc").options(
         url=url,
         dbtable=found,
