@@ -116,14 +116,14 @@ def _job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs that last as many seconds as an event's value."""
+    """Runs that last as many seconds as an event's value; those of no or a negative value have not ended."""
     events = _source(spark, sf, "events").withColumn("ts", F.expr(_ts("ts")))
-    return events.where("value > 0").selectExpr(
+    return events.selectExpr(
         "concat('dag_', user_id % 3) AS dag_id",
         "concat('task_', user_id % 12) AS task_id",
         "'success' AS state",
         "ts AS start_date",
-        "timestamp_micros(unix_micros(ts) + CAST(round(value * 1000000) AS BIGINT)) AS end_date",
+        "CASE WHEN value > 0 THEN timestamp_micros(unix_micros(ts) + CAST(round(value * 1000000) AS BIGINT)) END AS end_date",
     )
 
 
