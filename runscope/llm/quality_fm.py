@@ -1,12 +1,13 @@
 """Quality of texts by a factorisation machine.
 
-A text is a sparse vector of hashed words and structure statistics. Every feature has a weight and a short
+A text is a sparse vector of hashed words, structure statistics and metadata. Every feature has a weight and a short
 vector of factors; every pair of features interacts by the product of their factors. The pairs are never listed: half
 of (squared sum minus sum of squares) of the factors times values gives all of them in linear time.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts, words_of
 
@@ -101,11 +103,48 @@ def statistics(text: str, words: Sequence[str], ids: np.ndarray) -> list[float]:
     ]
 
 
+@dataclass(frozen=True)
+class Metadata:
+    """Columns beside the text: True for those that are numbers, False for categories."""
+
+    numeric: tuple[bool, ...] = ()
+
+    @staticmethod
+    def of(docs: DataFrame, columns: Sequence[str]) -> Metadata:
+        return Metadata(tuple(isinstance(docs.schema[c].dataType, T.NumericType) for c in columns))
+
+    @property
+    def numbers(self) -> int:
+        return sum(self.numeric)
+
+    def split(self, carried: str | None) -> tuple[str, list[str], list[float]]:
+        """Text, categories and numbers of what ``carried`` made."""
+        if not self.numeric:
+            return carried or "", [], []
+        head, _, text = carried.partition("\0")
+        values = json.loads(head)
+        found = [values.get(f"m{i}") for i in range(len(self.numeric))]
+        categories = [f"\0{i}={v}" for i, (v, n) in enumerate(zip(found, self.numeric)) if not n and v is not None]
+        numbers = [v if isinstance(v, int | float) else 0.0 for v, n in zip(found, self.numeric) if n]
+        return text, categories, [float(np.sign(x) * np.log1p(abs(x))) for x in numbers]
+
+
+def carried(docs: DataFrame, text: str, metadata: Sequence[str]) -> Column:
+    """The text, after its metadata as JSON if there is any (which holds no zero character, so the first one ends it)."""
+    whole = F.col(f"`{text}`").cast("string")
+    if not metadata:
+        return whole
+    numeric = Metadata.of(docs, metadata).numeric
+    kinds = ["double" if n else "string" for n in numeric]
+    values = [F.col(f"`{c}`").cast(k).alias(f"m{i}") for i, (c, k) in enumerate(zip(metadata, kinds))]
+    return F.concat(F.to_json(F.struct(*values)), F.lit("\0"), F.coalesce(whole, F.lit("")))
+
+
 class Vectors:
     """Turns texts into (text, bucket, value) entries and rows of statistics; word buckets are remembered."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, metadata: Metadata = Metadata()):
+        self.buckets, self.metadata = buckets, metadata
         self._known: dict[str, int] = {}
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,22 +152,23 @@ class Vectors:
         if len(known) > 300_000:
             known.clear()
         every, sizes, numbers = [], [], []
-        for text in texts:
-            text = text or ""
+        for given in texts:
+            text, categories, more = self.metadata.split(given)
             words = words_of(text)
             for w in words:
                 if w not in known:
                     known[w] = bucket_of(w, self.buckets)
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            every.append(ids)
-            sizes.append(len(ids))
-            numbers.append(statistics(text, words, ids))
+            entries = np.r_[ids, [bucket_of(c, self.buckets) for c in categories]].astype(np.int64) if categories else ids
+            every.append(entries)
+            sizes.append(len(entries))
+            numbers.append([*statistics(text, words, ids), *more])
         owner = np.repeat(np.arange(len(texts)), sizes)
         key, count = np.unique(owner * self.buckets + np.concatenate(every), return_counts=True)
         owner, bucket = np.divmod(key, self.buckets)
         value = np.log1p(count)
         norm = np.sqrt(np.bincount(owner, value**2, len(texts)))
-        return owner, bucket, value / norm[owner], np.array(numbers, float).reshape(len(texts), len(STATISTICS))
+        return owner, bucket, value / norm[owner], np.array(numbers, float).reshape(len(texts), len(STATISTICS) + self.metadata.numbers)
 
 
 def interactions(owner: np.ndarray, values: np.ndarray, factors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +191,14 @@ def raw_scores(model: Model, owner, bucket, value, numbers) -> np.ndarray:
     return model.bias + linear + pairs
 
 
-def train(vectors: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: Sequence[int], fit: Fit = Fit()) -> Model:
-    """Stochastic gradient steps (AdaGrad) on the logistic loss. ``vectors``: (buckets, values, numbers) of each text."""
+def train(
+    vectors: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: Sequence[int], fit: Fit = Fit(), more: int = 0
+) -> Model:
+    """Stochastic gradient steps (AdaGrad) on the logistic loss. ``vectors``: (buckets, values, numbers) of each text;
+    ``more``: how many columns of metadata are numbers (told by the vectors, unless there are none)."""
     vectors = list(vectors)
     rng = np.random.default_rng(fit.seed)
-    numbers = np.array([v[2] for v in vectors], float) if vectors else np.zeros((1, len(STATISTICS)))
+    numbers = np.array([v[2] for v in vectors], float) if vectors else np.zeros((1, len(STATISTICS) + more))
     mean, spread = numbers.mean(axis=0), numbers.std(axis=0)
     spread[spread < 1e-9] = 1.0
     wide = numbers.shape[1]
@@ -187,11 +230,21 @@ def train(vectors: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], labels:
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, usable: Column, text: str, doc_id: str, label: str, fit: Fit = Fit()
+    docs: DataFrame,
+    labels: DataFrame,
+    usable: Column,
+    text: str,
+    doc_id: str,
+    label: str,
+    fit: Fit = Fit(),
+    metadata: Sequence[str] = (),
 ) -> tuple[list, list[int]]:
     """Vectors and labels of a bounded sample: the first labelled ids, of those that ``usable`` admits, by their hash.
 
-    ``usable`` is a condition on ``labels``. Labels without a text shrink the sample. An id with contradicting labels has the larger of them. The ids of the sample, and no others, are broadcast.
+    ``usable`` is a condition on ``labels``. Labels without a text shrink the sample. An id with contradicting labels has the
+    larger of them; of repeated rows with one id, the first by metadata and text is taken. The ids of the sample, and no
+    others, are broadcast. ``metadata`` columns of documents become features: numbers by their logarithm, others as hashed
+    categories; a null is 0 or no category.
     """
     labelled = (
         labels.where(usable)
@@ -201,11 +254,12 @@ def sample(
         .agg(F.max("label").alias("label"))
     )
     chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(fit.texts)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), carried(docs, text, metadata).alias("text"))
+    texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    kinds = Metadata.of(docs, metadata)
 
     def setup():
-        vectors = Vectors(fit.buckets)
+        vectors = Vectors(fit.buckets, kinds)
 
         def work(batch: list) -> list:
             owner, bucket, value, numbers = vectors(batch)
@@ -216,8 +270,8 @@ def sample(
 
     added = "buckets array<int>, amounts array<float>, numbers array<double>"
     made = map_texts(texts, "text", ["id", "label"], added, setup)
-    # of repeated rows with one id, one is taken; bounded: at most `texts` rows
-    rows = made.dropDuplicates(["id"]).orderBy("id").toPandas()
+    # bounded: at most `texts` rows
+    rows = made.orderBy("id").toPandas()
     vectors = [
         (np.asarray(b, np.int64), np.asarray(a, float), np.asarray(n, float))
         for b, a, n in zip(rows["buckets"], rows["amounts"], rows["numbers"])
@@ -225,17 +279,23 @@ def sample(
     return vectors, rows["label"].tolist()
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",), metadata: Sequence[str] = ()
+) -> DataFrame:
     """``keep`` columns, ``score`` (probability of label 1) and ``predicted`` (1 from 0.5 on).
 
+    ``metadata`` must name the columns that the model was trained with, in the same order.
     A null text is scored like an empty one, by the bias and the statistics of no words. Whole texts are read row by
     row: repeated rows give repeated results, an empty table an empty one. Kept columns named like a result give way
     to it.
     """
     buckets = len(model.weights) - len(model.mean)
+    kinds = Metadata.of(docs, metadata)
+    if len(model.mean) != len(STATISTICS) + kinds.numbers:
+        raise ValueError("the model was trained with other metadata")
 
     def setup():
-        vectors = Vectors(buckets)
+        vectors = Vectors(buckets, kinds)
 
         def work(texts: list) -> list:
             raw = raw_scores(model, *vectors(texts))
@@ -244,4 +304,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
 
         return work
 
-    return map_texts(docs, text, keep, "score double, predicted int", setup)
+    if not metadata:
+        return map_texts(docs, text, keep, "score double, predicted int", setup)
+    name = next(n for n in ("_carried", *(f"_carried{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    with_metadata = docs.withColumn(name, carried(docs, text, metadata))
+    return map_texts(with_metadata, name, keep, "score double, predicted int", setup)

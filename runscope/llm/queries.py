@@ -134,8 +134,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels of the two thirds of the documents that are not held out; scores all."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     usable = F.coalesce(~held_out(F.col("doc_id")), F.lit(False))
-    model = quality_fm.train(*quality_fm.sample(docs, labels, usable, "text", "doc_id", "quality"))
-    scored = quality_fm.score(docs, model)
+    about = ["n_chars"]  # all the metadata that may take part
+    sampled = quality_fm.sample(docs, labels, usable, "text", "doc_id", "quality", metadata=about)
+    scored = quality_fm.score(docs, quality_fm.train(*sampled, more=len(about)), metadata=about)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

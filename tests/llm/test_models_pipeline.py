@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -178,6 +179,32 @@ def test_quality_of_awkward_rows(spark):
     assert len(q.score(df, nothing).collect()) == 9
 
 
+def test_quality_from_metadata_alone(spark):
+    """Texts are all alike; a category and a number tell the label only together. Nulls and unseen values are scored too."""
+    rows = [(i, "the same text", "ab"[i % 2], [3.0, 5000.0][i // 2 % 2], int(i % 2 == i // 2 % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, site string, size double, quality int")
+    about, fit = ["site", "size"], q.Fit(passes=40, rate=0.2)
+    sampled = q.sample(df.drop("quality"), df.select("doc_id", "quality"), F.lit(True), "text", "doc_id", "quality", fit, about)
+    model = q.train(*sampled, fit)
+    found = {r.doc_id: r.predicted for r in q.score(df, model, metadata=about).collect()}
+    assert found == {r[0]: r[4] for r in rows}
+    odd = spark.createDataFrame([(1, None, None, None), (2, "a\0b", "new", float("nan")), (3, "", "a", float("inf"))], df.drop("quality").schema)
+    assert all(0 <= r.score <= 1 for r in q.score(odd, model, metadata=about).collect())
+    with pytest.raises(ValueError):
+        q.score(df, model)
+
+
+def test_a_repeated_id_gives_the_same_sample(spark):
+    rows = [(i % 50, f"text {i} of several") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    samples = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        vectors, marks = q.sample(df, labels, F.lit(True), "text", "doc_id", "quality")
+        samples.append(([b.tolist() for b, _, _ in vectors], marks))
+    assert samples[0] == samples[1] and len(samples[0][1]) == 50
+
+
 # ---- pipeline
 
 
