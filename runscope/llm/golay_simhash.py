@@ -303,18 +303,18 @@ def one_of_each(
     """The rows of ``docs`` that stay when of each group of near duplicates one does: that with the smallest doc_id
     (of equal ids, that with the smallest fingerprint; null ids only where there are no others).
 
-    Who stays is worked out on ids and fingerprints. Texts are shuffled once, by id and fingerprint together, so that
-    copies of one text do not meet in one task.
+    One pass makes the fingerprints and stores them with the rows and a number for each row. Who stays is worked out on
+    numbers, ids and fingerprints; the stored rows then lose those whose number is in the table of the others. Texts are
+    shuffled only if that table is too large for Spark to broadcast, and then by their numbers, so that copies do not meet
+    in one task.
     """
     folder = folder or shared_folder(docs.sparkSession)
-    rows = _stored_prints(docs, text, doc_id, folder)
-    heads = rows.join(classes(rows, bits, folder), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("root").agg(F.min_by("doc_id", "fingerprint").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
-    key = F.xxhash64("doc_id", "fingerprint")
-    heads = heads.select(key.alias("head"), F.col("doc_id").alias("head_id"), F.col("fingerprint").alias("head_print"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = docs.select(row, F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    made = fingerprints(held, "text", ["row", "doc_id"]).withColumn("head", key)
-    same = (made["fingerprint"] == heads["head_print"]) & made["doc_id"].eqNullSafe(heads["head_id"])
-    left = made.join(heads, (made["head"] == heads["head"]) & same, "left_semi").dropDuplicates(["head", "fingerprint"])
-    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    made = fingerprints(held, "text", ["row", "doc_id"]).withColumn("row_no", F.monotonically_increasing_id())
+    stored = written(made, f"{folder}/rows")
+    rows = stored.select("row_no", "doc_id", "fingerprint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fingerprint", "row_no")).alias("first")
+    heads = rows.join(classes(rows, bits, folder), "fingerprint").groupBy("root").agg(first).select("first.row_no")
+    others = written(rows.join(heads, "row_no", "left_anti").select("row_no"), f"{folder}/others")
+    return stored.join(others, "row_no", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
