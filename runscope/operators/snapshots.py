@@ -59,8 +59,11 @@ def index_usage(
 
 
 def lock_waits(activity: DataFrame, locks: DataFrame, *, as_of: AsOf, limit: int | None = 20) -> DataFrame:
-    """Lock requests not granted and the queries that wait, oldest query first."""
-    waiting = locks.where(~F.col("granted")).select("pid", "locktype", "mode", "granted")
+    """Lock requests not granted and the queries that wait, oldest query first.
+
+    Requests and queries both grow with the load, so neither side is broadcast, however small their files are.
+    """
+    waiting = locks.where(~F.col("granted")).select("pid", "locktype", "mode", "granted").hint("merge")
     busy = activity.where(F.col("state") != "idle")
     joined = salted_join(waiting, busy, ["pid"], ["locktype", "mode"]).select(
         "pid",

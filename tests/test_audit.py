@@ -113,6 +113,16 @@ def test_status_counts(make):
     assert got == {"Good": 1, "Set": 2, "Default": 1, "Error": 1, "Warning": 1}
 
 
+def test_lock_waits_broadcast_neither_side(spark):
+    """Small files may hold many rows: what waits and what is waited for stay on the executors."""
+    fields = "usename application_name query wait_event_type wait_event".split()
+    activity = spark.range(1000).selectExpr("id AS pid", "'active' AS state", "timestamp_seconds(id) AS query_start", *[f"'' AS {f}" for f in fields])
+    locks = spark.range(1000).selectExpr("id AS pid", "'x' AS locktype", "'m' AS mode", "id % 5 <> 0 AS granted")
+    waits = snapshots.lock_waits(activity, locks, as_of="2024-01-01 00:01:00", limit=None)
+    assert "BroadcastHashJoin" not in waits._jdf.queryExecution().sparkPlan().toString()
+    assert waits.count() == 200
+
+
 def test_locks_and_connections(make):
     activity = make("activity", [
         {"pid": 1, "state": "active", "query_start": "2024-01-01 00:00:00", "backend_start": "2024-01-01 00:00:00"},
