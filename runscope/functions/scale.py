@@ -15,12 +15,13 @@ def salted_join(
     """Equi-join whose hot keys are spread over ``salts`` tasks.
 
     Rows of ``big`` get a salt from ``salt_by`` (columns that vary within a key, so a re-run task makes the same
-    choice), rows of ``small`` are repeated once per salt (a power of two). No broadcast is forced: Spark still
-    broadcasts ``small`` when its size is below the session threshold. ``how`` may be inner, left, left_semi or
-    left_anti.
+    choice), rows of ``small`` are repeated once per salt (a power of two). They are repeated by a join, whose size Spark
+    puts at that of both sides multiplied; an explode counts as no larger than its input, and what the driver then
+    broadcasts is many times the session threshold. No broadcast is forced: Spark still broadcasts a ``small`` far below
+    the threshold. ``how`` may be inner, left, left_semi or left_anti.
     """
     left = big.withColumn("_salt", _one_of(salts, salt_by))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    right = small.crossJoin(F.broadcast(small.sparkSession.range(salts).withColumnRenamed("id", "_salt")))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

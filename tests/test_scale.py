@@ -115,6 +115,13 @@ def test_salted_join_is_a_join(spark, how):
     assert Counter(tuple(r) for r in scale.salted_join(big, small, ["k"], ["i"], how).collect()) == plain
 
 
+def test_salted_join_counts_the_repeated_rows_before_a_broadcast(spark):
+    """200,000 rows are below the threshold of 10 MB, their 16 copies are not."""
+    big, small = spark.range(10_000_000).selectExpr("id AS k", "id AS i"), spark.range(200_000).selectExpr("id AS k")
+    plan = scale.salted_join(big, small, ["k"], ["i"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_row_numbers_are_dense(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("name"))
     numbers = [r["no"] for r in scale.with_row_numbers(df, ["name"], "no").collect()]
