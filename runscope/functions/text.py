@@ -67,16 +67,6 @@ def connection_parts(url: str | Column, *, default_port: int = 5432, default_dat
     )
 
 
-def json_outline(text: str | Column) -> Column:
-    """JSON text with every string literal replaced by ``s`` and white space dropped.
-
-    Escaped characters go first, so a quote left over afterwards always opens or closes a literal.
-    """
-    no_escapes = F.regexp_replace(_col(text), r"(?s)\\.", "")
-    no_strings = F.regexp_replace(no_escapes, "\"[^\"\\x00-\\x1f]*\"", "s")
-    return F.regexp_replace(no_strings, r"\s+", "")
-
-
 _STRICT = {
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
@@ -103,15 +93,26 @@ def json_is_valid(text: str | Column) -> Column:
     return F.coalesce(reads("", "") & reads("[", "]"), F.lit(False))
 
 
-def json_depth(text: str | Column, outline: Column | None = None) -> Column:
-    """Deepest nesting of objects and lists in valid JSON; empty ones add no level."""
-    outline = json_outline(text) if outline is None else outline
-    no_empty = F.regexp_replace(outline, r"\{\}|\[\]", "0")
-    brackets = F.translate(F.regexp_replace(no_empty, r"[^\[\]{}]", ""), "[]", "{}")
+# what json_depth drops: text between brackets, string literals, empty objects and lists, and a quote that closes nothing
+_NO_BRACKET = r"""[^\[\]{}"]++|"[^"\x00-\x1f]*+"|\{\s*+\}|\[\s*+\]|\""""
+
+
+def json_depth(text: str | Column) -> Column:
+    """Deepest nesting of objects and lists in valid JSON; empty ones add no level.
+
+    The brackets are cut before each one that opens after one that closes, so the fold takes a step per rise and fall
+    instead of one per bracket.
+    """
+    t = _col(text)
+    no_escapes = F.when(F.contains(t, F.lit("\\")), F.regexp_replace(t, r"(?s)\\.", "")).otherwise(t)
+    brackets = F.regexp_replace(no_escapes, _NO_BRACKET, "")
+    for one, other in (("[", "{"), ("]", "}"), ("}{", "} {")):
+        brackets = F.replace(brackets, F.lit(one), F.lit(other))
     level = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        now = acc["now"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["deepest"], now).alias("deepest"))
+    def step(acc: Column, run: Column) -> Column:
+        opened = F.length(F.replace(run, F.lit("}"), F.lit("")))
+        top = acc["now"] + opened
+        return F.struct((top + opened - F.length(run)).alias("now"), F.greatest(acc["deepest"], top).alias("deepest"))
 
-    return F.aggregate(F.split(brackets, ""), level, step, lambda acc: acc["deepest"])
+    return F.aggregate(F.split(brackets, " "), level, step, lambda acc: acc["deepest"])

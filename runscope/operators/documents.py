@@ -15,7 +15,6 @@ from ..functions.scale import top_rows
 from ..functions.text import (
     first_contained,
     json_depth,
-    json_outline,
     json_is_valid,
     occurrences,
 )
@@ -274,9 +273,14 @@ def document_risk(counts: DataFrame, *, unit_bytes: int = 1_048_576) -> DataFram
 
 
 def issue_breakdown(with_issues: DataFrame) -> DataFrame:
-    """Documents per issue, for any rows with an ``issues`` array."""
+    """Documents per issue, for any rows with an ``issues`` array.
+
+    Rows without issues go after the array is built: a plain explode has them filtered before, by a copy of all that
+    the array is made of.
+    """
     return (
-        with_issues.select(F.explode("issues").alias("issue"))
+        with_issues.select(F.explode_outer("issues").alias("issue"))
+        .where(F.col("issue").isNotNull())
         .groupBy("issue")
         .agg(F.count(F.lit(1)).alias("dags"))
         .orderBy("issue")
@@ -297,13 +301,7 @@ def suspicious_summary(counts: DataFrame) -> DataFrame:
 
 def json_validity(documents: DataFrame, *, text: str = "data") -> DataFrame:
     """Adds ``json_valid``."""
-    return _with_outline(documents, text).drop("_outline")
-
-
-def _with_outline(documents: DataFrame, text: str) -> DataFrame:
-    """Adds ``json_valid`` and ``_outline``, the latter for valid texts only."""
-    judged = documents.withColumn("json_valid", json_is_valid(text))
-    return judged.withColumn("_outline", F.when(F.col("json_valid"), json_outline(text)))
+    return documents.withColumn("json_valid", json_is_valid(text))
 
 
 def content_checks(
@@ -317,18 +315,17 @@ def content_checks(
     max_repeats: int = 5,
 ) -> DataFrame:
     """Content checks of valid JSON documents: measures plus the issues they raise (null where JSON is invalid)."""
-    t, outline = F.col(text), F.col("_outline")
+    t = F.col(text)
     valid = F.col("json_valid")
     measures = {
-        "json_depth": json_depth(t, outline),
+        "json_depth": json_depth(t),
         "dag_references": occurrences(t, '"_dag"'),
         "task_references": occurrences(t, '"task_id"'),
         "has_pickle": t.contains('"pickle"') | t.contains('"__reduce__"'),
         "large_strings": large_string_count(t, large_string_chars),
         "prefix_repeats": prefix_repeats(t),
     }
-    out = _with_outline(documents, text)
-    out = out.withColumns({name: F.when(valid, value) for name, value in measures.items()}).drop("_outline")
+    out = json_validity(documents, text=text).withColumns({name: F.when(valid, value) for name, value in measures.items()})
     return out.withColumn(
         "issues",
         F.when(

@@ -180,3 +180,10 @@ def test_small_expressions(spark):
     got = evaluate(spark, url, text.connection_parts)
     assert [tuple(g) for g in got] == [("u", "h", 6000, "db"), ("u", "h", 5432, "airflow")]
     assert evaluate(spark, ["aaaa", "a.a"], lambda c: text.occurrences(c, "aa")) == [2, 0]
+
+
+def test_issue_breakdown_makes_the_issues_once(make):
+    """No filter in front of the array may repeat what it is made of."""
+    counted = documents.issue_breakdown(documents.content_checks(docs(make, "[[1]]", "{", '{"a":"pickle","pickle":1}'), max_depth=1))
+    assert [tuple(r) for r in counted.collect()] == [("DEEP_NESTING", 1), ("PICKLE_DETECTED", 1)]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
