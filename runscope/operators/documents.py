@@ -313,33 +313,34 @@ def content_checks(
     max_depth: int = 20,
     large_string_chars: int = 10_240,
     max_repeats: int = 5,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Content checks of valid JSON documents: measures plus the issues they raise (null where JSON is invalid)."""
+    """Content checks of valid JSON documents: measures plus the issues they raise (null where JSON is invalid).
+
+    ``only`` names the measures to take; issues of the others are not looked for.
+    """
     t = F.col(text)
     valid = F.col("json_valid")
     measures = {
-        "json_depth": json_depth(t),
+        "json_depth": json_depth(F.when(valid, t)),
         "dag_references": occurrences(t, '"_dag"'),
         "task_references": occurrences(t, '"task_id"'),
         "has_pickle": t.contains('"pickle"') | t.contains('"__reduce__"'),
         "large_strings": large_string_count(t, large_string_chars),
         "prefix_repeats": prefix_repeats(t),
     }
-    out = json_validity(documents, text=text).withColumns({name: F.when(valid, value) for name, value in measures.items()})
-    return out.withColumn(
-        "issues",
-        F.when(
-            valid,
-            labels_that_hold(
-                (F.col("dag_references") > max_references, "POTENTIAL_CIRCULAR_REFS"),
-                (F.col("has_pickle"), "PICKLE_DETECTED"),
-                (F.col("task_references") > max_tasks, "EXCESSIVE_TASKS"),
-                (F.col("json_depth") > max_depth, "DEEP_NESTING"),
-                (F.col("large_strings") > 0, "LARGE_STRINGS"),
-                (F.col("prefix_repeats") > max_repeats, "REPETITIVE_PATTERNS"),
-            ),
-        ),
-    )
+    raised = [
+        ("dag_references", F.col("dag_references") > max_references, "POTENTIAL_CIRCULAR_REFS"),
+        ("has_pickle", F.col("has_pickle"), "PICKLE_DETECTED"),
+        ("task_references", F.col("task_references") > max_tasks, "EXCESSIVE_TASKS"),
+        ("json_depth", F.col("json_depth") > max_depth, "DEEP_NESTING"),
+        ("large_strings", F.col("large_strings") > 0, "LARGE_STRINGS"),
+        ("prefix_repeats", F.col("prefix_repeats") > max_repeats, "REPETITIVE_PATTERNS"),
+    ]
+    taken = measures if only is None else {name: measures[name] for name in only}
+    out = json_validity(documents, text=text).withColumns({name: F.when(valid, value) for name, value in taken.items()})
+    rules = [(holds, issue) for name, holds, issue in raised if name in taken]
+    return out.withColumn("issues", F.when(valid, labels_that_hold(*rules)))
 
 
 def large_string_count(text: str | Column, min_chars: int = 10_240) -> Column:
