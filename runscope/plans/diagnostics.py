@@ -42,6 +42,10 @@ class Settings:
         return self.history_as_of.get(table, self.as_of)
 
 
+# results that must read a big table before its window is kept: keeping a row takes all of its columns, some ten times the
+# work of one result on the few columns it needs
+SHARED_FROM = 8
+
 Step = tuple[tuple[str, ...], Callable[..., DataFrame]]
 
 
@@ -142,13 +146,15 @@ def run_diagnostics(
 
     Results stay lazy. With ``settle`` each one is computed once and kept in the checkpoint folder, so that findings,
     recommendations and the report all read a few small tables instead of starting from the raw ones again. The window
-    of the two big tables is read once and kept (in memory, else on disk) while the results are computed; what is lost
-    with an executor is read again from the tables. ``spark.checkpoint.dir`` must be set for it.
+    of the two big tables is read once and kept (in memory, else on disk) while the results are computed, if at least
+    ``SHARED_FROM`` of them read it; what is lost with an executor is read again from the tables.
+    ``spark.checkpoint.dir`` must be set for it.
     """
     shared: dict[str, DataFrame] = {}
     if settle:
+        wanted = [needs for name, (needs, _) in steps(settings).items() if only is None or name in only]
         for name, recent in (("task_instance", recent_tasks), ("dag_run", recent_runs)):
-            if name in tables:
+            if name in tables and sum(name in needs for needs in wanted) >= SHARED_FROM:
                 shared[name] = recent(tables[name], settings).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _computed(tables, shared, settings, settled if settle else lambda df: df, only)

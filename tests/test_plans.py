@@ -139,6 +139,15 @@ def test_missing_tables_are_skipped(tables):
         findings.findings({}, SETTINGS)
 
 
+def test_few_results_read_the_tables_without_keeping_them(tables, monkeypatch):
+    kept = []
+    for name in ("recent_tasks", "recent_runs"):
+        monkeypatch.setattr(diagnostics, name, lambda df, s, name=name: kept.append(name) or df)
+    names = {"error_clusters", "zombie_tasks", "catchup_backlog"}
+    results = diagnostics.run_diagnostics(tables, SETTINGS, only=names, settle=True)
+    assert set(results) == names and kept == []
+
+
 def test_settled_and_lazy_agree(tables):
     names = {"task_concurrency", "task_duration_trends", "zombie_tasks", "catchup_backlog", "run_concurrency", "queued_duration"}
     lazy = diagnostics.run_diagnostics(tables, SETTINGS, only=names)
