@@ -35,8 +35,7 @@ def pretty_size(size: str | Column) -> Column:
     for power, unit in enumerate(["kB", "MB", "GB", "TB", "PB"], start=1):
         half_unit = 512 * 1024 ** (power - 1)
         from_size = 10_240 if power == 1 else 20_479 * (half_unit // 1024)
-        halves = F.floor(s / F.lit(float(half_unit)))
-        units = F.floor((halves + 1) / F.lit(2.0))
+        units = F.shiftright(F.shiftright(s, 10 * power - 1) + F.lit(1), 1)
         out = F.when(s >= from_size, F.format_string(f"%d {unit}", units)).otherwise(out)
     return out
 

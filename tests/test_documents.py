@@ -201,3 +201,7 @@ def test_issue_breakdown_makes_the_issues_once(make):
     counted = documents.issue_breakdown(documents.content_checks(docs(make, "[[1]]", "{", '{"a":"pickle","pickle":1}'), max_depth=1))
     assert [tuple(r) for r in counted.collect()] == [("DEEP_NESTING", 1), ("PICKLE_DETECTED", 1)]
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
+
+
+def test_pretty_size_beyond_doubles(spark):
+    assert evaluate(spark, [21 * 2**49 - 1, 21 * 2**49], numeric.pretty_size, "long") == ["10 PB", "11 PB"]
